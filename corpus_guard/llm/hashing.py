@@ -15,6 +15,9 @@ _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: As above, and ASCII punctuation and digits part words too.
+LETTERS_ONLY = _SPACE.copy()
+LETTERS_ONLY[[c for c in range(128) if not chr(c).isalpha()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 P_BYTE = 0x9E3779B97F4A7C15
@@ -68,9 +71,9 @@ def whole(words: np.ndarray, lane: int = 0) -> np.uint64:
 class Words:
     """Words of the documents of one slice: byte starts and ends, hashes, and first word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
-        black = ~_SPACE[data]
+        black = ~space[data]
         before = np.empty_like(black)
         before[1:], before[:1] = black[:-1], False
         after = np.empty_like(black)
@@ -88,13 +91,13 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def prefix_hash(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the words of over k bytes, and the hashes of their first k bytes."""
-        long = np.flatnonzero(self.ends - self.starts > k)
+        """Indexes of the words of at least k bytes, and the hashes of their first k bytes."""
+        long = np.flatnonzero(self.ends - self.starts >= k)
         at = self.starts[long]
         return long, mix((self.total[at + k] - self.total[at]) * self.down[at] + np.uint64(k + 1000))
 
 
-def slices(column: pa.Array, lower: bool = False):
+def slices(column: pa.Array, lower: bool = False, space: np.ndarray = _SPACE):
     """(first row, Words) for runs of rows of about SLICE_BYTES; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -112,7 +115,7 @@ def slices(column: pa.Array, lower: bool = False):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
         end = min(end, n)
         lo, hi = offsets[row], offsets[end]
-        yield row, Words(raw[lo:hi], offsets[row : end + 1] - lo, lower)
+        yield row, Words(raw[lo:hi], offsets[row : end + 1] - lo, lower, space)
         row = end
 
 
