@@ -1,14 +1,21 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import exact_dedup, ngram_join, substring_dedup
+from . import exact_dedup, html_extract, mixing, ngram_join, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_html_extraction": html_extract.op3_html_extraction,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_warc": warc.op5_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
