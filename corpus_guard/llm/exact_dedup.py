@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest with over this share of the rows is split off; at most 1/SUPPORT such digests exist.
@@ -75,16 +75,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The winner of a text is matched by id and digest; rows that repeat both id and
     text are the same row, of which one is returned.
     """
-    decided = exact_dedup(docs, id_col, text_col, support)
-    lost = decided.where("not kept").select(F.col("doc_id").alias("_lost_id"), F.col("keep_id").alias("_lost_keep"), F.col("text_sha256").alias("_lost_sha"))
+    decided = stage(exact_dedup(docs, id_col, text_col, support), "decided")
     names = docs.columns
     tagged = docs.withColumn("_sha", text_digest(text_col))
-    gone = lost.where("not (_lost_id <=> _lost_keep)").distinct()
-    left = tagged.join(gone, (tagged[id_col].eqNullSafe(gone["_lost_id"])) & (tagged["_sha"] == gone["_lost_sha"]), "left_anti")
-    again = lost.where("_lost_id <=> _lost_keep").select("_lost_id", "_lost_sha").distinct()
-    key = (left[id_col].eqNullSafe(again["_lost_id"])) & (left["_sha"] == again["_lost_sha"])
-    once = left.join(again, key, "left_anti")
-    twice = left.join(again, key, "left_semi").dropDuplicates([id_col, "_sha"])
+    lost = decided.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_lost"), F.col("keep_id").alias("_keep"))
+    gone = stage(lost.where("not (_id <=> _keep)").select("_id", "_lost").distinct(), "gone")
+    again = stage(lost.where("_id <=> _keep").select("_id", "_lost").distinct(), "again")
+    same = lambda t: tagged[id_col].eqNullSafe(t["_id"]) & (tagged["_sha"] == t["_lost"])
+    once = tagged.join(small(gone), same(gone), "left_anti").join(small(again), same(again), "left_anti")
+    twice = tagged.join(small(again), same(again), "left_semi").dropDuplicates([id_col, "_sha"])
     return once.unionByName(twice).select(*names)
 
 

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import exact_dedup, html_extract, mixing, ngram_join, packing, substring_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
@@ -17,5 +19,6 @@ ORACLES = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op7_embedding_near_dedup": embedding_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
