@@ -40,6 +40,7 @@ def drop_stage(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when a staged count proves it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """``df`` (staged) with a broadcast hint when its counted rows, or the sum of ``weight``, are at most ``rows``."""
+    n = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= rows else df

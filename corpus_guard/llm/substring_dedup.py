@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import P_WORD, Words, mix, powers, signed, slices, windows
-from .staging import small, stage
+from .staging import drop_stage, small, stage
 
 WINDOW, SEED = 35, 8
 
@@ -109,12 +109,13 @@ def _open_paths(k: int):
     def find(batches):
         for batch in batches:
             uids = batch.column("uid").to_numpy()
-            todo = batch.column("paths").to_pylist()
+            starts, counts = batch.column("starts"), batch.column("counts")
             for row, w in slices(batch.column("text")):
                 h1, h2 = windows(w.hash, k, 0), windows(w.hash, k, 1)
                 parts = []
                 for i in range(len(w.offsets) - 1):
-                    at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in todo[row + i]])
+                    first, n = starts[row + i].values.to_numpy(), counts[row + i].values.to_numpy()
+                    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                     g = at + w.first[i]
                     parts.append((h1[g], h2[g], np.full(len(at), uids[row + i]), at))
                 a, b, uid, at = (np.concatenate(x) for x in zip(*parts))
@@ -123,22 +124,55 @@ def _open_paths(k: int):
     return find
 
 
-def _cut(k: int, names: list[str]):
+def _merge(k: int):
+    """Rows (uid, start, n) in order of uid and start to one row of merged word spans per uid."""
+
+    def merged(uid, start, stop):
+        group = np.cumsum(np.concatenate([[0], uid[1:] != uid[:-1]])) << 40
+        reach = np.maximum.accumulate(group + stop)
+        new = np.flatnonzero(np.concatenate([[True], group[1:] + start[1:] > reach[:-1]]))
+        last = np.append(new[1:], len(uid)) - 1
+        owner, first = uid[new], start[new].astype(np.int32)
+        end = (reach[last] - group[last]).astype(np.int32)
+        cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sizes = np.append(cut, len(owner)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(owner[cut]), pa.ListArray.from_arrays(sizes, pa.array(first)), pa.ListArray.from_arrays(sizes, pa.array(end))], ["uid", "starts", "stops"]
+        )
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid, start = batch.column("uid").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
+            now = (uid, start, start + batch.column("n").to_numpy() + k - 1)
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now))
+            others = np.flatnonzero(now[0] != now[0][-1])
+            at = int(others[-1]) + 1 if len(others) else 0
+            if at:
+                yield merged(*(x[:at] for x in now))
+            held = tuple(x[at:] for x in now)
+        if held is not None:
+            yield merged(*held)
+
+    return work
+
+
+def _cut(names: list[str]):
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("spans")
             n_words, n_removed, shas, kept_text = [], [], [], []
-            for text, found in zip(texts, spans):
+            for text, starts, stops in zip(batch.column("text"), batch.column("starts"), batch.column("stops")):
                 words = (text.as_py() or "").encode().split()
-                found = found.as_py()
                 n_words.append(len(words))
-                if found:
-                    gone = np.zeros(len(words) + 1, np.int32)
-                    start = np.array([s["start"] for s in found])
-                    np.add.at(gone, start, 1)
-                    np.add.at(gone, start + np.array([s["n"] for s in found]) + k - 1, -1)
-                    keep = np.cumsum(gone[:-1]) == 0
-                    words = [w for w, stay in zip(words, keep.tolist()) if stay]
+                if starts.is_valid:
+                    kept, done = [], 0
+                    for a, b in zip(starts.as_py(), stops.as_py()):
+                        kept += words[done:a]
+                        done = b
+                    words = kept + words[done:]
                 n_removed.append(n_words[-1] - len(words))
                 kept = b" ".join(words)
                 shas.append(hashlib.sha256(kept).hexdigest())
@@ -151,8 +185,8 @@ def _cut(k: int, names: list[str]):
     return cut
 
 
-def _with_lookup(named: DataFrame, lookup: DataFrame, how: str) -> DataFrame:
-    return named.join(small(lookup), "uid", how)
+#: Most entries of lists of spans that are broadcast; beyond it the texts are joined by a shuffle.
+SPANS = 4_000_000
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -167,6 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all_paths = stage(all_paths, "paths")
     again = all_paths.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini")
     paths = stage(all_paths.join(again, "mini"), "shared-paths")
+    drop_stage(all_paths)
     kinds = stage(
         paths.groupBy("mini", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("uid", "start", "n")).alias("one")), "path-kinds"
     )
@@ -174,16 +209,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans_whole = paths.join(whole, ["mini", "h1", "h2"]).select("uid", "start", "n")
     mixed = kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1").select("mini")
     ends = kinds.join(mixed, "mini").select("one.uid", "one.start", "one.n")
-    todo = stage(ends.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("paths")), "ends")
-    once = _with_lookup(named.select("uid", "text"), todo, "inner")
+    todo = ends.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("p")).select("uid", F.col("p.start").alias("starts"), F.col("p.n").alias("counts"))
+    todo = stage(todo, "ends")
+    once = named.select("uid", "text").join(small(todo, SPANS, F.size("starts") + 8), "uid")
     opened = stage(once.mapInArrow(_open_paths(k), "h1 long, h2 long, uid long, start int"), "windows")
     place = F.struct("uid", "start")
     twice = opened.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h1", "h2")
     spans_ends = opened.join(twice, ["h1", "h2"]).select("uid", "start", F.lit(1).alias("n"))
-    spans = stage(spans_whole.union(spans_ends).distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    spans = spans_whole.union(spans_ends).repartition("uid").sortWithinPartitions("uid", "start")
+    spans = stage(spans.mapInArrow(_merge(k), "uid long, starts array<int>, stops array<int>"), "spans")
+    for used in (paths, kinds, todo, opened):
+        drop_stage(used)
     names = ["doc_id"]
     schema = T.StructType([named.schema["doc_id"]]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
-    return _with_lookup(named, spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut(k, names), schema)
+    held = named.join(small(spans, SPANS, F.size("starts") + 8), "uid", "left")
+    return held.select("doc_id", "text", "starts", "stops").mapInArrow(_cut(names), schema)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
