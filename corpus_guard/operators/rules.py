@@ -214,3 +214,43 @@ def assign_rule_ids(rules: DataFrame) -> DataFrame:
     """<SCANNER>-<CATEGORY>-<NNN>, numbered by table and index within scanner and category."""
     n = F.row_number().over(Window.partitionBy("scanner", "category").orderBy("tbl", "idx"))
     return rules.withColumn("new_id", F.concat_ws("-", F.upper("scanner"), F.upper("category"), F.lpad(n.cast("string"), 3, "0")))
+
+
+def audit_findings(files: DataFrame, scans) -> DataFrame:
+    """H1: findings of many scans from one pass over the lines.
+
+    All rules of the scans that do not look at code fences share one projection;
+    only the hits are shuffled, for the scans that keep first hits. Fence-aware
+    scans read their own, smaller set of files.
+    """
+    spark = files.sparkSession
+    flat = [(s, scan, r) for s, scan in enumerate(scans) if scan.fenced for r in scan.rules]
+    lines = to_lines(files, "keep").withColumn("whole", F.col("text")).withColumn("text", F.substring("text", 1, MAX_LINE))
+    conditions = {}
+    for s, scan in enumerate(scans):
+        ok = F.expr(scan.where)
+        if scan.long == "skip":
+            ok = ok & (F.length("whole") <= MAX_LINE)
+        conditions[s] = ok & ~F.col("text").rlike(COMMENT) if not scan.comments else ok
+    hits = F.filter(F.array(*[F.when(conditions[s] & gate(r) & rule_matches(F.col("text"), r), F.lit(i)) for i, (s, _, r) in enumerate(flat)]), lambda x: x.isNotNull())
+    found = lines.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("ord", F.explode("hits"))
+    names = spark.createDataFrame([(i, s, scan.scanner, scan.keep) for i, (s, scan, _) in enumerate(flat)], "ord int, scan int, scanner string, keep string")
+    found = found.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
+    every = found.where("keep = 'all'")
+    group = F.when(F.col("keep") == "line", F.col("line").cast("string")).when(F.col("keep") == "category", F.col("category")).otherwise("")
+    w = Window.partitionBy("scan", "repo", "path", "grp").orderBy("line", "ord")
+    first = found.where("keep <> 'all'").withColumn("grp", group).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    cols = [
+        "repo", "scanner", "severity", "title", "description", F.col("path").alias("file"), F.col("line").cast("int").alias("line"), snippet("text").alias("snippet"),
+        "category", "rule_id", "confidence",
+    ]
+    out = every.select(*cols).unionByName(first.select(*cols))
+    for scan in scans:
+        if not scan.fenced:
+            out = out.unionByName(run_scan(files, scan))
+    return out
+
+
+def audit_oracle(scans, files: str = "files_v") -> str:
+    """A SELECT of the findings of many scans, for use as a common table expression."""
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {scan_oracle(s, files).strip().lstrip(',')})" for s in scans)

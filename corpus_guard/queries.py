@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from .registered import scans  # noqa: F401
+from .registered import report_queries, scalar_queries, scans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
