@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpus_guard.operators.lines import glob_to_regex, stripped
 from corpus_guard.schema import BLOCK_AT, CONFIDENCE, INFO_AT, SEVERITY, WARN_AT
@@ -67,7 +68,7 @@ def l33t_normalize(s: str | Column) -> Column:
     return F.translate(s, "013@", "olea")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
@@ -108,7 +109,7 @@ def sanitize_text(s: str | Column, n: int = 200) -> Column:
     return F.substring(F.trim(F.regexp_replace(out, r" +", " ")), 1, n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower())
 
