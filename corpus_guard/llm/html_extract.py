@@ -110,8 +110,12 @@ def _count_slots(batches):
             )
 
 
+def _is_main(tag: str, label: str) -> bool:
+    return tag in ("article", "main") or (tag in ("div", "section") and bool(MAIN_LABEL.search(label or "")))
+
+
 def _has_main(slots: list[Slot]) -> bool:
-    return any(s.tag in ("article", "main") or (s.tag in ("div", "section") and MAIN_LABEL.search(s.label or "")) for s in slots)
+    return any(_is_main(s.tag, s.label) for s in slots)
 
 
 def _wrapper(reference: list[Slot], counts: dict[int, tuple[int, int]], has_main: bool) -> list[bool]:
@@ -121,7 +125,7 @@ def _wrapper(reference: list[Slot], counts: dict[int, tuple[int, int]], has_main
     todo = [(reference[0], False, not has_main, False)]
     while todo:
         slot, aside, inside, within_main = todo.pop()
-        main = slot.tag in ("article", "main") or (slot.tag in ("div", "section") and bool(MAIN_LABEL.search(slot.label or "")))
+        main = _is_main(slot.tag, slot.label)
         aside = aside or _is_aside(slot.tag, slot.label, within_main)
         inside, within_main = inside or main, within_main or main
         pages, same = counts.get(slot.id, (0, 0))
@@ -143,9 +147,9 @@ def page_text(slots: list[Slot], keep: dict[int, bool]) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [(slots[0].nodes[0], True, False)]
+    todo: list = [(slots[0].nodes[0], True, False, False)]
     while todo:
-        item, kept, within = todo.pop()
+        item, kept, within, aside = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
@@ -153,12 +157,12 @@ def page_text(slots: list[Slot], keep: dict[int, bool]) -> str:
                 now.append(item)
         else:
             node: Node = item
-            sid = slot_of.get(id(node))
-            here = keep.get(sid) if sid is not None else None
-            if here is None:
-                here = kept and not _is_aside(node.tag, node.label, within)
             if node.tag in SILENT:
                 continue
+            aside = aside or _is_aside(node.tag, node.label, within)
+            here = keep.get(slot_of.get(id(node)))
+            if here is None:
+                here = not aside and (kept or _is_main(node.tag, node.label))
             if node.tag == "br":
                 now.append("\n")
                 continue
@@ -166,8 +170,8 @@ def page_text(slots: list[Slot], keep: dict[int, bool]) -> str:
             block = node.tag in BLOCKS
             if block:
                 flush()
-                todo.append((None, True, within))
-            todo.extend((k, here, within) for k in reversed(node.kids))
+                todo.append((None, True, within, aside))
+            todo.extend((k, here, within, aside) for k in reversed(node.kids))
     flush()
     return "\n\n".join(blocks)
 

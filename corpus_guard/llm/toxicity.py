@@ -192,8 +192,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def keep(batches):
         for batch in inner(batches):
-            ok = batch.column("score").to_numpy() < threshold
-            yield batch.filter(pa.array(ok)).select(names)
+            ok = batch.columns[-1].to_numpy() < threshold  # the score; an input column may have its name
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=batch.schema.remove(len(names))).filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)
 
