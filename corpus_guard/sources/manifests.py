@@ -28,7 +28,11 @@ def npm_manifest(files: DataFrame) -> DataFrame:
     """The four dependency maps, and overrides and resolutions of one level that the maps do not name."""
     schema = T.StructType([T.StructField(m, _MAP) for m in (*NPM_MAPS, "overrides", "resolutions")])
     j = files.withColumn("j", F.from_json("content", schema)).where("j is not null")
-    maps = [F.transform(F.map_entries(F.coalesce(F.col(f"j.{m}"), F.create_map().cast("map<string,string>"))), lambda e, m=m: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(m).alias("kind"))) for m in NPM_MAPS]
+
+    def entries(m: str) -> Column:
+        return F.transform(F.map_entries(F.coalesce(F.col(f"j.{m}"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(m).alias("kind")))
+
+    maps = [entries(m) for m in NPM_MAPS]
     declared = j.select("repo", "path", F.explode(F.concat(*maps)).alias("d")).select("repo", "path", "d.*")
     extra = F.map_entries(F.coalesce(F.col("j.overrides"), F.create_map().cast("map<string,string>")))
     more = F.map_entries(F.coalesce(F.col("j.resolutions"), F.create_map().cast("map<string,string>")))
