@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpus_guard.detectors import content as C
 from corpus_guard.detectors import python_jobs as P
+from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.operators.lines import to_lines
 from corpus_guard.plans.views import SEED_MOD, SEEDS, oracle, table, view
 from corpus_guard.registry import register
@@ -102,3 +103,11 @@ def archives(spark, d):
     f = view(spark, d, "files_v")
     head = F.when(F.col("file_id") % 5 == 0, F.unhex(F.lit("504b0304"))).when(F.col("file_id") % 5 == 1, F.unhex(F.lit("377abcaf"))).otherwise(F.lit("x").cast("binary"))
     return P.archive_kind(f.withColumn("bytes", head))
+
+
+def _config(fn):
+    return lambda spark, d: fn(code_v(spark, d))
+
+
+for _name, _fn in DETECTORS.items():
+    register(_name)(_config(_fn))
