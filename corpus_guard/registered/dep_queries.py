@@ -97,16 +97,16 @@ def untrusted(spark, d):
     return D.untrusted_hosts(u, _trusted(spark))
 
 
-_IMP = """, i AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 40 AS VARCHAR) AS repo, CAST(l_partkey % 60 AS VARCHAR) AS name FROM lineitem WHERE l_linenumber <= 3),
-dcl AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 40 AS VARCHAR) AS repo, CAST(l_suppkey % 60 AS VARCHAR) AS name FROM lineitem WHERE l_orderkey % 40 < 30),
+_IMP = """, i AS (SELECT DISTINCT 'r' || CAST(l_orderkey AS VARCHAR) AS repo, CAST(l_partkey % 60 AS VARCHAR) AS name FROM lineitem WHERE l_linenumber <= 3),
+dcl AS (SELECT DISTINCT 'r' || CAST(l_orderkey AS VARCHAR) AS repo, CAST(l_suppkey % 60 AS VARCHAR) AS name FROM lineitem WHERE l_orderkey % 4 < 3),
 b(name) AS (VALUES ('1'), ('2'), ('3'))"""
 
 
 def _imports(spark, d):
     li = table(spark, d, "lineitem")
-    repo = F.concat(F.lit("r"), (F.col("l_orderkey") % 40).cast("string")).alias("repo")
+    repo = F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("repo")
     imports = li.where("l_linenumber <= 3").select(repo, (F.col("l_partkey") % 60).cast("string").alias("name")).distinct()
-    declared = li.where("l_orderkey % 40 < 30").select(repo, (F.col("l_suppkey") % 60).cast("string").alias("name")).distinct()
+    declared = li.where("l_orderkey % 4 < 3").select(repo, (F.col("l_suppkey") % 60).cast("string").alias("name")).distinct()
     return imports, declared, spark.createDataFrame([("1",), ("2",), ("3",)], "name string")
 
 
@@ -122,14 +122,14 @@ def unused(spark, d):
 
 @register(
     "d11_missing_lockfiles",
-    """WITH f AS (SELECT DISTINCT 'r' AS repo, 'a' || CAST(o_custkey % 50 AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '/b' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '/c' ELSE '' END AS dir, o_orderkey % 11 = 0 AS locked FROM orders),
+    """WITH f AS (SELECT DISTINCT 'r' AS repo, 'a' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '/b' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '/c' ELSE '' END AS dir, o_orderkey % 11 = 0 AS locked FROM orders),
 l AS (SELECT DISTINCT dir FROM f WHERE locked), m AS (SELECT DISTINCT repo, dir FROM f WHERE NOT locked),
 p AS (SELECT *, regexp_replace(dir, '(^|/)[^/]*$', '') AS up FROM m)
 SELECT repo, dir FROM p WHERE dir NOT IN (SELECT dir FROM l) AND up NOT IN (SELECT dir FROM l) AND regexp_replace(up, '(^|/)[^/]*$', '') NOT IN (SELECT dir FROM l)""",
 )
 def lockfiles(spark, d):
     k = F.col("o_orderkey")
-    dirs = F.concat(F.lit("a"), (F.col("o_custkey") % 50).cast("string"), F.when(k % 2 == 0, "/b").otherwise(""), F.when(k % 3 == 0, "/c").otherwise(""))
+    dirs = F.concat(F.lit("a"), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, "/b").otherwise(""), F.when(k % 3 == 0, "/c").otherwise(""))
     f = table(spark, d, "orders").select(F.lit("r").alias("repo"), dirs.alias("dir"), F.when(k % 11 == 0, "yarn.lock").otherwise("package.json").alias("base")).distinct()
     return D.missing_lockfiles(f, f.where("base = 'package.json'").select("repo", "dir"))
 
