@@ -26,7 +26,7 @@ from .deobfuscate import CLASSES, Decoder, trigram_ids
 from .hashing import LETTERS_ONLY, slices
 from .staging import stage
 
-MAX_TRAIN = 20_000
+MAX_TRAIN = 10_000
 BITS = 20
 STARTS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -102,9 +102,14 @@ def fit(y: np.ndarray, sizes: np.ndarray, feature: np.ndarray, rounds: int = 300
     base = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if not pos or pos == n:
         return weights, base
-    row = np.repeat(np.arange(n), sizes)
-    a = np.bincount(feature[y[row] == 1], minlength=1 << BITS).astype(float)
-    b = np.bincount(feature[y[row] == 0], minlength=1 << BITS).astype(float)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [(i, min(i + 500, n)) for i in range(0, n, 500)]
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i, j in parts:
+        toxic = np.repeat(y[i:j] == 1, sizes[i:j])
+        f = feature[ends[i] : ends[j]]
+        a += np.bincount(f[toxic], minlength=1 << BITS)
+        b += np.bincount(f[~toxic], minlength=1 << BITS)
     odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (n - pos - b + 0.5))
     spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (n - pos - b + 0.5))
     chosen = np.flatnonzero((odds / spread > 2.5) & (odds > 2) & (a >= 3))
@@ -112,8 +117,12 @@ def fit(y: np.ndarray, sizes: np.ndarray, feature: np.ndarray, rounds: int = 300
         return weights, base
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    at = place[feature]
-    row, at = row[at >= 0], at[at >= 0]
+    rows, ats = [], []
+    for i, j in parts:
+        at = place[feature[ends[i] : ends[j]]]
+        rows.append(np.repeat(np.arange(i, j), sizes[i:j])[at >= 0])
+        ats.append(at[at >= 0])
+    row, at = np.concatenate(rows), np.concatenate(ats)
     w, c = np.zeros(len(chosen)), base
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):
@@ -163,7 +172,7 @@ def model_for(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
     marked = stage(marked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(*order).limit(max_train), "train")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
-    found = rows.select("y", "text").mapInArrow(_train_features(decoder), "y int, f array<int>").orderBy("y", F.size("f"), F.hash("f")).limit(max_train).toArrow()
+    found = rows.select("y", "text").mapInArrow(_train_features(decoder), "y int, f array<int>").limit(max_train).toArrow()
     y = found.column("y").to_numpy()
     lists = found.column("f").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
