@@ -77,9 +77,9 @@ def _parity(s: np.ndarray) -> np.ndarray:
     """Bitmap of the parities of the shingles by their hash; halves of it folded by exclusive or are the bitmap of half the size."""
     size = max(BITS, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else BITS
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    # bit b of word i is hash value i + b * (size / 64), so that folding pairs whole words
-    words = odd.reshape(64, size // 64).astype(np.uint64)
-    return signed((words << np.arange(64, dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64))
+    # hash value v is bit v % 64 of word v / 64, so that words i and i + w hold values that are equal modulo 64 * w
+    words = odd.reshape(size // 64, 64).astype(np.uint64)
+    return signed((words << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64))
 
 
 def _repeated(k: int):
