@@ -1,4 +1,4 @@
-"""Queries of parsers, decoders and gates. ``code_v`` holds the seeded lines of each document alone, so that programs parse."""
+"""Queries of parsers, decoders and gates. ``code_v`` is all of files_v and, so that programs parse, the seeded lines of each document as files of their own."""
 
 from __future__ import annotations
 
@@ -14,10 +14,12 @@ from corpus_guard.streaming.gates import command_gate, scan_changed
 
 
 def code_v(spark, d):
-    """Documents with the lines that files_v appends as their whole content."""
+    """All files of files_v, and below repo/seed/ the lines that files_v appends to a document as a file of their own."""
     seeds = spark.createDataFrame([(r, "\n".join(x)) for r, x in SEEDS.items()], "residue long, content string")
-    docs = view(spark, d, "files_v").where("path like '%/doc-%'").drop("content").withColumn("residue", F.col("file_id") % SEED_MOD)
-    return docs.join(F.broadcast(seeds), "residue").drop("residue")
+    files = view(spark, d, "files_v")
+    docs = files.where("path like '%/doc-%'").drop("content").withColumn("residue", F.col("file_id") % SEED_MOD)
+    docs = docs.withColumn("dir", F.concat("repo", F.lit("/seed"))).withColumn("path", F.concat("dir", F.lit("/"), "base"))
+    return files.unionByName(docs.join(F.broadcast(seeds), "residue").drop("residue"))
 
 
 @register("c50_py_ast")
