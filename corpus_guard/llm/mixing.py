@@ -10,7 +10,13 @@ repeats after D slots; only these D slots are computed, as one aggregate over a
 sequence, a table bounded by the sum of the weights, not by the data.
 
 The mixture runs until a source first lacks a block for its slot; documents in
-slots before that are selected, each once.
+slots before that are selected, each once. This is what the SQL of op4 defines.
+
+With ``leave`` (the pipeline) a source whose blocks are used up leaves instead and
+the others go on at their weights, so no document of a weighted source is left
+out. Block j of a source stands at the time (2j + 1) / 2q and its slot is its rank
+by time and source, counted in integers per block without a schedule. While all
+sources have blocks, each is within (1 + S*q/D) / 2 blocks of its target, for S sources.
 
 Positions inside a source are two-level prefix sums over 4096 ranges of the MD5,
 so a source with a third of all rows is split over as many window partitions.
@@ -50,9 +56,9 @@ def schedule(shares: DataFrame) -> DataFrame:
 
 def mixture(
     docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION,
+    block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, leave: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, n_chars, block_no (from 0), slot (of the endless schedule), selected."""
+    """One row per input row: doc_id, source, n_chars, block_no (from 0), slot (of the endless schedule; with ``leave`` of the one that ends with the last block), selected."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -70,15 +76,16 @@ def mixture(
         given = spark.createDataFrame([(k, int(v)) for k, v in weights.items()] or [(None, 0)], "source string, q long")
         shares = totals.join(F.broadcast(given), "source")
     shares = stage(shares.where("q > 0"), "shares")
-    turns = stage(schedule(shares), "schedule")
-    blocks = shares.select("source", F.ceil(F.col("chars") / block_chars).cast("long").alias("block_no"))
-    horizon = _slots(blocks, turns).agg(F.min("slot").alias("horizon"))
-
     before = F.sum("chars").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("source", "part", F.coalesce(before, F.lit(0)).alias("offset"))
     within = Window.partitionBy("source", "part").orderBy("rank", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("n_chars").over(within), F.lit(0))).join(offsets, ["source", "part"])
     placed = placed.withColumn("block_no", F.floor((F.col("offset") + F.col("ahead")) / block_chars).cast("long"))
+    if leave:
+        return _ranked(placed, shares, block_chars).select("doc_id", "source", "n_chars", "block_no", "slot", F.col("slot").isNotNull().alias("selected"))
+    turns = stage(schedule(shares), "schedule")
+    blocks = shares.select("source", F.ceil(F.col("chars") / block_chars).cast("long").alias("block_no"))
+    horizon = _slots(blocks, turns).agg(F.min("slot").alias("horizon"))
     timed = _slots(placed, turns).crossJoin(F.broadcast(horizon))
     return timed.select("doc_id", "source", "n_chars", "block_no", "slot", F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False)).alias("selected"))
 
@@ -91,6 +98,33 @@ def _slots(blocks: DataFrame, turns: DataFrame) -> DataFrame:
     return found.join(table, ["source", "turn"], "left").withColumn("slot", F.col("period") * F.col("d") + F.col("at"))
 
 
+def _ranked(placed: DataFrame, shares: DataFrame, block_chars: int) -> DataFrame:
+    """Adds slot, the rank of the row's block among the blocks of all sources; empty rows behind the last block belong to it."""
+    sized = shares.select("source", F.col("q").cast("long").alias("q"), F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars)).cast("long").alias("b"))
+    every = sized.agg(F.sort_array(F.collect_list(F.struct("source", "q", "b"))).alias("all"))
+    blocks = sized.select("source", "q", F.explode(F.expr("sequence(0L, b - 1)")).alias("in_block")).crossJoin(F.broadcast(every))
+    # blocks m of a source x that come first: (2m + 1) * q < (2j + 1) * x.q, or equal and x.source before
+    first = "((2 * in_block + 1) * x.q - q + if(x.source < source, 2 * q, 2 * q - 1)) div (2 * q)"
+    rank = f"aggregate(all, 0L, (a, x) -> a + least(x.b, if(x.source = source, in_block, greatest(0L, {first}))))"
+    slots = stage(blocks.select("source", "in_block", F.expr(rank).alias("slot")), "block-slots")
+    found = placed.join(F.broadcast(sized.select("source", F.col("b"))), "source", "left").withColumn("in_block", F.least("block_no", F.col("b") - 1))
+    return found.join(small(slots), ["source", "in_block"], "left")
+
+
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The rows of ``docs`` with a weighted source, all of them, in the order of the mixture that sources leave when used up."""
+    out = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, leave=True, **kw).where("selected")
+    # rows that share id, source and length are interchangeable: they go to the first of their slots
+    out = out.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_chars").alias("_n")).agg(F.min("slot").alias("_slot"))
+    out = stage(out, "mixed")
+    on = (
+        docs[id_col].eqNullSafe(out["_id"])
+        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out["_source"])
+        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out["_n"])
+    )
+    return docs.join(small(out), on).orderBy("_slot").select(*docs.columns)
+
+
 def select_mixture(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The rows of ``docs`` that the mixture selects, with all their columns."""
     out = mixture(docs, weights, id_col, text_col, source_col, **kw).where("not selected")

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from corpus_guard.llm.mixing import in_mixed_order, mixture
 from corpus_guard.llm.ngram_join import _parity, ngram_components
 
 
@@ -30,3 +32,25 @@ def test_ngram_on_both_sides_of_bitmap_sizes(spark):
         want[i] = min(j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b))
     got = {x.doc_id: x.component_id for x in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) == 3
+
+
+def test_small_source_does_not_end_the_mixture(spark):
+    rows = [(i, "x" * 50, "ab"[i % 3 == 0]) for i in range(3000)] + [(9000, "y", None), (9001, "", "empty"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(str, corpus_pipeline.mixing(spark, docs, None).collect())) == sorted(map(str, docs.collect()))
+    got = mixture(docs, block_chars=100, leave=True).collect()
+    slots = {r.slot: r.source for r in got}
+    assert all(r.selected for r in got) and sorted(slots) == list(range(1000 + 500 + 1 + 1))
+
+
+def test_mixture_keeps_weights_until_a_source_leaves(spark):
+    docs = spark.createDataFrame([(i, "x" * 50, "abc"[min(i % 10, 2)]) for i in range(3000)], "doc_id long, text string, source string")
+    weights = {"a": 5, "b": 3, "c": 2}
+    got = mixture(docs, weights, block_chars=50, leave=True).collect()
+    slots = {r.slot: r.source for r in got}
+    assert sorted(slots) == list(range(3000))
+    for t in range(1, 601):
+        for s, w in weights.items():
+            assert abs(sum(slots[k] == s for k in range(t)) - t * w / 10) <= (1 + 3 * w / 10) / 2
+    order = [r.source for r in in_mixed_order(docs, weights=weights, block_chars=50).collect()]
+    assert order == [slots[k] for k in range(3000)]
