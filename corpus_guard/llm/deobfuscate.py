@@ -4,6 +4,9 @@ A suspicious span (symbols among letters, letters drawn out, letters set apart)
 a lattice: each character may stand for itself, for the letters it imitates, or
 for nothing when it repeats the last one or separates letters. The Viterbi path
 under a letter trigram model, with a price for each rewriting, is the restored word.
+Spans of any length are decoded; only those of at most CACHED characters are cached.
+Exclamation marks at the end of a word are marks, not letters, and plain words
+set between stars, bars or plus signs (emphasis, table cells) are not suspicious.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ IMITATES = {
 SEPARATORS = " .-_*~'"
 SIGNS = "".join(IMITATES)
 CLASSES = 64
+#: Longest span whose decoding is cached.
+CACHED = 60
 #: Prices of rewriting, in nats.
 IMITATION, DROP_REPEAT, DROP_SEPARATOR, KEEP_SIGN = 0.7, 0.5, 0.3, 6.0
 
+_NO_MARKS = str.maketrans("", "", "*|+")
 _SYM = re.escape("0134567890@$!|+*")
-#: Letters with signs before letters | a letter three times or more | single letters set apart | letters joined by marks.
+#: Letters with signs among or after them | a letter three times or more | single letters set apart | letters joined by marks.
 SUSPICIOUS = re.compile(
-    rf"(?<![^\W\d_])(?=[{_SYM}a-z]*[a-z])(?:[a-z]*[{_SYM}]+)+[a-z]+(?![^\s.,;:?])"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-    rf"|(?<!\S)(?:[a-z{_SYM}][ .\-_*~]{{1,2}}){{3,}}[a-z{_SYM}](?![^\s.,;:?!])"
-    r"|(?<!\S)[a-z]{1,12}(?:[\-_*~.][a-z]{1,12})+(?![^\s.,;:?!])"
+    rf"(?<![^\W\d_])(?P<signs>(?=[a-z]*+[{_SYM}])(?=[{_SYM}]*+[a-z])[{_SYM}a-z]++)(?![^\W_])"
+    r"|[^\W\d_]*(?P<drawn>[^\W\d_])(?P=drawn){2}[^\W\d_]*"
+    rf"|(?<![^\s(\[\"'])(?:[a-z{_SYM}][ .\-_*~]{{1,2}}){{3,}}[a-z{_SYM}](?![^\W_])"
+    r"|(?<!\S)[a-z]{1,12}(?:[\-_*~.][a-z]{1,12})+(?![^\s.,;:?!)\]\"'])"
 )
 
 
@@ -77,8 +83,8 @@ class Decoder:
 
     def _restore(self, span: str) -> str:
         logp = self.logp
-        # state: last two classes and last raw character -> (score, text)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # state: last two classes and last raw character -> (score, letters as linked pairs)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         last = ""
         for ch in span:
             letter = ch.isalpha()
@@ -90,18 +96,33 @@ class Decoder:
             drop = DROP_REPEAT if ch == last else DROP_SEPARATOR if ch in SEPARATORS else None
             if not letter:
                 options.append((" ", 0, KEEP_SIGN if ch in IMITATES else 1.5))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 if drop is not None and ((a, b) not in new or new[a, b][0] < score - drop):
                     new[a, b] = (score - drop, text)
                 for to, c, price in options:
                     got = score - price + logp[a, b, c]
                     if (b, c) not in new or new[b, c][0] < got:
-                        new[b, c] = (got, text + to)
+                        new[b, c] = (got, (text, to))
             states, last = new, ch
-        return max(((s + logp[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda x: x[0])[1]
+        path = max(((s + logp[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while path is not None:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out))
+
+    def _decoded(self, m: re.Match) -> str:
+        span, marks = m[0], ""
+        if m["signs"]:
+            span = span.rstrip("!")
+            marks = m[0][len(span) :]
+            if span.isalpha() or (span[0] in "*|+" and span[-1] in "*|+" and span.translate(_NO_MARKS).isalpha()):
+                return m[0]
+        return (self.restore(span) if len(span) <= CACHED else self._restore(span)) + marks
+
 
     def clean(self, text: str) -> str:
         """The lower-cased text with its suspicious spans restored."""
         text = text.lower()
-        return SUSPICIOUS.sub(lambda m: self.restore(m[0]) if len(m[0]) <= 60 else m[0], text)
+        return SUSPICIOUS.sub(self._decoded, text)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from corpus_guard.llm.deobfuscate import CLASSES, Decoder, trigram_ids
 from corpus_guard.llm.mixing import in_mixed_order, mixture
 from corpus_guard.llm.ngram_join import _parity, ngram_components
 
@@ -54,3 +55,16 @@ def test_mixture_keeps_weights_until_a_source_leaves(spark):
             assert abs(sum(slots[k] == s for k in range(t)) - t * w / 10) <= (1 + 3 * w / 10) / 2
     order = [r.source for r in in_mixed_order(docs, weights=weights, block_chars=50).collect()]
     assert order == [slots[k] for k in range(3000)]
+
+
+def test_decoder_ends_and_lengths():
+    text = " ".join(["you are a worthless idiot and a vile loser with no class", "garbage trash clown pathetic person this is bold and plain"] * 200)
+    d = Decoder(np.bincount(trigram_ids(text), minlength=CLASSES**3))
+    forms = {"vil3": "vile", "garb4g3": "garbage", "cla$$": "class", "1diot!": "idiot!", "l0s3r!!": "loser!!", 'idi0t"': 'idiot"', "(idi0t)": "(idiot)", "(l o s e r)": "(loser)"}
+    for noisy, plain in forms.items():
+        assert d.clean(f"you {noisy} person") == f"you {plain} person"
+    assert d.clean("y o u a r e a w o r t h l e s s i d i o t a n d a v i l e l o s e r").replace(" ", "") == "youareaworthlessidiotandavileloser"
+    assert d.clean("you id" + "i" * 100 + "ot") == "you idiot"
+    assert len(d.clean("l o s e r " * 4000 + "x")) < 30_000
+    for plain in ("this is **bold** and plain!", "|trash|person|", "x" + "1" * 5 + "\u00e9"):
+        assert d.clean(plain) == plain
