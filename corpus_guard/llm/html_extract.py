@@ -3,8 +3,9 @@
 1. Each host has one model page, the one with the smallest id. Every page of the
    host is folded (like siblings in a row form one slot) and aligned with the model
    page by simple tree matching; per slot it is counted on how many pages it occurs
-   and on how many its text equals the model page's. The counts are sums with
-   map-side combine, so a host with a third of all pages is no hot task.
+   and on how many its text equals the model page's; pages of a host with the same
+   content count once. Pages are aligned before that, and only slot numbers are
+   shuffled, by host and content, so a host with a third of all pages is no hot task.
 2. A wrapper per host classifies the slots: those constant on most pages of the
    host are template; so are navigation, headers, footers, asides, forms, notices,
    adverts and reader comments by tag, role or label; varying slots are content. If
@@ -37,6 +38,8 @@ from .dom import BLOCKS, SILENT, Node, Slot, fold, match, own_text, parse, squee
 from .staging import small, stage
 
 CONSTANT = 0.5
+#: Page contents that one task remembers, to skip copies before the shuffle.
+SEEN = 200_000
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split()) | SILENT
 ASIDE_LABEL = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|site-header|page-header|topbar"
@@ -90,24 +93,26 @@ def _models(batches):
 
 
 def _count_slots(batches):
-    """Per host and slot of its model: pages aligned, pages whose text there equals the model's."""
+    """Per page content of a host the slots of its model that it has, as 2 * slot, plus 1 where its text equals the model's."""
+    seen: set[tuple[str, bytes]] = set()
+    models: dict[str, tuple] = {}
     for batch in batches:
-        counts: dict[tuple[str, int], list[int]] = {}
-        models: dict[str, tuple] = {}
+        out: list[tuple[str, bytes, list[int]]] = []
         for host, html, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "model"))):
+            page = host, hashlib.md5((html or "").encode("utf-8", "replace")).digest()
+            if page in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(page)
             if host not in models:
                 models[host] = _from_skeleton(model)
             reference, digests = models[host]
             slots = fold(parse(html or ""))
-            for mine, theirs in match(reference[0], slots[0]).items():
-                got = counts.setdefault((host, theirs), [0, 0])
-                got[0] += 1
-                got[1] += _digest(slots[mine]) == digests[theirs]
-        if counts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.int32()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())],
-                ["host", "slot", "pages", "same"],
-            )
+            out.append((*page, [2 * theirs + (_digest(slots[mine]) == digests[theirs]) for mine, theirs in match(reference[0], slots[0]).items()]))
+        if out:
+            hosts, pages, found = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["host", "page", "slots"])
 
 
 def _is_main(tag: str, label: str) -> bool:
@@ -209,8 +214,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     model_pages = named.join(small(first), key & (F.xxhash64(F.coalesce(named["html"], F.lit(""))) == first["h"])).select(named["host"], named["html"])
     models = stage(model_pages.dropDuplicates(["host"]).mapInArrow(_models, "host string, model string"), "models")
     joined = named.join(small(models, 20_000), "host")
-    counts = joined.select("host", "html", "model").mapInArrow(_count_slots, "host string, slot int, pages long, same long")
-    counts = counts.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    counts = joined.select("host", "html", "model").mapInArrow(_count_slots, "host string, page binary, slots array<int>").dropDuplicates(["host", "page"])
+    counts = counts.select("host", F.explode("slots").alias("slot")).groupBy("host", F.expr("slot div 2").cast("int").alias("slot")).agg(F.count("*").alias("pages"), F.sum(F.col("slot") % 2).alias("same"))
     slots = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "same")).alias("slots"))
     wrappers = stage(models.join(slots, "host"), "wrappers")
     names = ["page_id", "url", "host"]

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from corpus_guard.llm.deobfuscate import CLASSES, Decoder, trigram_ids
+from corpus_guard.llm.html_extract import extract_text
 from corpus_guard.llm.mixing import in_mixed_order, mixture
 from corpus_guard.llm.ngram_join import _parity, ngram_components
 
@@ -68,3 +69,12 @@ def test_decoder_ends_and_lengths():
     assert len(d.clean("l o s e r " * 4000 + "x")) < 30_000
     for plain in ("this is **bold** and plain!", "|trash|person|", "x" + "1" * 5 + "\u00e9"):
         assert d.clean(plain) == plain
+
+
+def test_html_host_of_copies(spark):
+    def html(n):
+        return f"<body><div><p>Welcome to our site</p></div><section><p>Story number {n} has its own words</p></section><div><p>All rights kept</p></div></body>"
+
+    rows = [(i, "http://h.example/x", html(0 if i < 20 else i)) for i in range(26)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story number {0 if i < 20 else i} has its own words" for i in range(26)}
