@@ -150,9 +150,9 @@ def scan_devcontainer(files: DataFrame) -> DataFrame:
 
 def scan_entrypoint(files: DataFrame) -> DataFrame:
     """Script tails: a self-calling function in the last lines, exports set again near the end, high entropy in the last ten lines."""
-    t = tail_lines(to_lines(files.where(F.col("ext").isin("js", "ts"))), 0.3, 50)
+    t = tail_lines(to_lines(files.where(F.col("ext").isin("js", "ts")), long="keep"), 0.3, 50)
     text = F.col("text")
-    bits = entropy(F.substring("text", 1, 2000))
+    bits = entropy("text")
     return _out(
         t, F.when(F.col("in_tail") & text.rlike(r"^\s*[;!]?\(?(async\s+)?(function\s*\(|\(\s*\)\s*=>)"), _hit("entrypoint-iife", F.when(text.rlike(NETWORK), F.lit("critical")).otherwise(F.lit("high")), text)),
         F.when(F.col("past_80") & text.rlike(r"^\s*module\.exports\s*="), _hit("entrypoint-export", "high", text)),

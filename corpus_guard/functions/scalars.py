@@ -141,8 +141,8 @@ def cvss_score(text: str | Column) -> Column:
 
 
 def strip_shell_comment(line: str | Column) -> Column:
-    """Cut at a # that follows white space or starts the line, outside quotes."""
-    return F.regexp_replace(F.regexp_extract(line, r"""^((?:'[^']*'|"(?:\\.|[^"\\])*"|[^'"#\s]#*|\s+(?!#)|['"])*)""", 1), r"\s+$", "")
+    """Cut at a # that follows white space or starts the line, outside quotes. Possessive groups keep long lines off the stack."""
+    return F.regexp_replace(F.regexp_extract(line, r"""^((?:'[^']*'|"(?:\\.|[^"\\])*+"|[^'"#\s]#*|\s+(?!#)|['"])*+)""", 1), r"\s+$", "")
 
 
 def alphabet_of(fragment: str | Column) -> Column:

@@ -132,7 +132,7 @@ def small_parsers(spark, d):
 @register("i15_strip_shell_comment")
 def shell_comment(spark, d):
     c = view(spark, d, "commands_v")
-    return c.select("session", "turn", S.strip_shell_comment(F.concat(F.lit("echo 'a # b' "), F.substring(F.regexp_replace("command", "['\"\n]", " "), 1, 60), F.lit(" # end"))).alias("bare"))
+    return c.select("session", "turn", S.strip_shell_comment(F.concat(F.lit("echo 'a # b' "), F.regexp_replace("command", "['\"\n]", " "), F.lit(" # end"))).alias("bare"))
 
 
 @register(

