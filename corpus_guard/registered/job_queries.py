@@ -54,9 +54,11 @@ def fragments(spark, d):
 
 @register("j04_reassemble")
 def reassemble(spark, d):
-    f = view(spark, d, "files_v").where("path like '%/doc-%'")
+    """All of files_v and a split program, in repos of 64 consecutive ids of a source, so that a source's size does not push its fragments over the limit of a group."""
+    f = view(spark, d, "files_v").withColumn("repo", F.concat_ws("/", "repo", F.expr("file_id div 64")))
     part = F.element_at(F.array(*map(F.lit, ("Y29uc29sZS5s", "b2coMSk7Y29u", "c29sZS5sb2co"))), (F.col("file_id") % 3 + 1).cast("int"))
-    return P.reassemble(P.fragments(f.where("file_id % 16 < 4").withColumn("content", F.concat(F.lit("x = '"), part, F.lit("'")))))
+    split = f.where("path like '%/doc-%'").withColumn("repo", F.concat("repo", F.lit("/split"))).withColumn("content", F.concat(F.lit("x = '"), part, F.lit("'")))
+    return P.reassemble(P.fragments(f.unionByName(split)))
 
 
 _KINDS_SQL = """CASE WHEN regexp_matches(command, '(curl|wget)\\s[^|;&]*\\|\\s*(sudo\\s+)?(ba|z|da)?sh\\b') THEN 'pipe-to-shell' WHEN regexp_matches(command, '(ba|z)?sh\\s+<\\(\\s*(curl|wget)') THEN 'pipe-to-shell'

@@ -45,3 +45,14 @@ def test_whole_command(spark, real):
     spark.createDataFrame([(2, 0, "user", "run " + "x" * 20_000 + " last")], "conv_id long, turn long, role string, text string").write.mode("append").parquet(f"{real}/conversations.parquet")
     bare = {r.session: r.bare for r in QUERIES["i15_strip_shell_comment"](spark, real).collect()}[2]
     assert bare.startswith("echo 'a # b' run xxx") and "x" * 20_000 + " last" in bare
+
+
+def test_real_fragments_of_a_hot_source_are_reassembled(spark):
+    path = tempfile.mkdtemp(prefix="spark-hot-")
+    pieces = {6400 + 61: "x = 'cmVhbCBw'", 6400 + 62: "x = 'aWVjZXMg'", 6400 + 63: "x = 'b2YgY29k'"}
+    rows = [(i, f"y = 'ZZ{i:06d}'" if i < 6400 else pieces.get(i), "en", "src", 1) for i in range(6464)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    for t in set(os.listdir(SF)) - set(os.listdir(path)):
+        os.symlink(f"{SF}/{t}", f"{path}/{t}")
+    blobs = [r.blob for r in QUERIES["j04_reassemble"](spark, path).where("repo like 'src/%'").collect()]
+    assert any("cmVhbCBwaWVjZXMgb2YgY29k" in b for b in blobs)
