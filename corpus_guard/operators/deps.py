@@ -43,13 +43,29 @@ def typosquats(deps: DataFrame, popular: DataFrame, ratio: float = 0.85) -> Data
     return near.groupBy("name").agg(F.min_by("popular", "ord").alias("popular"))
 
 
+def _rests(c: Column, most: int) -> Column:
+    """What is left of a string after up to ``most`` deletions, the string itself included."""
+    rests = F.array(c)
+    for _ in range(most):
+        cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        rests = F.array_distinct(F.concat(rests, F.flatten(F.transform(rests, cut))))
+    return rests
+
+
 def near_names(deps: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame:
-    """D5 by edit distance: the first popular name within ``most`` edits, found through the same shared bigrams."""
+    """D5 by edit distance: the first popular name within ``most`` edits.
+
+    An edit takes away two bigrams at most, so names of at least 2 * most + 2 characters
+    share a bigram with any name that near; shorter ones meet on equal rests after up to
+    ``most`` deletions, which all pairs within ``most`` edits have.
+    """
     names = deps.select(F.lower("name").alias("name")).distinct().join(popular.select(F.col("popular").alias("name")), "name", "left_anti")
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     a = names.withColumn("g", F.explode(grams(F.col("name"))))
     b = popular.withColumn("g", F.explode(grams(F.col("popular"))))
-    pairs = a.join(b, "g").where(F.abs(F.length("name") - F.length("popular")) <= most).select("name", "ord", "popular").distinct()
+    short = lambda df, c: df.where(F.length(c) < 2 * most + 2).withColumn("g", F.explode(_rests(F.col(c), most)))
+    pairs = a.join(b, "g").unionByName(short(names, "name").join(short(popular, "popular"), "g"))
+    pairs = pairs.where(F.abs(F.length("name") - F.length("popular")) <= most).select("name", "ord", "popular").distinct()
     near = pairs.where(F.levenshtein("name", "popular") <= most)
     return near.groupBy("name").agg(F.min_by("popular", "ord").alias("popular"))
 

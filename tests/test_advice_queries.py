@@ -5,6 +5,7 @@ import tempfile
 
 import pytest
 
+from corpus_guard.operators.deps import near_names
 from corpus_guard.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,21 @@ def test_real_fragments_of_a_hot_source_are_reassembled(spark):
         os.symlink(f"{SF}/{t}", f"{path}/{t}")
     blobs = [r.blob for r in QUERIES["j04_reassemble"](spark, path).where("repo like 'src/%'").collect()]
     assert any("cmVhbCBwaWVjZXMgb2YgY29k" in b for b in blobs)
+
+
+def test_short_near_names(spark):
+    names = ["vue", "got", "a", "ab", "abcde", "xbcdy", "vxuxe", "lodahs", "reactt", "q", "nothing-like-it"]
+    popular = ["vie", "gat", "b", "cd", "axcye", "react", "lodash", "express"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {n: next((p for p in popular if edits(n, p) <= 2), None) for n in names}
+    deps = spark.createDataFrame([(n,) for n in names], "name string")
+    got = near_names(deps, spark.createDataFrame(list(enumerate(popular)), "ord int, popular string"))
+    assert {r.name: r.popular for r in got.collect()} == {n: p for n, p in want.items() if p}
