@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .deobfuscate import CLASSES, Decoder, trigram_ids
-from .hashing import LETTERS_ONLY, slices
-from .staging import stage
+from .deobfuscate import CLASSES, PIECE, Decoder, pieces, trigram_ids
+from .hashing import LETTERS_ONLY, Words
+from .staging import drop_stage, stage
 
 MAX_TRAIN = 10_000
 BITS = 20
@@ -44,14 +44,14 @@ def _count_trigrams(batches):
     size = 0
 
     def flush():
-        return np.bincount(trigram_ids("  ".join(held).lower()), minlength=CLASSES**3)
+        return np.bincount(trigram_ids("  ".join(held)), minlength=CLASSES**3)
 
     for batch in batches:
         for text in batch.column(0):
-            if text.is_valid:
-                held.append(text.as_py())
-                size += len(held[-1])
-                if size > 1 << 20:
+            for part in pieces(text.as_py()) if text.is_valid else ():
+                held.append(part)
+                size += len(part)
+                if size > PIECE:
                     total += flush()
                     held, size = [], 0
     total += flush()
@@ -66,31 +66,50 @@ def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def features(texts: list[str]):
-    """(row, feature) pairs, distinct and in row order, of restored texts."""
-    out_row, out_feature = [], []
-    keep = np.uint64((1 << BITS) - 1)
-    for first, w in slices(pa.array(texts, pa.large_string()), space=LETTERS_ONLY):
-        doc = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.first))
+def features(decoder: Decoder, texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs, distinct and in row order, of the restored texts; only features that are ``wanted``, if given."""
+    found: list[np.ndarray] = []
+    mask = np.uint64((1 << BITS) - 1)
+
+    def flush(rows, held):
+        p, at = decoder.clean_points(held)
+        data = p.tobytes().decode("utf-32-le", "replace").encode()
+        size = np.zeros(len(p) + 1, np.int64)
+        np.cumsum(1 + (p > 0x7F).astype(np.int8) + (p > 0x7FF) + (p > 0xFFFF), out=size[1:])
+        w = Words(np.frombuffer(data, np.uint8), size[at], False, LETTERS_ONLY)
+        doc = np.repeat(np.array(rows, np.uint64), np.diff(w.first))
         parts = [(doc, w.hash)]
         for k in STARTS:
-            at, h = w.prefix_hash(k)
-            parts.append((doc[at], h))
-        rows = np.concatenate([p[0] for p in parts]).astype(np.uint64)
-        both = (rows << np.uint64(BITS)) | (np.concatenate([p[1] for p in parts]) & keep)
-        yield_rows = np.unique(both)
-        out_row.append((yield_rows >> np.uint64(BITS)).astype(np.int64) + first)
-        out_feature.append((yield_rows & keep).astype(np.int32))
-    return np.concatenate(out_row or [np.empty(0, np.int64)]), np.concatenate(out_feature or [np.empty(0, np.int32)])
+            long, h = w.prefix_hash(k)
+            parts.append((doc[long], h))
+        feature = np.concatenate([h for _, h in parts]) & mask
+        row = np.concatenate([r for r, _ in parts])
+        if wanted is not None:
+            some = wanted[feature]
+            feature, row = feature[some], row[some]
+        found.append(np.unique((row << np.uint64(BITS)) | feature))
+
+    rows, held, size = [], [], 0
+    for row, text in enumerate(texts):
+        for part in pieces(text or ""):
+            rows.append(row)
+            held.append(part)
+            size += len(part)
+            if size > PIECE:
+                flush(rows, held)
+                rows, held, size = [], [], 0
+    if held:
+        flush(rows, held)
+    both = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    return (both >> np.uint64(BITS)).astype(np.int64), (both & mask).astype(np.int32)
 
 
 def _train_features(decoder):
     def work(batches):
         for batch in batches:
-            texts = [decoder.value.clean(t or "") for t in batch.column("text").to_pylist()]
-            row, feature = features(texts)
-            sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(sizes, pa.array(feature))], ["y", "f"])
+            row, feature = features(decoder.value, (t.as_py() for t in batch.column("text")))
+            sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(sizes, pa.array(feature))], ["doc_id", "h", "y", "f"])
 
     return work
 
@@ -140,23 +159,8 @@ def _score(model, names: list[str], text_col: str = "text"):
     def work(batches):
         decoder, weights, base = model.value
         for batch in batches:
-            texts = batch.column(text_col)
-            z = np.full(batch.num_rows, base)
-            held: list[str] = []
-            start, size = 0, 0
-
-            def flush(start, held):
-                row, feature = features(held)
-                z[start : start + len(held)] += np.bincount(row, weights[feature], minlength=len(held))
-
-            for i, text in enumerate(texts):
-                held.append(decoder.clean(text.as_py() or ""))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    flush(start, held)
-                    held, start, size = [], i + 1, 0
-            if held:
-                flush(start, held)
+            row, feature = features(decoder, (t.as_py() for t in batch.column(text_col)), weights != 0)
+            z = base + np.bincount(row, weights[feature], minlength=batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
 
@@ -169,10 +173,18 @@ def model_for(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     decoder = sc.broadcast(Decoder(letter_counts(docs, text_col)))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = stage(marked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(*order).limit(max_train), "train")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
-    found = rows.select("y", "text").mapInArrow(_train_features(decoder), "y int, f array<int>").limit(max_train).toArrow()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    # rows that repeat an id and a text count once; ids that repeat with other texts are kept to the bound in a fixed order
+    rows = rows.withColumn("h", F.xxhash64("text")).select("doc_id", "h", "y", "text")
+    chosen = stage(rows.select("doc_id", "h").distinct().orderBy(*order, "h").limit(max_train), "train-rows")
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.select("doc_id", "h", "y", "text").mapInArrow(_train_features(decoder), f"doc_id {kind}, h long, y int, f array<int>").toArrow()
+    drop_stage(marked)
+    drop_stage(chosen)
+    found = found.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     y = found.column("y").to_numpy()
     lists = found.column("f").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)

@@ -5,18 +5,19 @@ import gzip
 import hashlib
 import os
 import tempfile
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpus_guard.llm.deobfuscate import CLASSES, Decoder, trigram_ids
+from corpus_guard.llm.deobfuscate import CLASSES, Decoder, pieces, trigram_ids
 from corpus_guard.llm.html_extract import extract_text
 from corpus_guard.llm.mixing import mixture, select_mixture
 from corpus_guard.llm.packing import CAPACITIES, pack
 from corpus_guard.llm.quality import grade, ratings
-from corpus_guard.llm.toxicity import drop_toxic, score
+from corpus_guard.llm.toxicity import drop_toxic, features, score
 from corpus_guard.llm.warc import export_warc, read_archive, write_archive
 
 SF = "/root/testdata/sf0.01"
@@ -191,3 +192,65 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     check_packing(last, [(r.doc_id, len(r.text.encode().split())) for r in kept.collect()])
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in kept.collect()}
+
+
+def brute_path(d, span):
+    """Best of all paths through the lattice of a short span."""
+    best = {}
+
+    def walk(i, last, a, b, score, text):
+        if i == len(span):
+            total = score + d.logp[a, b, 0]
+            if total > best.get("score", -1e9):
+                best.update(score=total, text=text)
+            return
+        options, drop = d.options(span[i], last)
+        if drop is not None:
+            walk(i + 1, span[i], a, b, score - drop, text)
+        for to, c, price in options:
+            walk(i + 1, span[i], b, c, score - price + d.logp[a, b, c], text + to)
+
+    walk(0, "", 0, 0, 0.0, "")
+    return best["text"]
+
+
+@pytest.fixture(scope="module")
+def decoder():
+    text = " ".join(["you are an idiot and a moron you stupid loser", "trash clown pathetic worthless person"] * 200)
+    return Decoder(np.bincount(trigram_ids(text), minlength=CLASSES**3))
+
+
+def test_viterbi_against_all_paths(decoder):
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        span = "".join(r.choice(list("aidoti01$!*8|. -о"), r.integers(2, 8)))
+        assert decoder.restore(span) == brute_path(decoder, span), span
+
+
+def test_decoding_is_linear(decoder):
+    for text in ("0" * 10_000 + "a%", "$" * 10_000 + "a%", "+" * 10_000 + "a%", "0" * 10_000 + "é", "a" * 200_000 + "1" * 5 + "é", "x-" * 10_000 + "é"):
+        began = time.time()
+        decoder.clean(text)
+        assert time.time() - began < 2, text[:3]
+
+
+def test_lookalikes_and_hidden_characters(decoder):
+    for noisy, plain in {"idiоt": "idiot", "mοrоn": "moron", "ｉｄｉｏｔ": "idiot", "id​i­ot": "idiot", "st-up1d": "stupid"}.items():
+        assert decoder.clean(f"you {noisy} person") == f"you {plain} person"
+    for plain in ("сон и мир", "και", "café naïve", ""):
+        assert decoder.clean(plain) == plain
+
+
+def test_long_texts_in_pieces(decoder):
+    text = "the tree stands by the river 1d10t s t u p i d person\n" * 60_000
+    assert "".join(pieces(text)) == text and len(list(pieces(text))) > 2
+    assert "".join(decoder.clean(x) for x in pieces(text)) == "the tree stands by the river idiot stupid person\n" * 60_000
+    one = features(decoder, [text[:54], "other words", text, None])
+    assert sorted(one[1][one[0] == 0]) == sorted(one[1][one[0] == 2]) and not (one[0] == 3).any()
+
+
+def test_training_rows_with_repeated_ids(spark):
+    docs, labels = toxic_corpus(spark)
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id < 300").withColumn("text", F.concat(F.lit("window "), "text")))
+    few = [sorted(map(str, score(x, labels, max_train=100).collect())) for x in (twice, twice.repartition(7), twice.orderBy(F.desc("text")))]
+    assert few[0] == few[1] == few[2] and len(few[0]) == twice.count()
