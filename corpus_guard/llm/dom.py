@@ -1,4 +1,4 @@
-"""A small DOM for wrapper induction: parsing, repeat folding and simple tree matching."""
+"""A small DOM for wrapper induction: parsing, folding and simple tree matching; nothing recurses, so depth is not limited."""
 
 from __future__ import annotations
 
@@ -20,27 +20,34 @@ CLOSES_P = frozenset(
 )
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-MAX_DEPTH = 150
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "depth")
+    __slots__ = ("tag", "label", "kids")
 
-    def __init__(self, tag: str, label: str, depth: int):
-        self.tag, self.label, self.depth = tag, label, depth
+    def __init__(self, tag: str, label: str):
+        self.tag, self.label = tag, label
         self.kids: list = []  # nodes and strings in page order
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root", "", 0)
+        self.root = Node("#root", "")
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # open elements by tag
+
+    def _cut(self, i: int):
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
 
     def _close(self, tags: tuple[str, ...], stops: tuple[str, ...]):
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in stops:
                 return
@@ -53,23 +60,23 @@ class _Builder(HTMLParser):
         label = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style") and v is not None)
         if any(k == "hidden" for k, _ in attrs):
             label += " hidden"
-        top = self.open[-1]
-        node = Node(tag, label, top.depth + 1)
-        top.kids.append(node)
-        if tag not in VOID and node.depth < MAX_DEPTH:
+        node = Node(tag, label)
+        self.open[-1].kids.append(node)
+        if tag not in VOID:
             self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if not self.count.get(tag):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             # a stray end tag does not close its containers
             if self.open[i].tag in ("article", "main", "body", "table") and tag not in ("html", "body", "main", "article", "table"):
@@ -100,12 +107,12 @@ def squeeze(text: str) -> str:
 
 
 class Slot:
-    """A node of the folded tree: a run of like siblings is one slot."""
+    """A node of the folded tree: siblings of one tag and label are one slot."""
 
-    __slots__ = ("key", "label", "tag", "nodes", "kids", "id")
+    __slots__ = ("key", "nodes", "kids", "id")
 
-    def __init__(self, key: str, tag: str, label: str):
-        self.key, self.tag, self.label = key, tag, label
+    def __init__(self, key: str):
+        self.key = key
         self.nodes: list[Node] = []
         self.kids: list[Slot] = []
         self.id = 0
@@ -116,79 +123,64 @@ def _words(label: str) -> str:
 
 
 def fold(root: Node) -> list[Slot]:
-    """Slots of the block structure in preorder; slot 0 is the root. Siblings of one tag and label that follow each other share a slot."""
-    top = Slot("#root", "#root", "")
+    """Slots of the block structure, parents first; slot 0 is the root. The keys of a slot's children differ."""
+    top = Slot("#root")
     top.nodes.append(root)
     out = [top]
-    todo = [top]
-    while todo:
-        slot = todo.pop()
-        last = None
+    for slot in out:
+        kids: dict[str, Slot] = {}
         for node in slot.nodes:
             for kid in node.kids:
-                if isinstance(kid, str) or (kid.tag not in BLOCKS and kid.tag not in SILENT and kid.tag not in ("span", "a")):
+                if isinstance(kid, str) or kid.tag not in BLOCKS:
                     continue
-                key = f"{kid.tag}|{_words(kid.label)}"
-                if last is None or last.key != key:
-                    last = next((s for s in slot.kids if s.key == key), None) if len(slot.nodes) > 1 else None
-                    if last is None:
-                        last = Slot(key, kid.tag, kid.label)
-                        slot.kids.append(last)
-                last.nodes.append(kid)
-        todo.extend(reversed(slot.kids))
-        if slot is not top:
-            slot.id = len(out)
-            out.append(slot)
+                key = f"{kid.tag}|{_words(kid.label)}" if kid.label else kid.tag
+                if key not in kids:
+                    kids[key] = Slot(key)
+                kids[key].nodes.append(kid)
+        slot.kids = list(kids.values())
+        for k in slot.kids:
+            k.id = len(out)
+            out.append(k)
     return out
 
 
+def _common(x: Slot, y: Slot) -> list[tuple[Slot, Slot]]:
+    """Children of two slots with equal keys, in the order of y."""
+    theirs = {k.key: k for k in x.kids}
+    return [(theirs[k.key], k) for k in y.kids if k.key in theirs]
+
+
 def match(a: Slot, b: Slot) -> dict[int, int]:
     """Simple tree matching: the largest order-preserving mapping of slots of b to slots of a with equal keys and mapped parents."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(x: Slot, y: Slot) -> int:
-        if x.key != y.key:
-            return 0
-        got = memo.get((x.id, y.id))
-        if got is not None:
-            return got[0]
-        m, n = len(x.kids), len(y.kids)
-        table = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            row, above = table[i], table[i - 1]
-            for j in range(1, n + 1):
-                w = size(x.kids[i - 1], y.kids[j - 1])
-                row[j] = max(row[j - 1], above[j], above[j - 1] + w) if w else max(row[j - 1], above[j])
-        memo[x.id, y.id] = (table[m][n] + 1, table)
-        return table[m][n] + 1
-
-    size(a, b)
+    pairs = [(a, b)]
+    common: list[list[tuple[Slot, Slot]]] = []
+    for x, y in pairs:  # grows
+        common.append(_common(x, y) if x.kids and y.kids else [])
+        pairs.extend(common[-1])
+    size: dict[int, int] = {}
+    chosen: dict[int, list[tuple[Slot, Slot]]] = {}
+    for (_, y), both in zip(reversed(pairs), reversed(common)):
+        if any(p[0].id > q[0].id for p, q in zip(both, both[1:])):
+            both = _in_order(both, size)
+        chosen[y.id] = both
+        size[y.id] = 1 + sum(size[k.id] for _, k in both)
     out: dict[int, int] = {}
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         out[y.id] = x.id
-        table = memo[x.id, y.id][1]
-        i, j = len(x.kids), len(y.kids)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                todo.append((x.kids[i - 1], y.kids[j - 1]))
-                i, j = i - 1, j - 1
+        todo.extend(chosen[y.id])
     return out
 
 
-def own_text(node: Node) -> str:
-    """All text below a node that is not silent."""
-    parts: list[str] = []
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            parts.append(n)
-        elif n.tag not in SILENT:
-            todo.extend(reversed(n.kids))
-    return squeeze("".join(parts))
+def _in_order(both: list[tuple[Slot, Slot]], size: dict[int, int]) -> list[tuple[Slot, Slot]]:
+    """The heaviest part of pairs, given in the order of the second, that is in the order of the first too."""
+    best: list[tuple[int, int]] = []  # weight of the best chain that ends here, and its last but one pair
+    for j, (x, y) in enumerate(both):
+        before = max(((best[i][0], i) for i in range(j) if both[i][0].id < x.id), default=(0, -1))
+        best.append((before[0] + size[y.id], before[1]))
+    out, at = [], max(range(len(both)), key=lambda i: best[i][0])
+    while at >= 0:
+        out.append(both[at])
+        at = best[at][1]
+    return out[::-1]

@@ -1,26 +1,30 @@
 """Main text of web pages by wrapper induction.
 
 1. Each host has one model page, the one with the smallest id. Every page of the
-   host is folded (like siblings in a row form one slot) and aligned with the model
-   page by simple tree matching; per slot it is counted on how many pages it occurs
-   and on how many its text equals the model page's; pages of a host with the same
-   content count once. Pages are aligned before that, and only slot numbers are
-   shuffled, by host and content, so a host with a third of all pages is no hot task.
-2. A wrapper per host classifies the slots: those constant on most pages of the
-   host are template; so are navigation, headers, footers, asides, forms, notices,
-   adverts and reader comments by tag, role or label; varying slots are content. If
-   the model has an article or main slot, content lies inside it, and what is
-   constant there stays content.
-3. Each page is aligned again and its content slots, and new slots below them, are
-   written out block by block.
-
-Model pages and wrappers are one small row per host; they are broadcast when their
-counted number allows it and joined by host otherwise.
+   host is parsed once, folded (siblings of one tag and label form one slot) and
+   aligned with the model page by simple tree matching. Each block of text gets its place: the
+   slot of the model that it lies in, or the path below such a slot where the model lacks it.
+2. Per host and place it is counted on how many different pages there is a block and
+   on how many the same text stands there. What is the same on most pages of
+   a host is template, inside the article too; places whose text varies are content.
+3. Navigation, headers, footers, sidebars, forms, notices, adverts and reader comments
+   that are marked as such by tag, role or label are left out on each page, and pages that
+   mark an article or main part are read inside it.
+
+If template blocks would be more than half of the blocks inside a marked article, the
+pages are near copies of each other, not template, and the article stays whole.
+Pages with the same blocks count as one page, so a host that is mostly copies of
+one page does not turn that page into template.
+
+Only hashes of places and blocks are shuffled, by host, place and block with map-side
+combine, so a host with a third of all pages is no hot task. Model pages and template
+blocks are bounded by the templates of the hosts; they are broadcast when
+their measured size allows it and joined by host otherwise.
 
 Defined results: null and empty pages give the empty text; pages without markup
-are one block; a null URL and one without a host share the host ''; a host with one
-page is classified by labels alone; rows that repeat an id are separate pages;
-other columns are not read; markup nested deeper than MAX_DEPTH is read at that depth.
+are one block; a null URL and one without a host share the host ''; a host with fewer than PAGES
+different pages is judged by tags and labels alone; rows that repeat an id are separate pages;
+other columns are not read; markup may nest to any depth.
 """
 
 from __future__ import annotations
@@ -34,56 +38,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dom import BLOCKS, SILENT, Node, Slot, fold, match, own_text, parse, squeeze
+from .dom import BLOCKS, SILENT, Node, Slot, fold, match, parse, squeeze
 from .staging import small, stage
 
-CONSTANT = 0.5
-#: Page contents that one task remembers, to skip copies before the shuffle.
-SEEN = 200_000
+#: Share of a host's pages from which on a block is template, and fewest pages that show it.
+CONSTANT, PAGES = 0.5, 4
+#: Bytes of model pages or template blocks up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split()) | SILENT
+#: Class, id or role names of what is not the article, alone or with a word for its place or kind of box.
 ASIDE_LABEL = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|site-header|page-header|topbar"
-    r"|cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager"
-    r"|search|form|widget|skip|toolbar|contentinfo|complementary|hidden)(?![a-z])",
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|user|reader)[-_]?)?"
+    r"(?:ads?|adbox|adsense|advert\w*|banner|sponsor(?:ed)?|promo|promotion|nav|navbar|navigation|menu|breadcrumbs?|sidebar|header|masthead|footer|contentinfo|complementary|cookies?|consent|gdpr"
+    r"|notices?|popup|newsletter|subscribe|signup|login|comments?|disqus|respond|hidden)"
+    r"(?:[-_]?(?:box|block|area|bar|list|section|wrapper|container|widget|unit|slot|banner|notice|links?|items?|menu|form|thread|\d+))*(?=\s|$)",
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-MAIN_LABEL = re.compile(r"(?<![a-z])(?:main|article|post-content|entry-content|article-body|story)(?![a-z])", re.I)
+MAIN_LABEL = re.compile(r"(?:^|\s)(?:main|main[-_]content|article|(?:article|post|entry|story)[-_](?:content|body|text)|story)(?=\s|$)", re.I)
 
 
 def _is_aside(tag: str, label: str, inside: bool) -> bool:
     if tag in ("article", "main", "body", "html", "#root"):
-        return False
+        return bool(label) and tag == "article" and inside and bool(ASIDE_LABEL.search(label))
     if tag == "header" and inside:
         return False
     return tag in ASIDE_TAGS or bool(label and (ASIDE_LABEL.search(label) or HIDDEN.search(label)))
 
 
+def _is_main(tag: str, label: str) -> bool:
+    return tag in ("article", "main") or bool(label and tag in ("div", "section") and MAIN_LABEL.search(label))
+
+
 def host_of(url):
     """Lower-cased host of a URL column, '' if none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def _digest(slot: Slot) -> str:
-    return hashlib.md5("\n".join(own_text(n) for n in slot.nodes).encode("utf-8", "replace")).hexdigest()[:16]
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _skeleton(slots: list[Slot]) -> str:
-    """A folded tree as JSON: per slot its parent, key, tag, label and text digest."""
+    """A folded tree as JSON: per slot its parent and key."""
     parent = {k.id: s.id for s in slots for k in s.kids}
-    return json.dumps([[parent.get(s.id, -1), s.key, s.tag, s.label, _digest(s)] for s in slots])
+    return json.dumps([[parent.get(s.id, -1), s.key] for s in slots])
 
 
-def _from_skeleton(text: str) -> tuple[list[Slot], list[str]]:
-    slots, digests = [], []
-    for i, (parent, key, tag, label, digest) in enumerate(json.loads(text)):
-        s = Slot(key, tag, label)
+def _from_skeleton(text: str) -> Slot:
+    slots = []
+    for i, (parent, key) in enumerate(json.loads(text)):
+        s = Slot(key)
         s.id = i
         slots.append(s)
-        digests.append(digest)
         if parent >= 0:
             slots[parent].kids.append(s)
-    return slots, digests
+    return slots[0]
 
 
 def _models(batches):
@@ -92,136 +102,120 @@ def _models(batches):
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], ["host", "model"])
 
 
-def _count_slots(batches):
-    """Per page content of a host the slots of its model that it has, as 2 * slot, plus 1 where its text equals the model's."""
-    seen: set[tuple[str, bytes]] = set()
-    models: dict[str, tuple] = {}
-    for batch in batches:
-        out: list[tuple[str, bytes, list[int]]] = []
-        for host, html, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "model"))):
-            page = host, hashlib.md5((html or "").encode("utf-8", "replace")).digest()
-            if page in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(page)
-            if host not in models:
-                models[host] = _from_skeleton(model)
-            reference, digests = models[host]
-            slots = fold(parse(html or ""))
-            out.append((*page, [2 * theirs + (_digest(slots[mine]) == digests[theirs]) for mine, theirs in match(reference[0], slots[0]).items()]))
-        if out:
-            hosts, pages, found = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["host", "page", "slots"])
-
-
-def _is_main(tag: str, label: str) -> bool:
-    return tag in ("article", "main") or (tag in ("div", "section") and bool(MAIN_LABEL.search(label or "")))
-
-
-def _has_main(slots: list[Slot]) -> bool:
-    return any(_is_main(s.tag, s.label) for s in slots)
-
-
-def _wrapper(reference: list[Slot], counts: dict[int, tuple[int, int]], has_main: bool) -> list[bool]:
-    """Whether each slot of the model is content, for pages with a main slot or for those without."""
-    n = counts.get(0, (1, 0))[0]
-    content = [False] * len(reference)
-    todo = [(reference[0], False, not has_main, False)]
-    while todo:
-        slot, aside, inside, within_main = todo.pop()
-        main = _is_main(slot.tag, slot.label)
-        aside = aside or _is_aside(slot.tag, slot.label, within_main)
-        inside, within_main = inside or main, within_main or main
-        pages, same = counts.get(slot.id, (0, 0))
-        constant = not within_main and n > 2 and not slot.kids and slot.tag not in ("html", "body", "#root") and same > CONSTANT * pages
-        content[slot.id] = inside and not aside and not constant
-        todo.extend((k, aside, inside, within_main) for k in slot.kids)
-    return content
-
-
-def page_text(slots: list[Slot], keep: dict[int, bool]) -> str:
-    """Blocks of a page in page order; ``keep`` decides by slot, slots that are missing follow their parent and their own label."""
-    slot_of = {id(n): s.id for s in slots for n in s.nodes}
-    blocks: list[str] = []
+def _places(slots: list[Slot], mapped: dict[int, int]) -> dict[int, str]:
+    """Place by node: the model's slot, or the path from the nearest slot that the model has."""
+    named: dict[int, str] = {0: "0"}
+    out: dict[int, str] = {}
+    for s in slots:
+        here = named[s.id]
+        for n in s.nodes:
+            out[id(n)] = here
+        for k in s.kids:
+            named[k.id] = str(mapped[k.id]) if k.id in mapped else f"{here}/{k.key}"
+    return out
+
+
+def page_blocks(html: str, model: Slot) -> tuple[list[str], list[str], bool]:
+    """Blocks of a page in page order without marked asides, their places, and whether the page marks a main part."""
+    root = parse(html)
+    slots = fold(root)
+    places = _places(slots, match(model, slots[0]))
+    todo: list = [(root, "0", False, False)]
+    blocks: list[tuple[str, str, bool]] = []
     now: list[str] = []
+    owner, owner_within = "0", False
+    has_main = False
 
     def flush():
         text = squeeze("".join(now))
         now.clear()
         if text:
-            blocks.append(text)
+            blocks.append((text, owner, owner_within))
 
-    todo: list = [(slots[0].nodes[0], True, False, False)]
     while todo:
-        item, kept, within, aside = todo.pop()
-        if item is None:
+        item, place, within, end = todo.pop()
+        if end:
             flush()
+            owner, owner_within = place, within
         elif isinstance(item, str):
-            if kept:
-                now.append(item)
+            now.append(item)
         else:
             node: Node = item
-            if node.tag in SILENT:
-                continue
-            aside = aside or _is_aside(node.tag, node.label, within)
-            here = keep.get(slot_of.get(id(node)))
-            if here is None:
-                here = not aside and (kept or _is_main(node.tag, node.label))
             if node.tag == "br":
                 now.append("\n")
                 continue
-            within = within or node.tag in ("article", "main")
-            block = node.tag in BLOCKS
-            if block:
+            if node.tag in SILENT or _is_aside(node.tag, node.label, within):
+                if node.tag in BLOCKS:
+                    flush()
+                continue
+            inner, inner_within = place, within
+            if node.tag in BLOCKS or node is root:
                 flush()
-                todo.append((None, True, within, aside))
-            todo.extend((k, here, within, aside) for k in reversed(node.kids))
+                todo.append((None, place, within, True))
+                inner = places.get(id(node), place)
+            if _is_main(node.tag, node.label):
+                inner_within = has_main = True
+            if node.tag in BLOCKS or node is root:
+                owner, owner_within = inner, inner_within
+            todo.extend((k, inner, inner_within, False) for k in reversed(node.kids))
     flush()
-    return "\n\n".join(blocks)
+    kept = [b for b in blocks if b[2]] if has_main else blocks
+    return [b[0] for b in kept], [b[1] for b in kept], has_main
 
 
-def _extract(names: list[str]):
+def _read(names: list[str]):
     def work(batches):
-        wrappers: dict[str, tuple] = {}
+        models: dict[str, Slot] = {}
         for batch in batches:
-            texts = []
-            for host, html, model, slots_of in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "model", "slots"))):
-                if not html:
-                    texts.append("")
-                    continue
-                if host not in wrappers:
-                    reference, _ = _from_skeleton(model)
-                    seen = {s["slot"]: (s["pages"], s["same"]) for s in slots_of}
-                    wrappers[host] = reference, [_wrapper(reference, seen, m) for m in (False, True)]
-                reference, contents = wrappers[host]
-                slots = fold(parse(html))
-                content = contents[_has_main(slots)]
-                keep = {mine: content[theirs] for mine, theirs in match(reference[0], slots[0]).items()}
-                texts.append(page_text(slots, keep))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+            texts, places, codes, mains, pages = [], [], [], [], []
+            for host, html, model in zip(*(batch.column(c) for c in ("host", "html", "model"))):
+                host = host.as_py()
+                if host not in models:
+                    models[host] = _from_skeleton(model.as_py())
+                text, place, main = page_blocks(html.as_py() or "", models[host])
+                texts.append(text)
+                places.append([_hash(p) for p in place])
+                codes.append([_hash(f"{p}\n{t}") for p, t in zip(place, text)])
+                mains.append(main)
+                pages.append(_hash(repr(codes[-1])))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(mains, pa.bool_()), pa.array(pages, pa.int64())],
+                [*names, "blocks", "places", "codes", "has_main", "page"],
+            )
 
     return work
 
 
+def _template(read: DataFrame) -> DataFrame:
+    """(host, constants): hashes of the blocks that stand at one place on most different pages of a host."""
+    block = F.explode(F.arrays_zip("places", "codes")).alias("b")
+    blocks = read.select("host", "page", block).select("host", "page", F.col("b.places").alias("place"), F.col("b.codes").alias("code")).distinct()
+    same = blocks.groupBy("host", "place", "code").agg(F.count("*").alias("same")).where(F.col("same") >= PAGES * CONSTANT)
+    having = blocks.select("host", "page", "place").distinct().groupBy("host", "place").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    constant = same.join(having, ["host", "place"]).where(F.col("same") > CONSTANT * F.col("pages"))
+    return constant.groupBy("host").agg(F.collect_set("code").alias("constants"))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, host, text, n_chars."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of("url"))
     place = F.struct(F.isnull("page_id").alias("no_id"), "page_id", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
     first = named.groupBy("host").agg(F.min(place).alias("first")).select("host", F.col("first.page_id").alias("page_id"), F.col("first.h").alias("h"))
     first = stage(first, "model-ids")
-    key = (F.coalesce(named["page_id"].cast("string"), F.lit("null")) == F.coalesce(first["page_id"].cast("string"), F.lit("null"))) & (named["host"] == first["host"])
+    key = named["page_id"].eqNullSafe(first["page_id"]) & (named["host"] == first["host"])
     model_pages = named.join(small(first), key & (F.xxhash64(F.coalesce(named["html"], F.lit(""))) == first["h"])).select(named["host"], named["html"])
     models = stage(model_pages.dropDuplicates(["host"]).mapInArrow(_models, "host string, model string"), "models")
-    joined = named.join(small(models, 20_000), "host")
-    counts = joined.select("host", "html", "model").mapInArrow(_count_slots, "host string, page binary, slots array<int>").dropDuplicates(["host", "page"])
-    counts = counts.select("host", F.explode("slots").alias("slot")).groupBy("host", F.expr("slot div 2").cast("int").alias("slot")).agg(F.count("*").alias("pages"), F.sum(F.col("slot") % 2).alias("same"))
-    slots = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "same")).alias("slots"))
-    wrappers = stage(models.join(slots, "host"), "wrappers")
     names = ["page_id", "url", "host"]
-    schema = T.StructType([named.schema[c] for c in names]).add("text", "string")
-    out = named.join(small(wrappers, 20_000), "host").select(*names, "html", "model", "slots").mapInArrow(_extract(names), schema)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    schema = T.StructType([named.schema[c] for c in names]).add("blocks", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.LongType())).add("codes", T.ArrayType(T.LongType())).add("has_main", "boolean").add("page", "long")
+    joined = named.join(small(models, BROADCAST_BYTES, F.length("model") + 64), "host").select(*names, "html", "model")
+    read = stage(joined.mapInArrow(_read(names), schema), "blocks")
+    template = stage(_template(read), "template")
+    out = read.join(small(template, BROADCAST_BYTES, 8 * F.size("constants") + 64), "host", "left")
+    block = F.arrays_zip("blocks", "codes")
+    own = F.filter(block, lambda b: ~F.coalesce(F.array_contains("constants", b["codes"]), F.lit(False)))
+    out = out.withColumn("own", own).withColumn("whole", F.col("has_main") & (2 * F.size("own") < F.size("blocks")))
+    text = F.when(F.col("whole"), F.array_join("blocks", "\n\n")).otherwise(F.array_join(F.col("own.blocks"), "\n\n"))
+    return out.select(*names, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
