@@ -154,3 +154,52 @@ def test_embeddings(spark):
     assert links[400] >= 50
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert near_duplicates(empty).count() == 0
+
+
+def brute_links(vectors, cosine=0.9):
+    """Links and components of vectors of any lengths."""
+    x = []
+    for _, v in vectors:
+        ok = v and all(c is not None and np.isfinite(c) for c in v) and any(v)
+        a = np.array(v, float) / np.abs(v).max() if ok else None
+        x.append(a / np.linalg.norm(a) if ok else None)
+    n = len(x)
+    links = [[j for j in range(n) if j != i and x[i] is not None and x[j] is not None and len(x[i]) == len(x[j]) and x[i] @ x[j] >= cosine] for i in range(n)]
+    root = list(range(n))
+    for _ in range(n):
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(n)]
+    least = {}
+    for i in range(n):
+        least.setdefault(root[i], []).append(vectors[i][0])
+    return [len(a) for a in links], [min((k for k in least[r] if k is not None), default=None) for r in root]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 16, "full": 24, "dense": 8}])
+def test_embeddings_of_all_kinds(spark, sizes):
+    r = np.random.default_rng(3)
+    base = r.normal(size=48)
+    vectors = [(i, (base + r.normal(size=48) * (0.03 if i % 3 else 0.3)).tolist()) for i in range(150)]  # one hot ball and a looser ring
+    other = r.normal(size=48)
+    vectors += [(1000 + i, (other + r.normal(size=48) * 0.02).tolist()) for i in range(80)]
+    vectors += [(2000, [1e-200, 0.0, 0.0]), (2001, [2e-200, 0.0, 0.0]), (2002, [1e300, 1e300, 0.0]), (2003, [1e-310, 1e-310, 0.0]), (2004, [3.0, 3.0, 0.0])]
+    vectors += [(2010, [1.0, 2.0]), (2011, [1.0, 2.0]), (2012, [-1.0, -2.0]), (2013, [5.0]), (2014, [0.1]), (2015, [-5.0]), (2016, [1.0, 2.0, 0.0])]
+    vectors += [(7, vectors[3][1]), (7, [0.0] * 48), (None, vectors[160][1]), (None, None), (2020, []), (2021, None), (2022, [None, 1.0]), (2023, [float("inf"), 1.0])]
+    want = brute_links(vectors)
+    got = near_duplicates(spark.createDataFrame([(*x, 1, "s") for x in vectors], "vec_id long, embedding array<double>, node int, uid string"), **sizes).collect()
+    same([(x.vec_id, x.n_links, x.component_id) for x in got], [(v[0], n, c) for v, n, c in zip(vectors, *want)])
+    assert all(x.kept == (x.vec_id == x.component_id) for x in got)
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs at a cosine of exactly 0.9 in 64 components among other vectors."""
+    r = np.random.default_rng(9)
+    a, b = r.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9 * a + np.sqrt(1 - 0.81) * b + 1e-9 * a
+    rows = [(2 * i + j, v.tolist()) for i in range(1500) for j, v in enumerate((a[i], c[i]))]
+    for full in (1024, 2):
+        got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), full=full).where("n_links > 0").count() / 2
+        print("recall", full, got / 1500)
+        assert got >= 0.9 * 1500
