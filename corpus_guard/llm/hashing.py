@@ -25,6 +25,10 @@ P_WORD = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def powers(p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**i and p**-i modulo 2**64 for i < n (at least)."""
     got = _POWERS.get(p)

@@ -11,7 +11,7 @@ from corpus_guard.llm.components import components
 from corpus_guard.llm.embedding_dedup import near_duplicates
 from corpus_guard.llm.exact_dedup import drop_duplicates, exact_dedup
 from corpus_guard.llm.ngram_join import drop_near_duplicates, ngram_components
-from corpus_guard.llm.substring_dedup import remove_repeats
+from corpus_guard.llm.substring_dedup import compact, remove_repeats, repeated_spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,3 +203,53 @@ def test_embedding_recall_at_the_threshold(spark):
         got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), full=full).where("n_links > 0").count() / 2
         print("recall", full, got / 1500)
         assert got >= 0.9 * 1500
+
+
+def test_compaction_of_links(spark):
+    """Chains, a cycle and lone links against walking them."""
+    r = random.Random(8)
+    ids = r.sample(range(-10**12, 10**12), 700)
+    chains, at = [], 0
+    for size in (2, 3, 300, 90, 17, 2):
+        chains.append(ids[at : at + size])
+        at += size
+    rows = [(a, b, r.randrange(1, 9)) for c in chains for a, b in zip(c, c[1:])]
+    ring = ids[600:605]
+    rows += [(a, b, 1) for a, b in zip(ring, ring[1:] + ring[:1])]
+    size = {a: n for a, _, n in rows}
+    want = {x: (x, 0) for x in ring}
+    for c in chains:
+        off = 0
+        for a, b in zip(c, c[1:]):
+            off += size[a]
+            want[b] = (c[0], off)
+    got = {x.v: (x.head, x.offset) for x in compact(spark.createDataFrame(r.sample(rows, len(rows)), "u long, v long, n int")).collect()}
+    assert got == want
+    assert compact(spark.createDataFrame([], "u long, v long, n int")).count() == 0
+
+
+def test_paths_do_not_branch(spark):
+    """Every repeated window has one place in one path; a path's windows follow each other wherever they occur."""
+    k = 6
+    texts = ["a b c d e f g h i j k l m", "a b c d e f g h i j k l m", "x y c d e f g h i j k z w", "x y c d e f g h i j k z w", "q q q q q q q q q q q q q", "c d e f g h i"]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "u1 long, u2 int, text string")
+    word, spot = {}, {}
+    for x in repeated_spans(docs, k, 3).collect():
+        w = texts[x.u1].split()
+        for i in range(x.n):
+            gram = tuple(w[x.start + i : x.start + i + k])
+            word.setdefault(gram, set()).add((x.path, x.offset + i))
+            spot.setdefault((x.path, x.offset + i), set()).add(gram)
+    count = {}
+    for t in texts:
+        w = t.split()
+        for i in range(len(w) - k + 1):
+            count[tuple(w[i : i + k])] = count.get(tuple(w[i : i + k]), 0) + 1
+    assert set(word) == {g for g, n in count.items() if n > 1} and all(len(p) == 1 for p in word.values()) and all(len(g) == 1 for g in spot.values())
+    inner = [p for g in word for p in word[g] if g[0] in "cdef" and g[-1] in "hijk"]
+    assert len({p for p, _ in inner}) == 1
+
+
+def test_rows_that_repeat_share_their_spans(docs):
+    rows = [(7, " ".join(f"w{i}" for i in range(200)))] * 300 + [(8, " ".join(f"v{i}" for i in range(100))), (None, None)]
+    same([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(docs(rows)).collect()], brute_repeats(rows, 35))
