@@ -53,6 +53,7 @@ DYNAMISM = Scan(
     + _rules("DYN-WRM", "worm-propagation", "critical", ("Worm propagation: npm publish", r"\bnpm\s+publish\b"), ("Worm propagation: package enumeration", r"maintainer:[a-z]+|/-/v1/search"))
     + _rules("DYN-PRB", "probabilistic-activation", "high", ("Acts by chance", r"(Math\.random\(\)|random\.random\(\))\s*[<>]"), ext=CODE)
     + _rules("DYN-ENV", "environment-detection", "medium", ("Looks for a build runner", r"(?i)(GITHUB_ACTIONS|JENKINS_URL|runner\.worker)"))
+    + _rules("DYN-PRC", "process-enumeration", "high", ("Process enumeration: process hunt", r"psutil\.process_iter|/proc/\*/cmdline|\bps aux\b"))
     + _rules("DYN-LOC", "locale-gating", "medium", ("Locale gating", r"navigator\.language|getdefaultlocale|country_code|geoip")),
     keep="category",
 )
@@ -140,7 +141,9 @@ MEMORY_POISONING = Scan(
 INSTALL_SCRIPTS = Scan(
     "lifecycle",
     _rules("LIF-AF", "anti-forensics", "critical", ("Clears history", r"history -c|shred -u|unset HISTFILE"), ("Removes itself", r"fs\.unlinkSync\(__filename|rm -- \"?\$0"))
-    + _rules("LIF-IOC", "install-indicator", "high", ("Writes agent settings", r"\.claude/settings\.json"), ("Posts the environment", r"process\.env.{0,80}(http|fetch)|(http|fetch).{0,80}process\.env")),
+    + _rules("LIF-IOC", "install-indicator", "high", ("Writes agent settings", r"\.claude/settings\.json"), ("Posts the environment", r"process\.env.{0,80}(http|fetch)|(http|fetch).{0,80}process\.env"))
+    + _rules("LIF-EXP", "secret-exposure", "high", ("Secret exposure: process.env serialized", r"JSON\.stringify\s*\(\s*process\.env"))
+    + _rules("LIF-ERR", "error-handler", "low", ("Error handler", r"uncaughtException|unhandledRejection|\bonerror\s*=")),
 )
 
 CONTAINER = Scan(

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_guard.plans.staging import BROADCAST_ROWS, stage
+
 # The keyword sets that tags are tested against, as substrings of lower(description title category).
 KEYWORDS: dict[str, tuple[str, ...]] = {
     "env": ("env access", "environ", "credential", "secret", ".env", ".ssh", ".aws", "keychain"),
@@ -158,12 +160,20 @@ def has(name: str) -> Column:
     return hit
 
 
-def flags(findings: DataFrame) -> DataFrame:
-    """One row per file with all flags, the number of findings in any of the three narrow sets, and is_doc."""
-    three = has("three_exec") | has("three_network") | has("three_credential")
-    aggs = [F.bool_or(has(k)).alias(k) for k in KEYWORDS]
-    other = F.coalesce(F.bool_or(has("prompt_injection") & (F.col("scanner") != "agent_skills")), F.lit(False)).alias("prompt_injection_other")
-    return with_tags(findings).groupBy("repo", "file").agg(*aggs, other, F.count_if(three).alias("three_n")).withColumn("is_doc", F.col("file").rlike(DOC_EXT))
+def with_sets(findings: DataFrame) -> DataFrame:
+    """The names of the keyword sets that each finding's tags hit, as an array. Tags repeat what rules say, so they are few: each distinct one is tested once."""
+    tagged = with_tags(findings)
+    hits = F.filter(F.array(*[F.when(has(k), F.lit(k)) for k in KEYWORDS]), lambda x: x.isNotNull())
+    known = stage(tagged.select("tags").distinct().withColumn("sets", hits), "tags")
+    return tagged.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "tags")
+
+
+def flags(tagged: DataFrame) -> DataFrame:
+    """One row per file with all flags, the number of findings in any of the three narrow sets, and is_doc. ``tagged`` has sets."""
+    three = F.arrays_overlap("sets", F.array(*map(F.lit, ("three_exec", "three_network", "three_credential"))))
+    other = F.coalesce(F.bool_or(F.array_contains("sets", "prompt_injection") & (F.col("scanner") != "agent_skills")), F.lit(False)).alias("prompt_injection_other")
+    held = tagged.groupBy("repo", "file").agg(F.flatten(F.collect_set("sets")).alias("held"), other, F.count_if(three).alias("three_n"))
+    return held.select("repo", "file", *[F.array_contains("held", k).alias(k) for k in KEYWORDS], "prompt_injection_other", "three_n", F.col("file").rlike(DOC_EXT).alias("is_doc"))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -173,11 +183,11 @@ def _out(df: DataFrame) -> DataFrame:
     )
 
 
-def correlate_files(findings: DataFrame) -> DataFrame:
+def correlate_files(tagged: DataFrame) -> DataFrame:
     """One grouped aggregate, then all rules as one array."""
     struct = lambda m: F.struct(F.lit(m.id).alias("rule_id"), F.lit(m.severity).alias("severity"), F.lit(m.category).alias("category"), F.lit(m.title).alias("title"))
     fired = F.filter(F.array(*[F.when(F.expr(m.when), struct(m)) for m in FILE_RULES]), lambda x: x.isNotNull())
-    return _out(flags(findings).select("repo", "file", F.explode(fired).alias("m")).select("repo", "file", "m.*"))
+    return _out(flags(tagged).select("repo", "file", F.explode(fired).alias("m")).select("repo", "file", "m.*"))
 
 
 def ancestors(d: str) -> Column:
@@ -192,13 +202,13 @@ def near_dirs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(up(b), ["repo", "dir"]).select("repo").union(b.join(up(a), ["repo", "dir"]).select("repo")).distinct()
 
 
-def correlate_repos(findings: DataFrame) -> DataFrame:
-    """M30-M36."""
+def correlate_repos(tagged: DataFrame) -> DataFrame:
+    """M30-M36, over the distinct directories of each set. ``tagged`` has sets."""
     sets = sorted({x for r in REPO_RULES for x in r[4:]})
-    tagged = with_tags(findings).withColumn("dir", F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(""))
-    hits = F.filter(F.array(*[F.when(has(s), F.lit(s)) for s in sets]), lambda x: x.isNotNull())
-    dirs = tagged.select("repo", "dir", F.explode(hits).alias("set")).distinct()
-    spark = findings.sparkSession
+    placed = tagged.withColumn("dir", F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(""))
+    hits = F.array_intersect("sets", F.array(*map(F.lit, sets)))
+    dirs = stage(placed.select("repo", "dir", F.explode(hits).alias("set")).distinct(), "set-directories")
+    spark = tagged.sparkSession
     rules = spark.createDataFrame(list(REPO_RULES), "rule_id string, severity string, category string, title string, a string, b string")
     side = lambda name: dirs.join(F.broadcast(rules.select("rule_id", F.col(name).alias("set"))), "set").select("repo", "rule_id", "dir")
     up = lambda x: x.select("repo", "rule_id", F.explode(ancestors("dir")).alias("dir")).distinct()
@@ -210,7 +220,8 @@ def correlate_repos(findings: DataFrame) -> DataFrame:
 
 def correlate(findings: DataFrame) -> DataFrame:
     """All compound findings. Rules over a repo read the findings as a list, so they fire beside those over files."""
-    return correlate_files(findings).unionByName(correlate_repos(findings))
+    tagged = with_sets(findings)
+    return correlate_files(tagged).unionByName(correlate_repos(tagged))
 
 
 def _has_sql(name: str) -> str:

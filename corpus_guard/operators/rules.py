@@ -69,6 +69,13 @@ def gate(rule: Rule) -> Column:
     return F.col("ext").isin(*rule.ext) if rule.ext else F.lit(True)
 
 
+def may_match(content: Column, rule: Rule) -> Column:
+    """Whether a whole file can hold a line that the rule matches: the pattern with line anchors, its negated classes kept inside a line."""
+    if rule.kind != "regex":
+        return rule_matches(content, rule)
+    return content.rlike("(?m)" + rule.pattern.replace("[^", "[^\\n"))
+
+
 def scan_rules(lines: DataFrame, rules, scanner: str, keep: str = "all") -> DataFrame:
     """All rules in one narrow projection per line, then the hits as findings; no shuffle unless the first hit of a file is asked for."""
     spark = lines.sparkSession
@@ -90,8 +97,11 @@ def scan_rules(lines: DataFrame, rules, scanner: str, keep: str = "all") -> Data
 
 
 def run_scan(files: DataFrame, scan: Scan) -> DataFrame:
-    """Lines of the files a scan reads, under its policies, through its rules."""
-    lines = to_lines(files.where(scan.where), scan.long)
+    """Lines of the files a scan reads, under its policies, through its rules. Files that no rule can match are not split into lines."""
+    some = F.lit(False)
+    for r in scan.rules:
+        some = some | (gate(r) & may_match(F.col("content"), r))
+    lines = to_lines(files.where(scan.where).where(some), scan.long)
     if not scan.fenced:
         lines = in_fence(lines).where("not in_fence and not is_fence")
     if not scan.comments:
@@ -219,21 +229,25 @@ def assign_rule_ids(rules: DataFrame) -> DataFrame:
 def audit_findings(files: DataFrame, scans) -> DataFrame:
     """H1: findings of many scans from one pass over the lines.
 
-    All rules of the scans that do not look at code fences share one projection;
-    only the hits are shuffled, for the scans that keep first hits. Fence-aware
+    Each rule that does not look at code fences is first asked whether it can match
+    a file at all; only the lines of such files are read, each by the rule that asked for
+    it. Only the hits are shuffled, for the scans that keep first hits. Fence-aware
     scans read their own, smaller set of files.
     """
     spark = files.sparkSession
     flat = [(s, scan, r) for s, scan in enumerate(scans) if scan.fenced for r in scan.rules]
-    lines = to_lines(files, "keep").withColumn("whole", F.col("text")).withColumn("text", F.substring("text", 1, MAX_LINE))
-    conditions = {}
-    for s, scan in enumerate(scans):
-        ok = F.expr(scan.where)
+    maybe = F.array(*[F.expr(scan.where) & gate(r) & may_match(F.col("content"), r) for _, scan, r in flat])
+    asked = files.select("repo", "path", "content", F.posexplode(maybe).alias("ord", "maybe")).where("maybe").drop("maybe")
+    lines = to_lines(asked, "keep").withColumn("long", F.length("text") > MAX_LINE).withColumn("text", F.substring("text", 1, MAX_LINE))
+    hit = None
+    for i, (_, scan, r) in enumerate(flat):
+        ok = rule_matches(F.col("text"), r)
         if scan.long == "skip":
-            ok = ok & (F.length("whole") <= MAX_LINE)
-        conditions[s] = ok & ~F.col("text").rlike(COMMENT) if not scan.comments else ok
-    hits = F.filter(F.array(*[F.when(conditions[s] & gate(r) & rule_matches(F.col("text"), r), F.lit(i)) for i, (s, _, r) in enumerate(flat)]), lambda x: x.isNotNull())
-    found = lines.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("ord", F.explode("hits"))
+            ok = ~F.col("long") & ok
+        if not scan.comments:
+            ok = ok & ~F.col("text").rlike(COMMENT)
+        hit = F.when(F.col("ord") == i, ok) if hit is None else hit.when(F.col("ord") == i, ok)
+    found = lines.where(hit)
     names = spark.createDataFrame([(i, s, scan.scanner, scan.keep) for i, (s, scan, _) in enumerate(flat)], "ord int, scan int, scanner string, keep string")
     found = found.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
     every = found.where("keep = 'all'")

@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 from corpus_guard.detectors import content as C
 from corpus_guard.detectors import python_jobs as P
 from corpus_guard.detectors.config_files import DETECTORS
+from corpus_guard.detectors.config_sql import DETECTOR_SQL
 from corpus_guard.operators.lines import to_lines
-from corpus_guard.plans.views import SEED_MOD, SEEDS, oracle, table, view
+from corpus_guard.plans.views import oracle, table, view
 from corpus_guard.registry import register
 from corpus_guard.streaming.gates import command_gate, scan_changed
 
 
 def code_v(spark, d):
-    """All files of files_v, and below repo/seed/ the lines that files_v appends to a document as a file of their own."""
-    seeds = spark.createDataFrame([(r, "\n".join(x)) for r, x in SEEDS.items()], "residue long, content string")
-    files = view(spark, d, "files_v")
-    docs = files.where("path like '%/doc-%'").drop("content").withColumn("residue", F.col("file_id") % SEED_MOD)
-    docs = docs.withColumn("dir", F.concat("repo", F.lit("/seed"))).withColumn("path", F.concat("dir", F.lit("/"), "base"))
-    return files.unionByName(docs.join(F.broadcast(seeds), "residue").drop("residue"))
+    return view(spark, d, "code_v")
 
 
 @register("c50_py_ast")
@@ -114,4 +110,4 @@ def _config(fn):
 
 
 for _name, _fn in DETECTORS.items():
-    register(_name)(_config(_fn))
+    register(_name, oracle(DETECTOR_SQL[_name], "code_v"))(_config(_fn))

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_guard.detectors.rule_sets import SCANS
+from corpus_guard.detectors.union import PARSED, STRUCTURED, Inputs, detect, detect_oracle
+from corpus_guard.functions.scalars import verdict_tier
 from corpus_guard.operators import correlate as C
 from corpus_guard.operators import report as R
 from corpus_guard.operators.rules import audit_findings, audit_oracle
+from corpus_guard.plans.staging import stage
 from corpus_guard.plans.views import oracle, table, view
+from corpus_guard.registered.content_queries import ACTIONS, IOCS
+from corpus_guard.registered.dep_queries import TRUSTED
 from corpus_guard.registry import register
+from corpus_guard.schema import SEVERITY
 
 ALL = tuple(s for _, s in SCANS.values())
 
 
 def findings(spark, d):
+    """Findings of the rule scans."""
     return audit_findings(view(spark, d, "files_v"), ALL)
 
 
@@ -25,15 +32,52 @@ def found(sql: str) -> str:
     return oracle(FINDINGS_SQL + sql, "files_v")
 
 
-@register("h01_union_findings", found("SELECT * FROM findings"))
+#: A package that manifests name and that has just been released, beside the releases of releases_v.
+NEW_PACKAGE = ("llm-agent-tools", "1.0.0", "newcomer")
+
+
+def inputs(spark, d) -> Inputs:
+    releases = view(spark, d, "releases_v")
+    new = releases.agg(F.max("published").alias("published")).select(F.lit(NEW_PACKAGE[0]).alias("package"), F.lit(NEW_PACKAGE[1]).alias("version"), "published", F.lit(NEW_PACKAGE[2]).alias("maintainer"))
+    rows = lambda data, schema: spark.createDataFrame(list(data), schema)
+    iocs = rows({(k, v) for k, v, _ in IOCS}, "kind string, value string")
+    return Inputs(view(spark, d, "code_v"), view(spark, d, "deps_v"), releases.unionByName(new), rows([(t,) for t in TRUSTED], "host string"), iocs, rows(ACTIONS, "action string, ref string"))
+
+
+def every_finding(spark, d):
+    """H1: the rule scans and the structured detectors over all files, their seeded programs and settings, and the locked dependencies."""
+    x = inputs(spark, d)
+    return audit_findings(x.files, ALL).unionByName(detect(x, STRUCTURED))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+
+
+EVERY_SQL = f""", feed_v AS (SELECT * FROM releases_v UNION ALL SELECT '{NEW_PACKAGE[0]}', '{NEW_PACKAGE[1]}', max(published), '{NEW_PACKAGE[2]}' FROM releases_v),
+trusted(host) AS (VALUES {_values([(t,) for t in TRUSTED])}), iocs(kind, value) AS (SELECT DISTINCT * FROM (VALUES {_values([(k, v) for k, v, _ in IOCS])})), bad_actions(action, bad_ref) AS (VALUES {_values(ACTIONS)}),
+findings AS MATERIALIZED ({audit_oracle(ALL, "code_v")} UNION ALL {detect_oracle()})"""
+
+
+def every(sql: str) -> str:
+    return oracle(EVERY_SQL + sql, "code_v", "deps_v", "releases_v")
+
+
+@register("h01_union_findings", every(" SELECT * FROM findings"))
 def union_findings(spark, d):
-    return findings(spark, d)
+    return every_finding(spark, d)
 
 
-@register("m_compound_findings", found(f", {C.correlate_oracle()} SELECT * FROM compound"))
+@register("h01_parser_findings")
+def parser_findings(spark, d):
+    """H1: the detectors that parse, decode or measure."""
+    return detect(inputs(spark, d), PARSED)
+
+
+@register("m_compound_findings", every(f", {C.correlate_oracle()} SELECT * FROM compound"))
 def compound(spark, d):
     """M1-M41, E13, E14, B9, D23."""
-    return C.correlate(findings(spark, d))
+    return C.correlate(stage(every_finding(spark, d), "findings"))
 
 
 _SUM = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
@@ -41,17 +85,18 @@ _TIER = "CASE WHEN confidence >= 0.92 THEN 'block' WHEN confidence >= 0.6 THEN '
 
 
 def audit_summary(spark, d):
-    """E2-E5 over the findings and compound findings of each repo: the flagship query."""
-    base = findings(spark, d)
-    every = base.unionByName(C.correlate(base)).withColumn("suppressed", F.lit(False))
-    s, v = R.summarize(every), R.verdicts(every).select("repo", "block", "warn", "info")
+    """E2-E5 over the findings and compound findings of each repo, in one aggregate: the flagship query."""
+    base = stage(every_finding(spark, d), "findings")
+    both = base.unionByName(C.correlate(base))
+    tier = verdict_tier("confidence")
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY] + [F.count("*").alias("total")] + [F.count_if(tier == t).alias(t) for t in ("block", "warn", "info")]
     code = R.exit_code(F.lit(False))
-    return s.join(v, "repo").withColumn("exit_code", code).withColumn("verdict", R.core_verdict(code))
+    return both.groupBy("repo").agg(*counts).withColumn("exit_code", code).withColumn("verdict", R.core_verdict(code))
 
 
 register(
     "audit_summary",
-    found(
+    every(
         f""", {C.correlate_oracle()}, every AS (SELECT * FROM findings UNION ALL BY NAME SELECT * FROM compound)
 SELECT repo, {_SUM}, count(*) AS total, count(*) FILTER ({_TIER} = 'block') AS block, count(*) FILTER ({_TIER} = 'warn') AS warn, count(*) FILTER ({_TIER} = 'info') AS info,
   CASE WHEN critical > 0 THEN 2 WHEN high > 0 OR medium > 0 THEN 1 ELSE 0 END AS exit_code, CASE WHEN critical > 0 THEN 'block' WHEN high > 0 OR medium > 0 THEN 'warn' ELSE 'clean' END AS verdict
