@@ -150,9 +150,8 @@ def scan_devcontainer(files: DataFrame) -> DataFrame:
 
 def scan_entrypoint(files: DataFrame) -> DataFrame:
     """Script tails: a self-calling function in the last lines, exports set again near the end, high entropy in the last ten lines."""
-    t = tail_lines(to_lines(files.where(F.col("ext").isin("js", "ts")), long="keep"), 0.3, 50)
-    text = F.col("text")
-    bits = entropy("text")
+    t = tail_lines(to_lines(files.where(F.col("ext").isin("js", "ts")), long="keep"), 0.3, 50).where("in_tail or past_80 or in_last_ten").withColumn("bits", entropy("text"))
+    text, bits = F.col("text"), F.col("bits")
     return _out(
         t, F.when(F.col("in_tail") & text.rlike(r"^\s*[;!]?\(?(async\s+)?(function\s*\(|\(\s*\)\s*=>)"), _hit("entrypoint-iife", F.when(text.rlike(NETWORK), F.lit("critical")).otherwise(F.lit("high")), text)),
         F.when(F.col("past_80") & text.rlike(r"^\s*module\.exports\s*="), _hit("entrypoint-export", "high", text)),
@@ -169,10 +168,10 @@ def manifest_confusion(files: DataFrame) -> DataFrame:
 
 def behavior_signals(files: DataFrame) -> DataFrame:
     """What scripts do together: network and file writes, long and dense text, download and execution."""
-    s = _scripts(files)
+    s = _scripts(files).withColumn("bits", entropy("command"))
     c = F.col("command")
     return _out(
-        s, F.when(c.rlike(NETWORK) & c.rlike(r"(>|tee|writeFile)"), _hit("network-and-write", "high", c)), F.when((F.length(c) > 60) & (entropy(c) > 4.5), _hit("dense-script", "medium", c)),
+        s, F.when(c.rlike(NETWORK) & c.rlike(r"(>|tee|writeFile)"), _hit("network-and-write", "high", c)), F.when((F.length(c) > 60) & (F.col("bits") > 4.5), _hit("dense-script", "medium", c)),
         F.when(c.rlike(r"(curl|wget)") & c.rlike(r"(sh|node|python|chmod)"), _hit("download-and-run", "critical", c)),
     )
 

@@ -74,6 +74,8 @@ UNICODE_KINDS = {
 
 def scan_unicode(files: DataFrame) -> DataFrame:
     """Kinds of smuggled characters per file with their number; joiners next to emoji do not count; some kinds only matter in code."""
+    odd = r"[\x01-\x08\x0E-\x1A\x1C-\x1F\x{03B1}-\x{03C9}\x{0430}-\x{044F}\x{2000}-\x{200C}\x{202A}-\x{202F}\x{2060}-\x{2069}\x{3000}\x{FE00}-\x{FE0E}\x{FEFF}\x{E0000}-\x{E01EF}]"
+    files = files.where(F.col("content").rlike(odd))  # one pass that most files end
     text = F.regexp_replace("content", rf"({_EMOJI})\x{{200D}}", "$1")
     code = F.col("ext").isin("py", "js", "ts", "sh", "json", "yml", "toml")
     kinds = []
@@ -115,10 +117,10 @@ def detect_blobs(files: DataFrame) -> DataFrame:
 
 def scan_entropy(lines: DataFrame) -> DataFrame:
     """Long base64 or hex runs (not data URIs), else lines of over 5.8 bits per character; the latter are high beside a key-shaped word."""
-    line = lines.where(F.length("text") >= 50)
+    line = lines.where(F.length("text") >= 50).withColumn("bits", F.round(entropy(F.substring("text", 1, 10_000)), 4))
     b64 = F.col("text").rlike(r"[A-Za-z0-9+/]{80,}={0,2}") & ~F.col("text").rlike(r"data:[^\"]*;base64,")
     hexed = F.col("text").rlike(r"\b[0-9a-fA-F]{64,}\b")
-    bits = F.round(entropy(F.substring("text", 1, 10_000)), 4)
+    bits = F.col("bits")
     key = F.col("text").rlike(r"(?i)(secret|token|api_?key|password)")
     kind = F.when(b64, "base64-run").when(hexed, "hex-run").when(bits > 5.8, "high-entropy")
     sev = F.when(b64 | hexed | key, "high").otherwise("medium")

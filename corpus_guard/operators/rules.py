@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,11 +71,60 @@ def gate(rule: Rule) -> Column:
     return F.col("ext").isin(*rule.ext) if rule.ext else F.lit(True)
 
 
-def may_match(content: Column, rule: Rule) -> Column:
-    """Whether a whole file can hold a line that the rule matches: the pattern with line anchors, its negated classes kept inside a line."""
+@cache
+def required(pattern: str) -> tuple[str, ...]:
+    """Lower-cased literals of which every match of a pattern holds one; empty when there are none."""
+
+    def of(sequence) -> list[str] | None:
+        best: list[str] | None = None
+        run = ""
+
+        def offer(found: list[str] | None):
+            nonlocal best
+            if found and all(found) and (best is None or min(map(len, found)) > min(map(len, best))):
+                best = found
+
+        for op, arg in sequence:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg).lower()
+                continue
+            offer([run])
+            run = ""
+            if name == "SUBPATTERN":
+                offer(of(arg[3]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                offer(of(arg[2]))
+            elif name == "BRANCH":
+                arms = [of(a) for a in arg[1]]
+                offer([x for a in arms for x in a] if all(arms) else None)
+        offer([run])
+        return best
+
+    found = of(_parser.parse(pattern)) or []
+    return tuple(sorted(set(found))) if all(x.isascii() for x in found) else ()
+
+
+def may_match(content: Column, low: Column, rule: Rule) -> Column:
+    """Whether a whole file can hold a line that the rule matches.
+
+    A literal that every match holds is looked for in the lower-cased content, then the pattern with line
+    anchors, its negated classes kept inside a line.
+    """
     if rule.kind != "regex":
         return rule_matches(content, rule)
-    return content.rlike("(?m)" + rule.pattern.replace("[^", "[^\\n"))
+    hit = content.rlike("(?m)" + rule.pattern.replace("[^", "[^\\n"))
+    some = None
+    for x in required(rule.pattern):
+        one = F.contains(low, F.lit(x))
+        some = one if some is None else some | one
+    return hit if some is None else some & hit
+
+
+def settled(files: DataFrame) -> DataFrame:
+    """Files whose content, and its lower-cased form _low, are computed once: a condition on an undetermined column is not pushed below it, where it would repeat their expressions for every pattern."""
+    once = files.withColumn("content", F.when(F.monotonically_increasing_id() >= 0, F.col("content")))
+    return once.withColumn("_low", F.when(F.monotonically_increasing_id() >= 0, F.lower("content")))
 
 
 def scan_rules(lines: DataFrame, rules, scanner: str, keep: str = "all") -> DataFrame:
@@ -100,8 +151,8 @@ def run_scan(files: DataFrame, scan: Scan) -> DataFrame:
     """Lines of the files a scan reads, under its policies, through its rules. Files that no rule can match are not split into lines."""
     some = F.lit(False)
     for r in scan.rules:
-        some = some | (gate(r) & may_match(F.col("content"), r))
-    lines = to_lines(files.where(scan.where).where(some), scan.long)
+        some = some | (gate(r) & may_match(F.col("content"), F.col("_low"), r))
+    lines = to_lines(settled(files.where(scan.where)).where(some).drop("_low"), scan.long)
     if not scan.fenced:
         lines = in_fence(lines).where("not in_fence and not is_fence")
     if not scan.comments:
@@ -236,20 +287,18 @@ def audit_findings(files: DataFrame, scans) -> DataFrame:
     """
     spark = files.sparkSession
     flat = [(s, scan, r) for s, scan in enumerate(scans) if scan.fenced for r in scan.rules]
-    maybe = F.array(*[F.expr(scan.where) & gate(r) & may_match(F.col("content"), r) for _, scan, r in flat])
-    asked = files.select("repo", "path", "content", F.posexplode(maybe).alias("ord", "maybe")).where("maybe").drop("maybe")
+    maybe = F.array(*[F.expr(scan.where) & gate(r) & may_match(F.col("content"), F.col("_low"), r) for _, scan, r in flat])
+    asked = settled(files).select("repo", "path", "content", F.posexplode(maybe).alias("ord", "maybe")).where("maybe").drop("maybe")
+    facts = [(i, s, scan.scanner, scan.keep, r.pattern, r.unless, scan.long == "skip", not scan.comments) for i, (s, scan, r) in enumerate(flat)]
+    names = spark.createDataFrame(facts, "ord int, scan int, scanner string, keep string, pattern string, unless string, skip boolean, bare boolean")
+    asked = asked.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
     lines = to_lines(asked, "keep").withColumn("long", F.length("text") > MAX_LINE).withColumn("text", F.substring("text", 1, MAX_LINE))
-    hit = None
-    for i, (_, scan, r) in enumerate(flat):
-        ok = rule_matches(F.col("text"), r)
-        if scan.long == "skip":
-            ok = ~F.col("long") & ok
-        if not scan.comments:
-            ok = ok & ~F.col("text").rlike(COMMENT)
-        hit = F.when(F.col("ord") == i, ok) if hit is None else hit.when(F.col("ord") == i, ok)
-    found = lines.where(hit)
-    names = spark.createDataFrame([(i, s, scan.scanner, scan.keep) for i, (s, scan, _) in enumerate(flat)], "ord int, scan int, scanner string, keep string")
-    found = found.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
+    # lines of a file and rule follow each other, so a pattern is compiled once for them; one expression serves all regular expressions
+    hit = F.expr("text rlike pattern and (unless is null or not text rlike unless)")
+    for i, (_, _, r) in enumerate(flat):
+        if r.kind != "regex":
+            hit = F.when(F.col("ord") == i, rule_matches(F.col("text"), r)).otherwise(hit)
+    found = lines.where(~(F.col("skip") & F.col("long")) & hit & ~(F.col("bare") & F.col("text").rlike(COMMENT)))
     every = found.where("keep = 'all'")
     group = F.when(F.col("keep") == "line", F.col("line").cast("string")).when(F.col("keep") == "category", F.col("category")).otherwise("")
     w = Window.partitionBy("scan", "repo", "path", "grp").orderBy("line", "ord")

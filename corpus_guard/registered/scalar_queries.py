@@ -139,7 +139,7 @@ def shell_comment(spark, d):
     "e01_entropy",
     oracle(
         """
-, c AS (SELECT path, base, substring(content, 1, 2000) AS t FROM files_v),
+, c AS (SELECT path, content AS t FROM files_v),
 ch AS (SELECT path, x, count(*) AS n FROM (SELECT path, unnest(string_split(t, '')) AS x FROM c WHERE length(t) > 0) GROUP BY path, x),
 p AS (SELECT path, x, n / sum(n) OVER (PARTITION BY path) AS p FROM ch)
 SELECT c.path, coalesce(round(e, 5), 0.0) AS bits FROM c LEFT JOIN (SELECT path, -sum(p * log2(p)) AS e FROM p GROUP BY path) USING (path)""",
@@ -148,4 +148,4 @@ SELECT c.path, coalesce(round(e, 5), 0.0) AS bits FROM c LEFT JOIN (SELECT path,
 )
 def entropy(spark, d):
     f = view(spark, d, "files_v")
-    return f.select("path", F.round(S.entropy(F.substring("content", 1, 2000)), 5).alias("bits"))
+    return f.select("path", F.round(S.entropy("content"), 5).alias("bits"))
