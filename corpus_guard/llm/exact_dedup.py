@@ -4,7 +4,8 @@ Digests of all rows are written once. A Misra-Gries pass (``freqItems``) names t
 digests that may hold more than ``support`` of the rows, at most 1/support of
 them; their exact counts are checked and the verified winners, a table bounded by
 1/support rows, are broadcast and joined map-side. All other digests hold at most
-``support`` of the rows each and go through one ordinary shuffle.
+``support`` of the rows each; they are counted by one ordinary shuffle with map-side combine, and
+those that occur again are joined back, by broadcast if their counted number allows it.
 
 Defined results: null text equals empty text; of rows with equal text the largest
 id stays, a null id only when no other has one; of repeated rows with that id
@@ -14,10 +15,10 @@ input are not read, so their names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small, stage
+from .staging import fresh, small, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest with over this share of the rows is split off; at most 1/SUPPORT such digests exist.
@@ -54,12 +55,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = stage(heavy_digests(rows, "digest", support), "heavy")
     marked = rows.join(F.broadcast(heavy), "digest", "left")
     hot = marked.where("group_size is not null")
-    w = Window.partitionBy("digest")
-    rest = (
-        marked.where("group_size is null")
-        .withColumn("group_size", F.count("*").over(w))
-        .withColumn("best", F.max(F.struct("doc_id", "row_no")).over(w))
-    )
+    rest = marked.where("group_size is null").drop("group_size", "best")
+    groups = rest.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_no")).alias("best"))
+    several = stage(groups.where("group_size > 1"), "groups")
+    alone = F.struct("doc_id", "row_no")
+    rest = rest.join(small(several), "digest", "left").withColumn("group_size", F.coalesce("group_size", F.lit(1))).withColumn("best", F.coalesce("best", alone))
     return hot.unionByName(rest).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -77,13 +77,14 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     decided = stage(exact_dedup(docs, id_col, text_col, support), "decided")
     names = docs.columns
-    tagged = docs.withColumn("_sha", text_digest(text_col))
-    lost = decided.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_lost"), F.col("keep_id").alias("_keep"))
-    gone = stage(lost.where("not (_id <=> _keep)").select("_id", "_lost").distinct(), "gone")
-    again = stage(lost.where("_id <=> _keep").select("_id", "_lost").distinct(), "again")
-    same = lambda t: tagged[id_col].eqNullSafe(t["_id"]) & (tagged["_sha"] == t["_lost"])
+    sha, lost_id, lost_sha = (fresh(n, names) for n in ("_sha", "_id", "_lost"))
+    tagged = docs.withColumn(sha, text_digest(text_col))
+    lost = decided.where("not kept").select(F.col("doc_id").alias(lost_id), F.col("text_sha256").alias(lost_sha), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin"))
+    gone = stage(lost.where("not twin").drop("twin").distinct(), "gone")
+    again = stage(lost.where("twin").drop("twin").distinct(), "again")
+    same = lambda t: tagged[id_col].eqNullSafe(t[lost_id]) & (tagged[sha] == t[lost_sha])
     once = tagged.join(small(gone), same(gone), "left_anti").join(small(again), same(again), "left_anti")
-    twice = tagged.join(small(again), same(again), "left_semi").dropDuplicates([id_col, "_sha"])
+    twice = tagged.join(small(again), same(again), "left_semi").dropDuplicates([id_col, sha])
     return once.unionByName(twice).select(*names)
 
 

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import small, stage
+from .staging import fresh, small, stage
 
 BLOCK_CHARS = 16_384
 RESOLUTION = 1000
@@ -48,7 +48,7 @@ def schedule(shares: DataFrame) -> DataFrame:
     one = one.selectExpr("transform(s, x -> x.source) as names", "transform(s, x -> cast(x.q as bigint)) as q", "aggregate(s, 0L, (a, x) -> a + x.q) as d")
     steps = f"""aggregate(sequence(0L, d - 1),
         named_struct('c', transform(q, x -> 0L), 'p', cast(array() as array<bigint>)),
-        (acc, t) -> named_struct('c', transform(acc.c, (x, i) -> if(i = {_NEXT}, x + 1, x)), 'p', array_append(acc.p, {_NEXT})))"""
+        (acc, t) -> transform(array({_NEXT}), pick -> named_struct('c', transform(acc.c, (x, i) -> if(i = pick, x + 1, x)), 'p', array_append(acc.p, pick)))[0])"""
     picks = one.selectExpr("names", "q", "d", f"{steps}.p as p").selectExpr("names", "q", "d", "posexplode(p) as (at, i)")
     turn = F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1
     return picks.selectExpr("names[i] as source", "q[i] as q", "d", "cast(at as bigint) as at").withColumn("turn", turn.cast("long"))
@@ -92,8 +92,8 @@ def mixture(
 
 def _slots(blocks: DataFrame, turns: DataFrame) -> DataFrame:
     """Adds slot to rows with (source, block_no): whole periods before it, and its place in the period."""
-    per_source = F.broadcast(turns.select("source", "q", "d").distinct())
-    table = F.broadcast(turns.select("source", "turn", "at"))
+    per_source = small(turns.where("turn = 0").select("source", "q", "d"))
+    table = small(turns.select("source", "turn", "at"))
     found = blocks.join(per_source, "source", "left").withColumn("turn", F.expr("block_no % q")).withColumn("period", F.expr("block_no div q"))
     return found.join(table, ["source", "turn"], "left").withColumn("slot", F.col("period") * F.col("d") + F.col("at"))
 
@@ -115,26 +115,31 @@ def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` with a weighted source, all of them, in the order of the mixture that sources leave when used up."""
     out = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, leave=True, **kw).where("selected")
     # rows that share id, source and length are interchangeable: they go to the first of their slots
-    out = out.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_chars").alias("_n")).agg(F.min("slot").alias("_slot"))
+    key, source, n, slot = (fresh(x, docs.columns) for x in ("_id", "_source", "_n", "_slot"))
+    out = out.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("n_chars").alias(n)).agg(F.min("slot").alias(slot))
     out = stage(out, "mixed")
     on = (
-        docs[id_col].eqNullSafe(out["_id"])
-        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out["_source"])
-        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out["_n"])
+        docs[id_col].eqNullSafe(out[key])
+        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out[source])
+        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out[n])
     )
-    return docs.join(small(out), on).orderBy("_slot").select(*docs.columns)
+    return docs.join(small(out), on).orderBy(slot).select(*docs.columns)
 
 
 def select_mixture(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The rows of ``docs`` that the mixture selects, with all their columns."""
     out = mixture(docs, weights, id_col, text_col, source_col, **kw).where("not selected")
-    out = stage(out.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_chars").alias("_n")).distinct(), "unselected")
+    key, source, n, rank = (fresh(x, docs.columns) for x in ("_id", "_source", "_n", "_rank"))
+    out = stage(out.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("n_chars").alias(n)).agg(F.count("*").alias(rank)), "unselected")
     on = (
-        docs[id_col].eqNullSafe(out["_id"])
-        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out["_source"])
-        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out["_n"])
+        docs[id_col].eqNullSafe(out[key])
+        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out[source])
+        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out[n])
     )
-    return docs.join(small(out), on, "left_anti")
+    whole = docs.join(small(out.drop(rank)), on, "left_anti")
+    # of rows that share id, source and length as many go as the mixture does not select; they are few, at the horizon
+    twins = docs.join(small(out), on).withColumn(fresh("_nth", docs.columns), F.row_number().over(Window.partitionBy(key, source, n).orderBy(F.xxhash64(text_col))))
+    return whole.unionByName(twins.where(F.col(fresh("_nth", docs.columns)) > F.col(rank)).select(*docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

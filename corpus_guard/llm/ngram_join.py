@@ -17,8 +17,9 @@
    change it, so no link between different texts is lost, while a group of
    thousands of near copies never expands into all its pairs.
 
-Infrequent shingles go through one shuffle: by their bound none is hot. Frequent
-ones, few rows, use a grouped minimum and a join that adaptive execution splits.
+A shingle counts as frequent by its repeats inside the buffers of the first pass, so one that is met once in
+each buffer of BUFFER shingles is not; its bucket then holds at most one row a buffer. Buckets of
+frequent shingles, few rows, use a grouped minimum and a join that adaptive execution splits.
 
 Defined results: null and empty texts, and texts without words, have an empty set
 and link with nothing; fewer than five words form one shingle; rows that repeat
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .hashing import mix, signed, slices, whole, windows
-from .staging import drop_stage, small, stage
+from .staging import drop_stage, fresh, small, stage
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Most entries of the frequent-shingle table, which is all that reaches the driver and is broadcast.
@@ -157,12 +158,17 @@ def _signatures(k: int, num: int, den: int, frequent, names: list[str]):
     return sign
 
 
+def text_key(text_col: str):
+    """128 bits that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, most: int) -> DataFrame:
     """Staged: uid, doc_id, text_key, n, set digest, prefix in the global order, number of infrequent prefix shingles, parity bitmap."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, k, most))
     named = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.col(text_col).alias("text")
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")
     )
     names = ["uid", "doc_id", "text_key"]
     schema = T.StructType([named.schema[c] for c in names]).add("n", "long").add("d1", "long").add("d2", "long")
@@ -211,7 +217,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     near = (apart <= F.col("xn") + F.col("yn") - 2 * _need(num, den)) & (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num)
     left = stage(pairs.distinct().join(x, "x").join(y, "y").withColumn("w", words).where(near).select("x", "y", "xkey", "ykey"), "candidates")
     keys = left.select(F.col("xkey").alias("key")).union(left.select("ykey")).distinct()
-    keyed = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    keyed = docs.select(text_key(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = stage(keyed.join(small(keys), "key").dropDuplicates(["key"]), "texts")
     both = left.join(texts.select(F.col("key").alias("xkey"), F.col("text").alias("xtext")), "xkey").join(
         texts.select(F.col("key").alias("ykey"), F.col("text").alias("ytext")), "ykey"
@@ -319,14 +325,16 @@ def ngram_components(
     drop_stage(shared)
 
     nodes_small = nodes.select("uid", "n", "bits", "text_key")
-    links = linked = None
+    links = linked = before = None
     for _ in range(STARS):
         # the most central node of each bucket, whose prefix has the fewest shingles of its own, is compared with all others
         firsts = open_rows.groupBy("token").agg(F.max(F.struct("central", (-F.col("uid")).alias("u"), "n", "pos", "root")).alias("f"))
         firsts = firsts.select("token", (-F.col("f.u")).alias("y"), F.col("f.n").alias("yn"), F.col("f.pos").alias("ypos"), F.col("f.root").alias("yroot"))
         met = stage(open_rows.join(firsts, "token"), "met")
         star = met.where("uid <> y and root <> yroot").select(F.col("uid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), "y", "yn", "ypos")
-        found = stage(verified(_plausible(star, num, den).select("x", "y"), nodes_small, docs, text_col, k, num, den), "links")
+        tried = stage(_plausible(star, num, den).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "star-pairs")
+        found = stage(verified(tried, nodes_small, docs, text_col, k, num, den), "links")
+        before = tried if before is None else before.union(tried)
         links = found if links is None else links.union(found)
         linked = components(links.toDF("u", "v"))
         rest = met.where("uid <> y").select("token", "uid", "n", "pos", "p", "central").join(linked.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
@@ -335,7 +343,8 @@ def ngram_components(
         drop_stage(met)
         drop_stage(then)
 
-    cross = stage(_cross_pairs(open_rows, num, den), "cross")
+    # pairs that a star round has verified, with whatever result, are not verified again
+    cross = stage(_cross_pairs(open_rows, num, den).join(before, ["x", "y"], "left_anti"), "cross")
     more = stage(verified(cross.select("x", "y"), nodes_small, docs, text_col, k, num, den), "links")
     if more.limit(1).count():
         linked = components(links.union(more).toDF("u", "v"))
@@ -356,14 +365,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = ngram_components(docs, id_col, text_col, **kw).where("n_shingles > 0")
     best = marked.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     named = marked.join(best, "root")
-    lost = stage(named.where(F.col("uid") != F.col("best.uid")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "near-copies")
-    stay = stage(named.where(F.col("uid") == F.col("best.uid")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "survivors")
-    twice = stage(lost.join(stay, (lost["_id"].eqNullSafe(stay["_id"])) & (lost["_key"] == stay["_key"]), "left_semi"), "repeated-survivors")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = lambda t: keyed[id_col].eqNullSafe(t["_id"]) & (keyed["_text_key"] == t["_key"])
+    lost_id, lost_key, key = (fresh(n, docs.columns) for n in ("_id", "_key", "_text_key"))
+    pick = lambda c: named.where(c).select(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key))
+    lost = stage(pick(F.col("uid") != F.col("best.uid")).distinct(), "near-copies")
+    stay = stage(pick(F.col("uid") == F.col("best.uid")), "survivors")
+    twice = stage(lost.join(stay, (lost[lost_id].eqNullSafe(stay[lost_id])) & (lost[lost_key] == stay[lost_key]), "left_semi"), "repeated-survivors")
+    keyed = docs.withColumn(key, text_key(text_col))
+    same = lambda t: keyed[id_col].eqNullSafe(t[lost_id]) & (keyed[key] == t[lost_key])
     left = keyed.join(small(lost), same(lost), "left_anti")
-    back = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates([id_col, "_text_key"])
-    return left.unionByName(back).drop("_text_key")
+    back = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates([id_col, key])
+    return left.unionByName(back).drop(key)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

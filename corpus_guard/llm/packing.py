@@ -2,14 +2,14 @@
 
 Documents become pieces of at most the largest permitted length (a longer one
 fills whole bins and leaves a remainder). Pieces are dealt into shards of about
-SHARD pieces by a hash of their id; each shard is packed on its own, longest piece
+SHARD pieces by a hash of their row and number; each shard is packed on its own, longest piece
 first: into the open bin of any size that it fills best, else into a new bin of
 the size that costs least. A size costs its length plus a fixed price per
 sequence. Opening policies - each permitted size preferred for new bins, or the
 least cost net of the room it leaves - are tried on the shard's lengths and the
 cheapest packing wins; finally each bin shrinks to the cheapest size that holds
-its contents. Shards grow in number, not in size; a shard that one repeated id
-swells is packed in runs of at most RUN pieces.
+its contents. Shards grow in number, not in size, whatever ids
+repeat.
 
 Defined results: a document has its words plus one end token, so null and empty
 texts are one token long and are packed too; ties go by id, then piece; repeated
@@ -31,7 +31,7 @@ from .staging import stage
 
 CAPACITIES = (512, 1024, 2048, 4096)
 PER_BIN = 64
-SHARD, RUN = 20_000, 100_000
+SHARD = 20_000
 
 
 def _word_counts(batches):
@@ -78,52 +78,50 @@ def best_fit(lengths, capacities: tuple[int, ...], per_bin: int, prefer: int | N
     return where, content, sizes, int(sizes.sum() + per_bin * len(content))
 
 
-def _pack(capacities: tuple[int, ...], per_bin: int, run: int, names: list[str]):
-    def packed(rows: pd.DataFrame, part: int) -> pd.DataFrame:
+def _pack(capacities: tuple[int, ...], per_bin: int, names: list[str]):
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["n_tokens"].tolist()
         tries = [best_fit(lengths, capacities, per_bin, p) for p in (None, *capacities)]
         where, content, sizes, _ = min(tries, key=lambda x: x[3])
         where = np.array(where)
         out = rows[names].copy()
-        out["bin_id"] = [f"{s}-{part}-{b}" for s, b in zip(rows["shard"], where)]
+        out["bin_id"] = [f"{s}-{b}" for s, b in zip(rows["shard"], where)]
         out["bin_capacity"], out["bin_tokens"] = sizes[where].astype(np.int64), np.array(content, np.int64)[where]
         return out
 
     def work(batches):
         held: list[pd.DataFrame] = []
-        now, part, size = None, 0, 0
+        now = None
         for batch in batches:
             for shard, rows in batch.groupby("shard", sort=False):
-                if held and (shard != now or size >= run):
-                    yield packed(pd.concat(held), part)
-                    held, size, part = [], 0, part + 1 if shard == now else 0
-                if shard != now:
-                    now, part = shard, 0
+                if held and shard != now:
+                    yield packed(pd.concat(held))
+                    held = []
+                now = shard
                 held.append(rows)
-                size += len(rows)
         if held:
-            yield packed(pd.concat(held), part)
+            yield packed(pd.concat(held))
 
     return work
 
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, per_bin: int = PER_BIN,
-    shard: int = SHARD, run: int = RUN,
+    shard: int = SHARD,
 ) -> DataFrame:
     """One row per piece: doc_id, piece_no, start_token, n_tokens, bin_id, bin_capacity, bin_tokens."""
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
-    counts = stage(word_counts(docs, id_col, text_col), "word-counts")
-    pieces = counts.withColumn("n", F.col("n_words") + 1).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece_no"))
-    pieces = pieces.select("doc_id", "piece_no", (F.col("piece_no").cast("long") * top).alias("start_token"), F.least(F.lit(top), F.col("n") - F.col("piece_no").cast("long") * top).alias("n_tokens"))
+    counts = stage(word_counts(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id()), "word-counts")
+    pieces = counts.withColumn("n", F.col("n_words") + 1).select("doc_id", "n", "row_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece_no"))
+    pieces = pieces.select("doc_id", "row_no", "piece_no", (F.col("piece_no").cast("long") * top).alias("start_token"), F.least(F.lit(top), F.col("n") - F.col("piece_no").cast("long") * top).alias("n_tokens"))
     total = pieces.count()
     shards = max(1, -(-total // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece_no"), F.lit(shards)).cast("long"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row_no", "piece_no"), F.lit(shards)).cast("long"))
     names = ["doc_id", "piece_no", "start_token", "n_tokens"]
     schema = T.StructType([dealt.schema[c] for c in names]).add("bin_id", "string").add("bin_capacity", "long").add("bin_tokens", "long")
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("n_tokens").desc(), "doc_id", "piece_no")
-    return ordered.mapInPandas(_pack(capacities, per_bin, run, names), schema)
+    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("n_tokens").desc(), "doc_id", "piece_no", "row_no")
+    return ordered.mapInPandas(_pack(capacities, per_bin, names), schema)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

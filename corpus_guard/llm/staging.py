@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_guard.plans.staging import shared_dir
+
 #: Rows of (id) up to which a lookup side is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it, whatever the case."""
+    known = {c.lower() for columns in taken for c in columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,9 @@ import corpus_pipeline
 from corpus_guard.llm.deobfuscate import CLASSES, Decoder, pieces, trigram_ids
 from corpus_guard.llm.html_extract import extract_text
 from corpus_guard.llm.mixing import mixture, select_mixture
-from corpus_guard.llm.packing import CAPACITIES, pack
+from corpus_guard.llm.exact_dedup import drop_duplicates
+from corpus_guard.llm.ngram_join import drop_near_duplicates
+from corpus_guard.llm.packing import CAPACITIES, best_fit, pack
 from corpus_guard.llm.quality import grade, ratings
 from corpus_guard.llm.toxicity import drop_toxic, features, score
 from corpus_guard.llm.warc import export_warc, read_archive, write_archive
@@ -168,17 +170,17 @@ def check_packing(rows, lengths):
     return bins
 
 
-@pytest.mark.parametrize(("shard", "run"), [(20_000, 100_000), (50, 20)])
-def test_packing(spark, shard, run):
+@pytest.mark.parametrize("shard", [20_000, 50])
+def test_packing(spark, shard):
     r = np.random.default_rng(4)
     lengths = [(i, int(n)) for i, n in enumerate(r.integers(0, 900, 300))] + [(400, 4095), (401, 4096), (402, 20_000), (None, 3), (7, 5), (7, 5)]
     rows = [(i, "w " * n if n else None) for i, n in lengths]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, shard int")
-    got = pack(docs, shard=shard, run=run).collect()
+    got = pack(docs, shard=shard).collect()
     bins = check_packing(got, lengths)
     if shard > 1000:
         assert sum(b[0] for b in bins.values()) < 1.05 * sum(n + 1 for _, n in lengths)
-    assert sorted(map(str, got)) == sorted(map(str, pack(docs, shard=shard, run=run).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, pack(docs, shard=shard).collect()))
     assert pack(docs.limit(0)).count() == 0
 
 
@@ -254,3 +256,58 @@ def test_training_rows_with_repeated_ids(spark):
     twice = docs.unionByName(docs).unionByName(docs.where("doc_id < 300").withColumn("text", F.concat(F.lit("window "), "text")))
     few = [sorted(map(str, score(x, labels, max_train=100).collect())) for x in (twice, twice.repartition(7), twice.orderBy(F.desc("text")))]
     assert few[0] == few[1] == few[2] and len(few[0]) == twice.count()
+
+
+def plain_best_fit(lengths, capacities, per_bin, prefer):
+    """Best fit by looking through all open bins."""
+    rate = min((c + per_bin) / c for c in capacities)
+    bins, where = [], []
+    for n in lengths:
+        open_bins = [(size - held, i) for i, (size, held) in enumerate(bins) if size - held >= n]
+        if open_bins:
+            least = min(r for r, _ in open_bins)
+            # of bins with equal room the one that came to it last
+            i = max((touched[i], i) for r, i in open_bins if r == least)[1]
+        else:
+            size = prefer if prefer is not None and prefer >= n else min((c for c in capacities if c >= n), key=lambda c: (c + per_bin - rate * (c - n), c))
+            bins.append((size, 0))
+            i = len(bins) - 1
+            touched = touched if i else {}
+        bins[i] = (bins[i][0], bins[i][1] + n)
+        touched[i] = len(where)
+        where.append(i)
+    sizes = [min(c for c in capacities if c >= held) for _, held in bins]
+    return where, [held for _, held in bins], sizes, sum(sizes) + per_bin * len(bins)
+
+
+@pytest.mark.parametrize("prefer", [None, 8, 16, 32])
+def test_best_fit_against_all_bins(prefer):
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        lengths = sorted((int(x) for x in r.integers(1, 33, r.integers(1, 60))), reverse=True)
+        got, want = best_fit(lengths, (8, 16, 32), 2, prefer), plain_best_fit(lengths, (8, 16, 32), 2, prefer)
+        assert got[0] == want[0] and got[1] == want[1] and list(got[2]) == want[2] and got[3] == want[3]
+
+
+def test_packing_of_one_repeated_id(spark):
+    docs = spark.createDataFrame([(None, "w " * (i % 50)) for i in range(2000)] + [(5, "w")] * 500, "doc_id long, text string")
+    got = pack(docs, shard=100).collect()
+    bins = check_packing(got, [(r.doc_id, len((r.text or "").split())) for r in docs.collect()])
+    assert len({b.split("-")[0] for b in bins}) >= 20
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_sha", "_text_key", "_id", "_key", "_lost", "_keep", "_source", "_n", "_slot", "_rank", "_nth", "source"]
+    rows = [(i, f"some text of words that are {i % 3}", *["v"] * len(names)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for fn in (drop_duplicates, drop_near_duplicates, select_mixture, corpus_pipeline.mixing and (lambda d: corpus_pipeline.mixing(spark, d, None))):
+        out = fn(docs)
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[2:] == ("v",) * len(names) for r in got)
+
+
+def test_mixture_keeps_selected_twins(spark):
+    rows = [(7, "x" * 50, "a")] * 400 + [(i, "y" * 50, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    picked = mixture(docs, {"a": 1, "b": 1}, block_chars=100).where("selected").count()
+    assert 0 < picked < 500 and select_mixture(docs, {"a": 1, "b": 1}, block_chars=100).count() == picked
