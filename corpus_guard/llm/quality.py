@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import mix, slices
-from .staging import stage
+from .staging import drop_stage, stage
 from .toxicity import held_out
 
 LEVELS = 3
@@ -107,13 +108,14 @@ def features(column: pa.Array):
 
 
 def _train_features(batches):
-    for batch in batches:
-        row, feature, value = features(batch.column("text"))
-        order = np.argsort(row, kind="stable")
-        sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("y"), pa.ListArray.from_arrays(sizes, pa.array(feature[order])), pa.ListArray.from_arrays(sizes, pa.array(value[order].astype(np.float32)))], ["y", "f", "v"]
-        )
+    for whole in batches:
+        for batch in parts_of(whole):
+            row, feature, value = features(batch.column("text"))
+            order = np.argsort(row, kind="stable")
+            sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(sizes, pa.array(feature[order])), pa.ListArray.from_arrays(sizes, pa.array(value[order].astype(np.float32)))], ["doc_id", "h", "y", "f", "v"]
+            )
 
 
 def fit(y: np.ndarray, sizes: np.ndarray, feature: np.ndarray, value: np.ndarray, levels: int = LEVELS, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +157,29 @@ def fit(y: np.ndarray, sizes: np.ndarray, feature: np.ndarray, value: np.ndarray
 def _score(model, names: list[str], levels: int):
     def work(batches):
         weights, theta = model.value
-        for batch in batches:
-            row, feature, value = features(batch.column("text"))
-            s = np.bincount(row, weights[feature] * value, minlength=batch.num_rows)
-            tails = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(tails.sum(1)), *(pa.array(tails[:, k]) for k in range(levels - 1))],
-                [*names, "expected_grade", *(f"p_ge_{k + 1}" for k in range(levels - 1))],
-            )
+        for whole in batches:
+            for batch in parts_of(whole):
+                row, feature, value = features(batch.column("text"))
+                s = np.bincount(row, weights[feature] * value, minlength=batch.num_rows)
+                tails = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -40, 40)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(tails.sum(1)), *(pa.array(tails[:, k]) for k in range(levels - 1))],
+                    [*names, "expected_grade", *(f"p_ge_{k + 1}" for k in range(levels - 1))],
+                )
 
     return work
 
 
+def parts_of(batch: pa.RecordBatch, most: int = 4 << 20):
+    """A batch in runs of rows whose texts together have about ``most`` bytes, so that features of few texts are held at once."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def ratings(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Grades from the label columns: 0 low, 1 good but toxic, 2 good."""
     good, toxic = F.coalesce(F.col("quality"), F.lit(0)) > 0, F.coalesce(F.col("toxic"), F.lit(0)) > 0
@@ -179,8 +192,14 @@ def grade(
     """One row per input row: doc_id, held_out, expected_grade, p_ge_k for each grade k, selected. ``rated`` has doc_id and y."""
     marked = rated.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y"))
     marked = stage(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "rated")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id").select("y", "text")
-    found = rows.mapInArrow(_train_features, "y int, f array<int>, v array<float>").orderBy("y", F.size("f"), F.hash("f")).limit(max_train).toArrow()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id").withColumn("h", F.xxhash64("text"))
+    # rows that repeat an id and a text count once; ids that repeat with other texts are kept to the bound in a fixed order
+    chosen = stage(rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_train), "rated-rows")
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "y", "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.mapInArrow(_train_features, f"doc_id {kind}, h long, y int, f array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    drop_stage(marked)
+    drop_stage(chosen)
     f, v = found.column("f").combine_chunks(), found.column("v").combine_chunks()
     weights, theta = fit(found.column("y").to_numpy(), f.value_lengths().to_numpy(zero_copy_only=False), f.flatten().to_numpy(), v.flatten().to_numpy().astype(float), levels)
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), theta))

@@ -8,6 +8,7 @@ import tempfile
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from corpus_guard.llm.mixing import mixture, select_mixture
 from corpus_guard.llm.exact_dedup import drop_duplicates
 from corpus_guard.llm.ngram_join import drop_near_duplicates
 from corpus_guard.llm.packing import CAPACITIES, best_fit, pack
-from corpus_guard.llm.quality import grade, ratings
+from corpus_guard.llm.quality import grade, parts_of, ratings
 from corpus_guard.llm.toxicity import drop_toxic, features, score
 from corpus_guard.llm.warc import export_warc, read_archive, write_archive
 
@@ -311,3 +312,10 @@ def test_mixture_keeps_selected_twins(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     picked = mixture(docs, {"a": 1, "b": 1}, block_chars=100).where("selected").count()
     assert 0 < picked < 500 and select_mixture(docs, {"a": 1, "b": 1}, block_chars=100).count() == picked
+
+
+def test_batches_in_parts():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([None, "", "a" * 100, "b" * 5000, "c", None, "d" * 3000])})
+    parts = list(parts_of(batch, 1000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and len(parts) > 2
+    assert not list(parts_of(batch.slice(0, 0)))
