@@ -4,7 +4,7 @@
 every record's exact header block in a second table; ``read_archive`` joins them
 back into the original records and checks length, SHA-1 and SHA-256 of what it
 read against the headers, failing loudly on a mismatch. ``export_warc`` writes the
-reconstructed records as plain WARC files.
+reconstructed records as plain WARC files, which ``read_warc`` reads.
 
 Payloads whose digest occurs once are written where they are scanned; only those
 that repeat are shuffled, after map-side removal of all but the first record.
@@ -12,13 +12,17 @@ that repeat are shuffled, after map-side removal of all but the first record.
 Defined results: a null payload is empty; of records with equal payloads of at
 least ``min_revisit`` bytes the smallest id is the response (a null id only when no
 other has that payload; of rows repeating the smallest id exactly one) and the
-others revisit it; null URLs are written as empty; other columns are not read.
+others revisit it; null URLs are written as empty, line ends in URLs as blanks; ids of any text are
+percent-encoded in record names; other columns are not read.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +41,8 @@ def base32_sha1(col):
 
 
 def _urn(record_id: str, row: str):
-    return F.concat(F.lit("<urn:x-record:"), F.coalesce(F.col(record_id).cast("string"), F.lit("null")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
+    named = F.coalesce(F.concat(F.lit("id:"), F.url_encode(F.col(record_id).cast("string"))), F.lit("none:"))
+    return F.concat(F.lit("<urn:x-record:"), named, F.lit(":"), F.col(row).cast("string"), F.lit(">"))
 
 
 def _header(date: str):
@@ -91,7 +96,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     joined = headers.join(payloads, "digest", "left").select(
         "record_id", "row_no", "digest", "header", "payload",
         _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("url"), _field("WARC-Payload-Digest").alias("stated"),
-        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:x-record:([^:]*):", 1).alias("refers"),
+        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:x-record:id:([^:]*):", 1).alias("refers"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
     )
     sound = (F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("stated")) & (F.unhex(F.sha2("payload", 256)) == F.col("digest"))
@@ -99,7 +104,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return joined.select(
         "record_id", "row_no", "url", "header", "payload", "payload_digest", "payload_bytes",
         F.when(F.coalesce(sound, F.lit(False)), F.col("record_type")).otherwise(F.raise_error(F.lit("payload does not match its digest"))).alias("record_type"),
-        F.when(F.col("refers") != "", F.expr("nullif(refers, 'null')").cast(kind)).alias("refers_to"),
+        F.when(F.contains("header", F.lit("\r\nWARC-Refers-To: <urn:x-record:id:")), F.url_decode("refers").cast(kind)).alias("refers_to"),
     )
 
 
@@ -109,6 +114,31 @@ def export_warc(spark: SparkSession, archive: str, path: str, compression: str =
     read_archive(spark, archive).select(F.concat("header", body).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
+def _records(batches):
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+            raw = io.BytesIO(data.as_py())
+            stream = gzip.open(raw) if path.endswith(".gz") else raw
+            while True:
+                lines = []
+                while (line := stream.readline()) not in (b"", b"\r\n"):
+                    lines.append(line)
+                if not lines:
+                    break
+                header = b"".join(lines) + b"\r\n"
+                size = int(next(x for x in lines if x.lower().startswith(b"content-length:")).split(b":")[1])
+                block = stream.read(size)
+                if len(block) < size or stream.read(4) != b"\r\n\r\n":
+                    raise ValueError(f"record cut short in {path}")
+                yield pa.RecordBatch.from_arrays([pa.array([header.decode("utf-8", "replace")]), pa.array([block], pa.binary())], ["header", "block"])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of plain or gzipped WARC files: header (with its empty line), block. A file is one row of one task, so files should be of the usual size of about a gigabyte at most."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_records, "header string, block binary")
+
+
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)

@@ -21,7 +21,7 @@ from corpus_guard.llm.ngram_join import drop_near_duplicates
 from corpus_guard.llm.packing import CAPACITIES, best_fit, pack
 from corpus_guard.llm.quality import grade, parts_of, ratings
 from corpus_guard.llm.toxicity import drop_toxic, features, score
-from corpus_guard.llm.warc import export_warc, read_archive, write_archive
+from corpus_guard.llm.warc import export_warc, read_archive, read_warc, write_archive
 
 SF = "/root/testdata/sf0.01"
 
@@ -319,3 +319,19 @@ def test_batches_in_parts():
     parts = list(parts_of(batch, 1000))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and len(parts) > 2
     assert not list(parts_of(batch.slice(0, 0)))
+
+
+def test_warc_files_and_text_ids(spark):
+    rows = [("null", "u", "p" * 5), ("a:b:1", "u", "same"), (None, "u", "same"), ("é %3A", "u", "same"), ("z", "u", "p" * 5), (None, "u", "lone"), ("", "u", "q\r\n\r\nr"), ("x", "v", "q\r\n\r\nr"), ("big", "u", "é" * 3_000_000)]
+    path = tempfile.mkdtemp(prefix="spark-warc-") + "/a"
+    write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = {(r.record_id, bytes(r.payload).decode()): (r.record_type, r.refers_to) for r in read_archive(spark, path).collect()}
+    want = {(i, h): ("response", None) for i, _, h in rows}
+    want[None, "same"] = want["é %3A", "same"] = ("revisit", "a:b:1")
+    want["z", "p" * 5] = ("revisit", "null")
+    want["x", "q\r\n\r\nr"] = ("revisit", "")
+    assert got == want
+    export_warc(spark, path, path + "-warc")
+    found = read_warc(spark, path + "-warc/*.gz").collect()
+    assert len(found) == len(rows) and all(r.header.startswith("WARC/1.1\r\n") and f"Content-Length: {len(r.block)}\r\n" in r.header for r in found)
+    assert sorted(bytes(r.block).partition(b"\r\n\r\n")[2].decode() for r in found if "response" in r.header.split("\r\n")[1]) == sorted(h for (_, h), (k, _) in want.items() if k == "response")
