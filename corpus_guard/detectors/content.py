@@ -168,7 +168,7 @@ def match_actions(lines: DataFrame, actions: DataFrame) -> DataFrame:
     """Workflow actions: compromised by name and reference (or any), else not pinned to a commit. actions(action, ref)."""
     used = lines.withColumn("action", F.lower(F.regexp_extract("text", ACTION, 1))).withColumn("ref", F.regexp_extract("text", ACTION, 2)).where("action <> ''")
     bad = actions.select(F.lower("action").alias("action"), F.col("ref").alias("bad_ref"))
-    hit = used.join(F.broadcast(bad), "action", "left").withColumn("hit", F.col("bad_ref").isNotNull() & ((F.col("bad_ref") == "*") | (F.col("bad_ref") == F.col("ref"))))
+    hit = used.join(bad, "action", "left").withColumn("hit", F.col("bad_ref").isNotNull() & ((F.col("bad_ref") == "*") | (F.col("bad_ref") == F.col("ref"))))
     rows = hit.groupBy("repo", "path", "line", "action", "ref").agg(F.bool_or("hit").alias("hit"))
     kind = F.when(F.col("hit"), "compromised-action").when(~F.col("ref").rlike("^[0-9a-f]{40}$"), "unpinned-action")
     return rows.withColumn("category", kind).where("category is not null").select("repo", "path", "line", "action", "ref", "category")

@@ -164,7 +164,7 @@ def with_overrides(deps: DataFrame, overrides: DataFrame) -> DataFrame:
 def enrich_vulns(deps: DataFrame, advisories: DataFrame, kev: DataFrame) -> DataFrame:
     """Advisories of each package; any alias among the exploited ids makes it critical, else bands of the score. advisories(ecosystem, package, id, aliases, cvss), kev(cve)."""
     a = advisories.withColumn("package", canonical_package("ecosystem", "package"))
-    alias = a.select("id", F.explode_outer(F.array_append("aliases", F.col("id"))).alias("cve")).join(F.broadcast(kev.select(F.upper("cve").alias("cve")).distinct().withColumn("hit", F.lit(True))), "cve", "left")
+    alias = a.select("id", F.explode_outer(F.array_append("aliases", F.col("id"))).alias("cve")).join(kev.select(F.upper("cve").alias("cve")).distinct().withColumn("hit", F.lit(True)), "cve", "left")
     known = alias.groupBy("id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("exploited"))
     d = deps.withColumn("package", canonical_package("ecosystem", "name"))
     band = F.when(F.col("exploited"), "critical").when(F.col("cvss") >= 9, "critical").when(F.col("cvss") >= 7, "high").when(F.col("cvss") >= 4, "medium").otherwise("low")
@@ -204,10 +204,10 @@ def sweep_installed(installed: DataFrame, compromised: DataFrame) -> DataFrame:
 #: Ordered command kinds; the first that matches wins.
 INSTALL_KINDS: tuple[tuple[str, str], ...] = (
     ("pipe-to-shell", r"(curl|wget)\s[^|;&]*\|\s*(sudo\s+)?(ba|z|da)?sh\b"), ("process-substitution", r"(ba|z)?sh\s+<\(\s*(curl|wget)"), ("npx", r"\bnpx\s+(-\w+\s+)*[@A-Za-z]"),
-    ("npm", r"\bnpm\s+(install|i|add|ci)\b"), ("yarn", r"\byarn\s+(global\s+)?add\b"), ("pnpm", r"\bpnpm\s+(add|install|i)\b"), ("bun", r"\bbun\s+(add|install)\b"),
-    ("uv-pip", r"\buv\s+pip\s+install\b"), ("uv", r"\buv\s+(add|tool\s+install)\b"), ("pipx", r"\bpipx\s+install\b"), ("pip", r"\bpip3?\s+install\b"), ("poetry", r"\bpoetry\s+add\b"),
-    ("conda", r"\bconda\s+install\b"), ("gem", r"\bgem\s+install\b"), ("cargo", r"\bcargo\s+(install|add)\b"), ("go", r"\bgo\s+(install|get)\b"), ("brew", r"\bbrew\s+install\b"),
-    ("apt", r"\bapt(-get)?\s+install\b"), ("git-clone", r"\bgit\s+clone\b"), ("submodule", r"\bgit\s+submodule\s+add\b"), ("gh-clone", r"\bgh\s+repo\s+clone\b"),
+    ("npm", r"\bnpm\s+(?:--?[\w=./-]+\s+)*(install|i|add|ci|update|up)\b"), ("yarn", r"\byarn\s+(?:--?[\w=./-]+\s+)*((global\s+)?add|install|up)\b"), ("pnpm", r"\bpnpm\s+(?:--?[\w=./-]+\s+)*(add|install|i|update)\b"), ("bun", r"\bbun\s+(?:--?[\w=./-]+\s+)*(add|install|update)\b"),
+    ("uv-pip", r"\buv\s+pip\s+install\b"), ("uv", r"\buv\s+(add|sync|tool\s+install)\b"), ("pipx", r"\bpipx\s+install\b"), ("pip", r"\bpip3?\s+install\b"), ("poetry", r"\bpoetry\s+add\b"),
+    ("conda", r"\bconda\s+install\b"), ("gem", r"\b(gem|bundle)\s+(install|update)\b"), ("cargo", r"\bcargo\s+(install|add)\b"), ("go", r"\bgo\s+(install|get)\b"), ("brew", r"\bbrew\s+install\b"),
+    ("apt", r"\bapt(-get)?\s+install\b"), ("git-clone", r"\bgit\s+clone\b"), ("git-pull", r"\bgit\s+pull\b"), ("submodule", r"\bgit\s+submodule\s+add\b"), ("gh-clone", r"\bgh\s+repo\s+clone\b"),
 )
 PYTHON_KINDS = ("pip", "uv-pip", "uv", "pipx", "poetry")
 

@@ -114,7 +114,7 @@ def enrichment(runs: DataFrame, findings: DataFrame) -> DataFrame:
 def budget_gate(counts: DataFrame, budgets: DataFrame) -> DataFrame:
     """(item, severity) over budget; a missing budget is 0. counts are findings with item and severity."""
     n = counts.groupBy("item", "severity").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(budgets), ["item", "severity"], "left").withColumn("budget", F.coalesce("budget", F.lit(0))).where("n > budget")
+    return n.join(budgets, ["item", "severity"], "left").withColumn("budget", F.coalesce("budget", F.lit(0))).where("n > budget")
 
 
 def joint_error(cases: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 from functools import cache
 from re import _parser
@@ -55,10 +56,10 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 
 def rule_matches(text: Column, rule: Rule) -> Column:
     """By kind - regular expression, keyword (lower-cased substring), set of code points, keys of a mapping."""
-    if rule.kind == "keyword":
+    if rule.kind in ("keyword", "mapping"):
         hit = F.lit(False)
         for v in rule.values:
-            hit = hit | F.contains(F.lower(text), F.lit(v.lower()))
+            hit = hit | (F.contains(F.lower(text), F.lit(unicodedata.normalize("NFKC", v).lower())) if rule.kind == "keyword" else F.contains(text, F.lit(v)))
     elif rule.kind == "charset":
         hit = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rule.values) + "]")
     else:
@@ -228,6 +229,16 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     return rules.where(valid & ~F.coalesce("retired", F.lit(False))).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", default)))).drop("retired")
 
 
+def as_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of ``load_rules`` as what scans take, in the order of pack and id; rule packs are code-sized and bounded by their files."""
+    rows = table.orderBy("pack", "id").collect()
+    values = lambda r: tuple(sorted(r["mapping"])) if r["type"] == "mapping" else tuple(r["values"] or ())
+    flags = lambda r: "(?i)" if "IGNORECASE" in (r["flags"] or ()) else ""
+    return tuple(
+        Rule(r["id"], r["title"], r["category"] or "", r["severity"] or "low", flags(r) + (r["pattern"] or ""), tuple(r["extensions"] or ()), None, r["confidence"], r["type"], values(r)) for r in rows
+    )
+
+
 def overlay_rules(base: DataFrame, update: DataFrame) -> DataFrame:
     """A4: per pack the rules of its newest version; of equal versions the shipped one."""
     both = base.withColumn("shipped", F.lit(1)).unionByName(update.withColumn("shipped", F.lit(0)))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from corpus_guard.detectors.rule_sets import SCANS
 from corpus_guard.detectors.union import PARSED, STRUCTURED, Inputs, detect, detect_oracle
-from corpus_guard.functions.scalars import verdict_tier
+from corpus_guard.functions.scalars import dotted_get, verdict_tier
 from corpus_guard.operators import correlate as C
 from corpus_guard.operators import report as R
-from corpus_guard.operators.rules import audit_findings, audit_oracle
+from corpus_guard.operators.rules import audit_findings, audit_oracle, dedupe_line_category
 from corpus_guard.plans.staging import stage
 from corpus_guard.plans.views import oracle, table, view
 from corpus_guard.registered.content_queries import ACTIONS, IOCS
@@ -74,6 +74,17 @@ def parser_findings(spark, d):
     return detect(inputs(spark, d), PARSED)
 
 
+@register("f04_first_line_category", found("SELECT DISTINCT repo, file, line, category, first_value(title) OVER (PARTITION BY repo, file, line, category ORDER BY rule_id, title) AS title FROM findings"))
+def first_of_category(spark, d):
+    return dedupe_line_category(findings(spark, d).withColumn("seq", F.struct("rule_id", "title"))).select("repo", "file", "line", "category", "title")
+
+
+@register("i20_dotted_get", oracle("""SELECT path, json_extract_string(TRY_CAST(content AS JSON), '$.mcpServers.files.command') AS server, json_extract_string(TRY_CAST(content AS JSON), '$.scripts.postinstall') AS hook
+FROM code_v WHERE ext = 'json'""", "code_v"))
+def dotted(spark, d):
+    return view(spark, d, "code_v").where("ext = 'json'").select("path", dotted_get("content", "mcpServers.files.command").alias("server"), dotted_get("content", "scripts.postinstall").alias("hook"))
+
+
 @register("m_compound_findings", every(f", {C.correlate_oracle()} SELECT * FROM compound"))
 def compound(spark, d):
     """M1-M41, E13, E14, B9, D23."""

@@ -1,5 +1,6 @@
 """The union of detectors, the literal prefilter of rules, and entropy over whole strings."""
 
+import json
 import math
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from corpus_guard.detectors.rule_sets import SCANS
 from corpus_guard.functions.scalars import entropy
 from corpus_guard.operators.correlate import FILE_RULES, REPO_RULES, correlate
-from corpus_guard.operators.rules import Rule, Scan, audit_findings, required, run_scan
+from corpus_guard.operators.rules import Rule, Scan, as_rules, audit_findings, load_rules, required, run_scan
 from corpus_guard.registered.report_queries import every_finding, parser_findings
 from corpus_guard.schema import FINDING
 
@@ -56,3 +57,15 @@ def test_entropy_of_whole_strings(spark):
     for t, e in zip(texts, got):
         want = None if t is None else -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
         assert (e is None) == (want is None) and (e is None or abs(e - want) < 1e-9)
+
+
+def test_rule_packs_drive_a_scan(spark, tmp_path):
+    rules = [
+        {"id": "P-1", "type": "regex", "pattern": "ab+c", "flags": ["IGNORECASE"], "title": "re", "severity": "high", "category": "x"}, {"id": "P-2", "type": "keyword", "values": ["\uff2bey"], "title": "kw", "severity": "low", "category": "x"},
+        {"id": "P-3", "type": "mapping", "mapping": {"Zed": "z"}, "title": "map", "severity": "low", "category": "y"}, {"id": "P-4", "type": "charset", "values": ["\u200b"], "title": "cs", "severity": "low", "category": "y"}, {"id": "P-5", "type": "regex", "title": "no pattern"},
+    ]
+    (tmp_path / "p.json").write_text(json.dumps({"schema_version": "1.0", "pack": "p", "pack_version": 1, "rules": rules}))
+    found = as_rules(load_rules(spark, str(tmp_path / "p.json")))
+    files = spark.createDataFrame([("r", "a.md", "md", "xABBC\nthe key\nZed zed\n\u200b"), ("r", "b.md", "md", "zed")], "repo string, path string, ext string, content string")
+    got = sorted((r.rule_id, r.line) for r in audit_findings(files, [Scan("pack", found)]).collect())
+    assert got == [("P-1", 1), ("P-2", 2), ("P-3", 3), ("P-4", 4)]
