@@ -167,7 +167,16 @@ def path_indicators(spark, d):
     return C.path_indicators(_files(spark, d), spark.createDataFrame(list(NAMES), "base string, severity string, title string"))
 
 
-@register("c13_unicode")
+def _unicode_sql() -> str:
+    odd = "CASE file_id % 10 WHEN 0 THEN chr(8203) || chr(8203) || 'x' || chr(8203) WHEN 1 THEN chr(8238) || 'abc' WHEN 2 THEN 'p' || chr(1072) || 'ypal' ELSE '' END"
+    arms = []
+    for kind, (pattern, least, only_code) in C.UNICODE_KINDS.items():
+        code = " AND ext IN ('py', 'js', 'ts', 'sh', 'json', 'yml', 'toml')" if only_code else ""
+        arms.append(f"SELECT repo, path, '{kind}' AS kind, len(regexp_extract_all(content, '{pattern}')) AS n FROM u WHERE n >= {least}{code}")
+    return f", u AS (SELECT * REPLACE (content || {odd} AS content) FROM files_v) " + " UNION ALL ".join(arms)
+
+
+@register("c13_unicode", oracle(_unicode_sql(), "files_v"))
 def unicode_scan(spark, d):
     f = _files(spark, d)
     odd = F.when(F.col("file_id") % 10 == 0, "​​x​").when(F.col("file_id") % 10 == 1, "‮abc").when(F.col("file_id") % 10 == 2, "pаypal").otherwise("")
@@ -199,7 +208,13 @@ def blobs(spark, d):
     return C.detect_blobs(f).select("repo", "path", F.md5("blob").alias("h")).distinct()
 
 
-@register("c21_entropy_scan")
+_RUN, _HEX, _KEY = r"[A-Za-z0-9+/]{80,}={0,2}", r"\b[0-9a-fA-F]{64,}\b", "(?i)(secret|token|api_?key|password)"
+
+
+@register("c21_entropy_scan", oracle(_L + rf""", m AS (SELECT repo, path, line, text, regexp_matches(text, '{_RUN}') AND NOT regexp_matches(text, 'data:[^"]*;base64,') AS run, regexp_matches(text, '{_HEX}') AS hexed,
+round(list_aggregate(string_split(substring(text, 1, 10000), ''), 'entropy'), 4) AS bits FROM (SELECT * REPLACE (substring(text, 1, 10000) AS text) FROM l) WHERE length(text) >= 50)
+SELECT repo, path, line, CASE WHEN run THEN 'base64-run' WHEN hexed THEN 'hex-run' ELSE 'high-entropy' END AS kind, CASE WHEN run OR hexed OR regexp_matches(text, '{_KEY}') THEN 'high' ELSE 'medium' END AS severity
+FROM m WHERE run OR hexed OR bits > 5.8""", "files_v"))
 def entropy_scan(spark, d):
     return C.scan_entropy(_lines(spark, d))
 
