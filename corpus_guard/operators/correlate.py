@@ -161,15 +161,18 @@ def has(name: str) -> Column:
 
 
 def with_sets(findings: DataFrame) -> DataFrame:
-    """The names of the keyword sets that each finding's tags hit, as an array. Tags repeat what rules say, so they are few: each distinct one is tested once."""
+    """The names of the keyword sets that each finding's tags hit, as an array. Tags repeat what rules say, so they are few: each distinct one is tested once. Findings that have sets stay as they are."""
+    if "sets" in findings.columns:
+        return findings
     tagged = with_tags(findings)
     hits = F.filter(F.array(*[F.when(has(k), F.lit(k)) for k in KEYWORDS]), lambda x: x.isNotNull())
     known = stage(tagged.select("tags").distinct().withColumn("sets", hits), "tags")
     return tagged.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "tags")
 
 
-def flags(tagged: DataFrame) -> DataFrame:
-    """One row per file with all flags, the number of findings in any of the three narrow sets, and is_doc. ``tagged`` has sets."""
+def flags(findings: DataFrame) -> DataFrame:
+    """One row per file with all flags, the number of findings in any of the three narrow sets, and is_doc."""
+    tagged = with_sets(findings)
     three = F.arrays_overlap("sets", F.array(*map(F.lit, ("three_exec", "three_network", "three_credential"))))
     other = F.coalesce(F.bool_or(F.array_contains("sets", "prompt_injection") & (F.col("scanner") != "agent_skills")), F.lit(False)).alias("prompt_injection_other")
     held = tagged.groupBy("repo", "file").agg(F.flatten(F.collect_set("sets")).alias("held"), other, F.count_if(three).alias("three_n"))
@@ -183,11 +186,11 @@ def _out(df: DataFrame) -> DataFrame:
     )
 
 
-def correlate_files(tagged: DataFrame) -> DataFrame:
+def correlate_files(findings: DataFrame) -> DataFrame:
     """One grouped aggregate, then all rules as one array."""
     struct = lambda m: F.struct(F.lit(m.id).alias("rule_id"), F.lit(m.severity).alias("severity"), F.lit(m.category).alias("category"), F.lit(m.title).alias("title"))
     fired = F.filter(F.array(*[F.when(F.expr(m.when), struct(m)) for m in FILE_RULES]), lambda x: x.isNotNull())
-    return _out(flags(tagged).select("repo", "file", F.explode(fired).alias("m")).select("repo", "file", "m.*"))
+    return _out(flags(findings).select("repo", "file", F.explode(fired).alias("m")).select("repo", "file", "m.*"))
 
 
 def ancestors(d: str) -> Column:
@@ -202,8 +205,9 @@ def near_dirs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(up(b), ["repo", "dir"]).select("repo").union(b.join(up(a), ["repo", "dir"]).select("repo")).distinct()
 
 
-def correlate_repos(tagged: DataFrame) -> DataFrame:
-    """M30-M36, over the distinct directories of each set. ``tagged`` has sets."""
+def correlate_repos(findings: DataFrame) -> DataFrame:
+    """M30-M36, over the distinct directories of each set."""
+    tagged = with_sets(findings)
     sets = sorted({x for r in REPO_RULES for x in r[4:]})
     placed = tagged.withColumn("dir", F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(""))
     hits = F.array_intersect("sets", F.array(*map(F.lit, sets)))
