@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, packing, quality, substring_dedup, toxicity, warc
+from . import conversation_repair, decontaminate, embedding_dedup, embedding_whitening, exact_dedup, html_extract, mixing, ngram_join, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_embedding_whitening": embedding_whitening.op11_embedding_whitening,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_decontamination": decontaminate.op13_decontamination,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -21,4 +24,6 @@ ORACLES = {
     "op5_warc": warc.ORACLE,
     "op7_embedding_near_dedup": embedding_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_decontamination": decontaminate.ORACLE,
 }
