@@ -1,4 +1,4 @@
-"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
+"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
 
 from __future__ import annotations
 
@@ -15,146 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_guard.functions.scalars import alphabet_of
-
-# ---- Python syntax trees ------------------------------------------------------------------------------------------------
-
-_HIT = "repo string, path string, line int, category string, severity string"
-_SHELLS = {"system", "popen", "call", "run", "Popen", "check_output"}
-
-
-def _name(node) -> str:
-    if isinstance(node, ast.Attribute):
-        return f"{_name(node.value)}.{node.attr}"
-    return node.id if isinstance(node, ast.Name) else ""
-
-
-def _obfuscated(call: ast.Call) -> str | None:
-    """The kind of hidden execution that a call is, if any."""
-    name = _name(call.func)
-    first = call.args[0] if call.args else None
-    inner = _name(first.func) if isinstance(first, ast.Call) else ""
-    if name in ("exec", "eval"):
-        if re.search(r"(b64decode|decode|decompress|fromhex|unhexlify)$", inner):
-            return "encoded-exec"
-        if inner == "compile":
-            return "eval-compile"
-    if isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Call) and _name(call.func.value.func) == "__import__":
-        return "import-call"
-    if isinstance(call.func, ast.Call) and _name(call.func.func) == "getattr":
-        return "getattr-call"
-    if name.split(".")[-1] in _SHELLS and isinstance(first, ast.BinOp):
-        return "shell-concat"
-    if name.endswith("import_module") and first is not None and not isinstance(first, ast.Constant):
-        return "computed-import"
-    if name.endswith("reload"):
-        return "reload"
-    if name in ("marshal.loads", "pickle.loads"):
-        return "marshal-load"
-    if name.endswith("CodeType") or name.endswith("FunctionType"):
-        return "types-code"
-    if name == "sys.addaudithook":
-        return "audit-hook"
-    if name.endswith(".decode") and isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Call) and _name(call.func.value.func) == "bytes":
-        return "bytes-decode"
-    if name == "open" and isinstance(first, ast.Name) and first.id == "__file__":
-        return "self-write"
-    return None
-
-
-_MILD = {"reload": "high", "bytes-decode": "high"}
-
-
-def _ast_hits(source: str) -> list[tuple[int, str, str]]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [(0, "unparseable", "low")]
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call) and (kind := _obfuscated(node)):
-            out.append((node.lineno, kind, _MILD.get(kind, "critical")))
-        elif isinstance(node, ast.FunctionDef) and node.name == "__reduce__":
-            out.append((node.lineno, "reduce", "critical"))
-    return out
-
-
-def _dynamism_hits(source: str) -> list[tuple[int, str, str]]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call) and _name(node.func) in ("__import__", "importlib.import_module") and node.args and not isinstance(node.args[0], ast.Constant):
-            out.append((node.lineno, "dynamic-import", "high"))
-        if isinstance(node, ast.Call) and _name(node.func) in ("eval", "exec") and node.args and isinstance(node.args[0], ast.Call) and re.search(r"(get|urlopen|read|text)$", _name(node.args[0].func)):
-            out.append((node.lineno, "fetch-execute", "critical"))
-        if isinstance(node, ast.Compare) and any("now" in _name(x.func) for x in ast.walk(node) if isinstance(x, ast.Call)):
-            out.append((node.lineno, "time-bomb", "medium"))
-    return out
-
-
-def _entry_hits(source: str) -> list[tuple[int, str, str]]:
-    """Calls that run when the module is imported."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out = []
-    for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.ClassDef, ast.AsyncFunctionDef)) or (isinstance(node, ast.If) and "__name__" in ast.dump(node.test)):
-            continue
-        for call in (x for x in ast.walk(node) if isinstance(x, ast.Call)):
-            name = _name(call.func)
-            if name in ("eval", "exec") or name.startswith(("os.system", "subprocess.", "requests.", "urllib.")):
-                out.append((call.lineno, "entrypoint-import-exec", "critical" if name in ("eval", "exec") else "high"))
-    return out
-
-
-def _fallback_hits(source: str) -> list[tuple[int, str, str]]:
-    """Imports whose failure installs something."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out = []
-    for node in (x for x in ast.walk(tree) if isinstance(x, ast.Try)):
-        tried = any(isinstance(x, (ast.Import, ast.ImportFrom)) for x in node.body)
-        installs = any(isinstance(x, ast.Constant) and x.value == "install" or isinstance(x, ast.Attribute) and x.attr == "main" for h in node.handlers for x in ast.walk(h))
-        if tried and installs:
-            out.append((node.lineno, "import-else-install", "high"))
-    return out
-
-
-def _per_file(files: DataFrame, hits) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]):
-        for rows in batches:
-            out = [(r, p, line, kind, sev) for r, p, text in zip(rows["repo"], rows["path"], rows["content"]) for line, kind, sev in hits(text or "")]
-            yield pd.DataFrame(out, columns=["repo", "path", "line", "category", "severity"])
-
-    return files.where("ext = 'py'").select("repo", "path", "content").mapInPandas(work, _HIT)
-
-
-def scan_py_ast(files: DataFrame) -> DataFrame:
-    """C50."""
-    return _per_file(files, _ast_hits)
-
-
-def scan_py_dynamism(files: DataFrame) -> DataFrame:
-    """C51."""
-    return _per_file(files, _dynamism_hits)
-
-
-def scan_py_entrypoint(files: DataFrame) -> DataFrame:
-    """C49."""
-    return _per_file(files, _entry_hits)
-
-
-def scan_install_fallback(files: DataFrame) -> DataFrame:
-    """C60, the import-else-install fallback."""
-    return _per_file(files, _fallback_hits)
-
 
 # ---- taint in one file ------------------------------------------------------------------------------------------------------
 
@@ -207,6 +67,29 @@ _DANGER = re.compile(r"(eval\s*\(|exec\s*\(|child_process|os\.system|subprocess|
 _BLOB = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}|[0-9a-fA-F]{48,}")
 
 
+#: Signs that count only in text that parses as a program: prose that mentions them does not.
+_IN_CODE = re.compile(
+    r"""getattr\s*\(\s*[\w.]+\s*,[^)]*\)\s*\(|urllib\.request|http\.client|shutil\.rmtree\s*\(|os\.(?:remove|unlink)\s*\(|Popen\s*\(|__import__\s*\(|open\s*\(\s*['"][^'"]*(?:/etc/(?:passwd|shadow)|\.ssh/|\.aws/|\.env)"""
+)
+
+
+def code_like(text: str) -> bool:
+    """Whether text parses as Python statements other than names and constants alone."""
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return any(not (isinstance(x, ast.Expr) and isinstance(x.value, (ast.Name, ast.Constant))) for x in body)
+
+
+def dangerous(text: str) -> str | None:
+    """What a decoded text calls: a sign that counts anywhere, or one that counts in programs."""
+    if m := _DANGER.search(text):
+        return m[0]
+    m = _IN_CODE.search(text)
+    return m[0] if m and code_like(text) else None
+
+
 def decode_rescan(blobs: DataFrame, layers: int = 3) -> DataFrame:
     """C20: blobs(repo, path, blob) decoded strictly through at most ``layers`` layers; dangerous calls in what comes out."""
 
@@ -220,8 +103,8 @@ def decode_rescan(blobs: DataFrame, layers: int = 3) -> DataFrame:
                     for trail, b in level:
                         for name, text in _decode(b):
                             here = f"{trail}>{name}" if trail else name
-                            if m := _DANGER.search(text):
-                                out.append((repo, path, depth, here, m[0]))
+                            if call := dangerous(text):
+                                out.append((repo, path, depth, here, call))
                             nxt += [(here, x) for x in _BLOB.findall(text)]
                     level = nxt
             yield pd.DataFrame(out, columns=["repo", "path", "depth", "trail", "call"])
@@ -251,16 +134,6 @@ def fragments(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", "content").mapInPandas(work, "repo string, path string, frag string, ord int")
 
 
-def reassemble(frags: DataFrame, most: int = 256) -> DataFrame:
-    """Per repo and alphabet with 3 to ``most`` fragments in at least 2 files: the fragments joined in path, length and appearance order, as blobs for C20."""
-    kind = frags.withColumn("alphabet", alphabet_of("frag"))
-    sizes = kind.groupBy("repo", "alphabet").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")).where(F.col("n").between(3, most) & (F.col("files") >= 2))
-    small = kind.join(sizes.select("repo", "alphabet"), ["repo", "alphabet"], "left_semi")
-    join = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "frag"))), lambda x: x["frag"]), "")
-    g = small.groupBy("repo", "alphabet").agg(join("path", "ord").alias("a"), join(F.length("frag").alias("n"), "path", "ord").alias("b"), join("ord", "path").alias("c"))
-    return g.select("repo", F.concat(F.lit("reassembled:"), "alphabet").alias("path"), F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("blob"))
-
-
 # ---- archives and binaries ------------------------------------------------------------------------------------------------------
 
 CAPS = {"depth": 2, "entries": 1000, "ratio": 100, "bytes": 100 * 1024 * 1024}

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from corpus_guard.detectors import content as C
 from corpus_guard.detectors import python_jobs as P
+from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL, JS, LINES
+from corpus_guard.detectors.split_payloads import scan_split_payloads
 from corpus_guard.functions.scalars import default_confidence, looks_like_llm_bait
 from corpus_guard.operators import deps as D
 from corpus_guard.operators.lines import FENCE, snippet, to_lines
 from corpus_guard.operators.report import union_findings
+from corpus_guard.plans.staging import stage
 
 BUILTINS = ("os", "sys", "re", "json", "base64", "subprocess", "importlib", "datetime")
 
@@ -140,20 +143,23 @@ def _locked(x: Inputs) -> DataFrame:
     return found.select("repo", "path", "category", sev.alias("severity"), F.concat_ws(" ", "name", "version").alias("detail"))
 
 
-def _parsed(category_of: Callable[[DataFrame], DataFrame]) -> Callable[[Inputs], DataFrame]:
-    return lambda x: category_of(x.files).withColumn("detail", F.lit(""))
-
-
 def _taint(x: Inputs) -> DataFrame:
     found = P.taint_flows(to_lines(x.files))
     return found.select("repo", "path", F.col("sink_line").alias("line"), F.lit("taint-flow").alias("category"), F.lit("high").alias("severity"), F.col("variable").alias("detail"))
 
 
-def _decoded(x: Inputs) -> DataFrame:
-    found = P.decode_rescan(C.detect_blobs(x.files))
+def _ladder(found: DataFrame) -> DataFrame:
     return found.select("repo", "path", F.lit("decoded-payload").alias("category"), F.lit("critical").alias("severity"), F.concat_ws(" ", "trail", "call").alias("detail"))
 
 
+def _decoded(x: Inputs) -> DataFrame:
+    return _ladder(P.decode_rescan(C.detect_blobs(x.files)))
+
+
+def _split(x: Inputs) -> DataFrame:
+    return scan_split_payloads(P.fragments(x.files))
+
+
 def _dense(x: Inputs) -> DataFrame:
     found = C.scan_entropy(to_lines(x.files))
     return found.select("repo", "path", "line", F.concat(F.lit("entropy-"), "kind").alias("category"), "severity", F.lit("").alias("detail"))
@@ -234,16 +240,26 @@ STRUCTURED: tuple[Detector, ...] = tuple(Detector(s, p, _of_files(n), DETECTOR_S
     Detector("dependencies", "Dependency: ", _fresh, _FRESH), Detector("dependencies", "Dependency: ", _phantom, _PHANTOM), Detector("lockfile", "Lockfile: ", _locked, _LOCKED),
 )
 
-#: Detectors that parse, decode or measure, which SQL cannot express.
+#: Detectors that decode or measure, which SQL cannot express; those that read syntax trees are in ``SOURCE``.
 PARSED: tuple[Detector, ...] = (
-    Detector("py_ast", "Syntax tree: ", _parsed(P.scan_py_ast)), Detector("runtime_dynamism", "Syntax tree: ", _parsed(P.scan_py_dynamism)), Detector("entrypoint", "Import time: ", _parsed(P.scan_py_entrypoint)),
-    Detector("manifest_drift", "Syntax tree: ", _parsed(P.scan_install_fallback)), Detector("taint", "Flow to a sink: ", _taint), Detector("decoder", "Decoded text: ", _decoded), Detector("entropy", "Dense text: ", _dense),
+    Detector("taint", "Flow to a sink: ", _taint), Detector("decoder", "Decoded text: ", _decoded), Detector("splitstream", "Split payload: ", _split), Detector("entropy", "Dense text: ", _dense),
 )
 
+#: Scanner and title prefix of each scan of the one parse of Python files.
+SOURCE = {"ast": ("py_ast", "Syntax tree: "), "dynamism": ("runtime_dynamism", "Syntax tree: "), "entry": ("entrypoint", "Import time: "), "fallback": ("manifest_drift", "Syntax tree: ")}
+
+
+def source_findings(files: DataFrame) -> DataFrame:
+    """Findings of all scans of Python files, and of what their decode calls decode, from one staged parse."""
+    rows = stage(S.parse_python(files), "python-source")
+    parts = [as_findings(S.of_scan(rows, scan).withColumn("detail", F.lit("")), scanner, prefix) for scan, (scanner, prefix) in SOURCE.items()]
+    return union_findings(*parts, as_findings(_ladder(S.decoded_arguments(rows)), "decoder", "Decoded text: "))
+
 
 def detect(inputs: Inputs, detectors: tuple[Detector, ...] = STRUCTURED + PARSED) -> DataFrame:
-    """Findings of all detectors over the same inputs."""
-    return union_findings(*[as_findings(d.run(inputs), d.scanner, d.prefix) for d in detectors])
+    """Findings of all detectors over the same inputs; with any of PARSED, those of Python files too."""
+    found = [as_findings(d.run(inputs), d.scanner, d.prefix) for d in detectors]
+    return union_findings(*found, *([source_findings(inputs.files)] if any(d in PARSED for d in detectors) else []))
 
 
 def detect_oracle(detectors: tuple[Detector, ...] = STRUCTURED) -> str:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from corpus_guard.detectors import content as C
 from corpus_guard.detectors import python_jobs as P
+from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL
+from corpus_guard.detectors.split_payloads import FRAGMENT_SQL, REASSEMBLE_SQL, reassemble, scan_split_payloads
 from corpus_guard.operators.lines import to_lines
 from corpus_guard.plans.views import oracle, table, view
 from corpus_guard.registry import register
@@ -20,17 +22,17 @@ def code_v(spark, d):
 
 @register("c50_py_ast")
 def py_ast(spark, d):
-    return P.scan_py_ast(code_v(spark, d))
+    return S.of_scan(S.parse_python(code_v(spark, d)), "ast")
 
 
 @register("c51_py_dynamism")
 def py_dynamism(spark, d):
-    return P.scan_py_dynamism(code_v(spark, d))
+    return S.of_scan(S.parse_python(code_v(spark, d)), "dynamism")
 
 
 @register("c49_py_entrypoint")
 def py_entry(spark, d):
-    return P.scan_py_entrypoint(code_v(spark, d))
+    return S.of_scan(S.parse_python(code_v(spark, d)), "entry")
 
 
 @register("c52_taint_flows")
@@ -43,18 +45,44 @@ def decode(spark, d):
     return P.decode_rescan(C.detect_blobs(view(spark, d, "files_v")))
 
 
-@register("j03_fragments")
+@register("c20_decode_arguments")
+def decode_arguments(spark, d):
+    """The arguments of decode calls, by syntax tree, down the ladder."""
+    return S.decoded_arguments(S.parse_python(code_v(spark, d)))
+
+
+@register("j03_fragments", oracle(f", source_files AS (SELECT * FROM code_v), {FRAGMENT_SQL} SELECT * FROM frag", "code_v"))
 def fragments(spark, d):
     return P.fragments(code_v(spark, d))
 
 
-@register("j04_reassemble")
-def reassemble(spark, d):
+#: Three files of a split program; which one a file holds does not follow its path, length or place.
+SPLIT = ("Y29uc29sZS5s", "b2coMSk7Y29u", "c29sZS5sb2co")
+
+
+def split_fragments(spark, d):
     """All of files_v and a split program, in repos of 64 consecutive ids of a source, so that a source's size does not push its fragments over the limit of a group."""
     f = view(spark, d, "files_v").withColumn("repo", F.concat_ws("/", "repo", F.expr("file_id div 64")))
-    part = F.element_at(F.array(*map(F.lit, ("Y29uc29sZS5s", "b2coMSk7Y29u", "c29sZS5sb2co"))), (F.col("file_id") % 3 + 1).cast("int"))
+    part = F.element_at(F.array(*map(F.lit, SPLIT)), (F.col("file_id") % 3 + 1).cast("int"))
     split = f.where("path like '%/doc-%'").withColumn("repo", F.concat("repo", F.lit("/split"))).withColumn("content", F.concat(F.lit("x = '"), part, F.lit("'")))
-    return P.reassemble(P.fragments(f.unionByName(split)))
+    return P.fragments(f.unionByName(split))
+
+
+_PARTS = ", ".join(f"'{x}'" for x in SPLIT)
+_SPLIT_FILES = f""", f AS (SELECT repo || '/' || CAST(file_id // 64 AS VARCHAR) AS repo, path, content, file_id FROM files_v),
+source_files AS (SELECT repo, path, content FROM f UNION ALL SELECT repo || '/split', path, 'x = ' || chr(39) || [{_PARTS}][CAST(file_id % 3 AS INT) + 1] || chr(39) FROM f WHERE path LIKE '%/doc-%'), {FRAGMENT_SQL}, """
+
+
+@register("j04_reassemble", oracle(_SPLIT_FILES + REASSEMBLE_SQL, "files_v", recursive=True))
+def reassembled(spark, d):
+    return reassemble(split_fragments(spark, d))
+
+
+@register("j04_split_payloads")
+def split_payloads(spark, d):
+    """Joined fragments down the decode ladder, and groups over the limit, of whole sources and of repos of 64 files."""
+    whole = P.fragments(view(spark, d, "files_v"))
+    return scan_split_payloads(split_fragments(spark, d).unionByName(whole))
 
 
 _KINDS_SQL = """CASE WHEN regexp_matches(command, '(curl|wget)\\s[^|;&]*\\|\\s*(sudo\\s+)?(ba|z|da)?sh\\b') THEN 'pipe-to-shell' WHEN regexp_matches(command, '(ba|z)?sh\\s+<\\(\\s*(curl|wget)') THEN 'pipe-to-shell'
