@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpus_guard.functions.scalars import cloud_suffix, entropy, registrable_domain, url_host
 from corpus_guard.operators.deps import untrusted_hosts
 from corpus_guard.operators.lines import first_by, in_fence, snippet, to_lines
+from corpus_guard.operators.substrings import join_substrings
 
 # ---- three primitives in one file --------------------------------------------------------------------------------------
 
@@ -47,13 +48,23 @@ def merge_iocs(*layers: DataFrame) -> DataFrame:
     return out.groupBy("kind", "value").agg(F.min_by("source", "layer").alias("source"))
 
 
+#: Substring indicators up to which one projection looks for all of them.
+FEW_SUBSTRINGS = 64
+
+
 def match_ioc_text(lines: DataFrame, iocs: DataFrame) -> DataFrame:
-    """Lines that name an indicator. Hosts, addresses and hex digests are cut from the line and joined by equality; indicators of other kinds, few, are tested as substrings."""
+    """Lines that name an indicator. Hosts, addresses and hex digests are cut from the line and joined by equality. Indicators of other kinds
+    are substrings: a few are looked for in one projection, more by a join on grams."""
     token = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9][a-z0-9.-]*\.[a-z0-9-]+|[0-9a-f]{32,64})"), 1)
     cut = lines.withColumn("value", F.explode(F.array_distinct(token)))
     exact = cut.join(iocs.where(F.col("kind").isin("domain", "c2_ip", "hash")), "value").select("repo", "path", "line", "kind", "value")
     rest = iocs.where(F.col("kind").isin("path", "pth_file"))
-    loose = lines.join(F.broadcast(rest), F.contains("text", F.col("value"))).select("repo", "path", "line", "kind", "value")
+    few = rest.limit(FEW_SUBSTRINGS + 1).collect()
+    if len(few) <= FEW_SUBSTRINGS:
+        named = F.filter(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.value).alias("value")) for r in few if r.value]), lambda i: F.contains("text", i["value"])) if any(r.value for r in few) else None
+        loose = exact.limit(0) if named is None else lines.select("repo", "path", "line", F.explode(named).alias("i")).select("repo", "path", "line", "i.kind", "i.value")
+    else:
+        loose = join_substrings(lines.select("repo", "path", "line", "text"), "text", rest.select("kind", "value"), "value").select("repo", "path", "line", "kind", "value")
     return exact.unionByName(loose).distinct()
 
 

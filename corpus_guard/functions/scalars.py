@@ -118,7 +118,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc_lower(s: str | Column) -> Column:
     """NFKC and lower case; text in ASCII stays in the JVM."""
-    return F.when(_col(s).rlike(r"^[\x00-\x7f]*$"), F.lower(s)).otherwise(_nfkc(s))
+    plain = ~_col(s).rlike(r"[^\x00-\x7f]")
+    return F.when(plain, F.lower(s)).otherwise(_nfkc(F.when(~plain, _col(s))))
 
 
 def printable_ratio(s: str | Column) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cache
-from re import _parser
+from re import PatternError, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_guard.functions.scalars import nfkc_lower
 from corpus_guard.operators.lines import COMMENT, FENCE, drop_comments, in_fence, snippet, to_lines
 from corpus_guard.schema import CONFIDENCE, MAX_LINE, RULE
 
@@ -55,11 +56,11 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 
 
 def rule_matches(text: Column, rule: Rule) -> Column:
-    """By kind - regular expression, keyword (lower-cased substring), set of code points, keys of a mapping."""
+    """By kind - regular expression, keyword (substring, both sides NFKC and lower-cased), set of code points, keys of a mapping."""
     if rule.kind in ("keyword", "mapping"):
-        hit = F.lit(False)
+        hit, plain = F.lit(False), nfkc_lower(text)
         for v in rule.values:
-            hit = hit | (F.contains(F.lower(text), F.lit(unicodedata.normalize("NFKC", v).lower())) if rule.kind == "keyword" else F.contains(text, F.lit(v)))
+            hit = hit | (F.contains(plain, F.lit(unicodedata.normalize("NFKC", v).lower())) if rule.kind == "keyword" else F.contains(text, F.lit(v)))
     elif rule.kind == "charset":
         hit = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rule.values) + "]")
     else:
@@ -102,19 +103,55 @@ def required(pattern: str) -> tuple[str, ...]:
         offer([run])
         return best
 
-    found = of(_parser.parse(pattern)) or []
+    try:
+        found = of(_parser.parse(pattern)) or []
+    except (PatternError, RecursionError, OverflowError):  # syntax of Java that Python lacks
+        return ()
     return tuple(sorted(set(found))) if all(x.isascii() for x in found) else ()
 
 
+@cache
+def spans_lines(pattern: str) -> bool:
+    """Whether a pattern may fail on a whole file though it matches one of its lines: lookarounds, atomic and possessive parts, and ends of the text see the other lines."""
+
+    def of(sequence) -> bool:
+        for op, arg in sequence:
+            name = str(op)
+            if name in ("ASSERT", "ASSERT_NOT", "POSSESSIVE_REPEAT", "ATOMIC_GROUP", "GROUPREF_EXISTS") or (name == "AT" and str(arg) in ("AT_BEGINNING_STRING", "AT_END_STRING")):
+                return True
+            if name == "BRANCH":
+                inner = arg[1]
+            elif name == "SUBPATTERN":
+                inner = [arg[3]]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                inner = [arg[2]]
+            else:
+                continue
+            if any(of(x) for x in inner):
+                return True
+        return False
+
+    try:
+        return "\\Z" in pattern or "(?-" in pattern or of(_parser.parse(pattern))
+    except (PatternError, RecursionError, OverflowError):
+        return True
+
+
 def may_match(content: Column, low: Column, rule: Rule) -> Column:
     """Whether a whole file can hold a line that the rule matches.
 
     A literal that every match holds is looked for in the lower-cased content, then the pattern with line
-    anchors, its negated classes kept inside a line.
+    anchors, its negated classes kept inside a line. The pattern is not asked where it sees more than a line, nor of files
+    with a line that is cut, whose end the whole file does not show.
     """
+    if rule.kind == "keyword":
+        return content.rlike(r"[^\x00-\x7f]") | rule_in_ascii(low, rule)
     if rule.kind != "regex":
-        return rule_matches(content, rule)
-    hit = content.rlike("(?m)" + rule.pattern.replace("[^", "[^\\n"))
+        return rule_matches(content, Rule(rule.id, rule.title, rule.category, rule.severity, rule.pattern, kind=rule.kind, values=rule.values))
+    hit = F.lit(True)
+    if not spans_lines(rule.pattern):
+        cut = (F.length(content) > MAX_LINE) & content.rlike(f"[^\\n]{{{MAX_LINE + 1}}}")
+        hit = content.rlike("(?m)" + rule.pattern.replace("[^", "[^\\n")) | cut
     some = None
     for x in required(rule.pattern):
         one = F.contains(low, F.lit(x))
@@ -122,6 +159,14 @@ def may_match(content: Column, low: Column, rule: Rule) -> Column:
     return hit if some is None else some & hit
 
 
+def rule_in_ascii(low: Column, rule: Rule) -> Column:
+    """A keyword rule on lower-cased ASCII text, which is its own NFKC form."""
+    hit = F.lit(False)
+    for v in rule.values:
+        hit = hit | F.contains(low, F.lit(unicodedata.normalize("NFKC", v).lower()))
+    return hit
+
+
 def settled(files: DataFrame) -> DataFrame:
     """Files whose content, and its lower-cased form _low, are computed once: a condition on an undetermined column is not pushed below it, where it would repeat their expressions for every pattern."""
     once = files.withColumn("content", F.when(F.monotonically_increasing_id() >= 0, F.col("content")))
@@ -129,15 +174,24 @@ def settled(files: DataFrame) -> DataFrame:
 
 
 def scan_rules(lines: DataFrame, rules, scanner: str, keep: str = "all") -> DataFrame:
-    """All rules in one narrow projection per line, then the hits as findings; no shuffle unless the first hit of a file is asked for."""
+    """The hits of all rules as findings.
+
+    Up to some hundreds of rules are one narrow projection per line, without a shuffle unless the first hit of a file is
+    asked for; more are found through an index of their literals.
+    """
+    from corpus_guard.operators.rule_index import INDEXED_FROM, indexed_hits
+
     spark = lines.sparkSession
     text = F.col("text")
-    hits = F.filter(F.array(*[F.when(gate(r) & rule_matches(text, r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    found = lines.withColumn("hits", hits).where(F.size("hits") > 0)
-    if keep == "line":
-        found = found.withColumn("ord", F.element_at("hits", 1)).drop("hits")
+    if len(rules) > INDEXED_FROM:
+        found = indexed_hits(lines, rules)
+        if keep == "line":
+            first = Window.partitionBy("repo", "path", "line").orderBy("ord")
+            found = found.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     else:
-        found = found.withColumn("ord", F.explode("hits")).drop("hits")
+        hits = F.filter(F.array(*[F.when(gate(r) & rule_matches(text, r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+        found = lines.withColumn("hits", hits).where(F.size("hits") > 0)
+        found = found.withColumn("ord", F.element_at("hits", 1) if keep == "line" else F.explode("hits")).drop("hits")
     found = found.join(F.broadcast(rule_table(spark, rules)), "ord")
     if keep in ("file", "category"):
         keys = ["repo", "path"] + (["category"] if keep == "category" else [])
@@ -150,10 +204,15 @@ def scan_rules(lines: DataFrame, rules, scanner: str, keep: str = "all") -> Data
 
 def run_scan(files: DataFrame, scan: Scan) -> DataFrame:
     """Lines of the files a scan reads, under its policies, through its rules. Files that no rule can match are not split into lines."""
-    some = F.lit(False)
-    for r in scan.rules:
-        some = some | (gate(r) & may_match(F.col("content"), F.col("_low"), r))
-    lines = to_lines(settled(files.where(scan.where)).where(some).drop("_low"), scan.long)
+    from corpus_guard.operators.rule_index import INDEXED_FROM
+
+    read = files.where(scan.where)
+    if len(scan.rules) <= INDEXED_FROM:
+        some = F.lit(False)
+        for r in scan.rules:
+            some = some | (gate(r) & may_match(F.col("content"), F.col("_low"), r))
+        read = settled(read).where(some).drop("_low")
+    lines = to_lines(read, scan.long)
     if not scan.fenced:
         lines = in_fence(lines).where("not in_fence and not is_fence")
     if not scan.comments:
@@ -270,12 +329,6 @@ def self_test(spark: SparkSession, rules) -> DataFrame:
     return examples.withColumn("ok", hit == F.col("wanted")).groupBy("rule_id").agg(F.bool_and("ok").alias("passed"), F.count("*").alias("examples"))
 
 
-def first_hit_per_line(hits: DataFrame, order: str = "ord") -> DataFrame:
-    """of the hits of a line the first in rule order."""
-    w = Window.partitionBy("repo", "file", "line").orderBy(order)
-    return hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def dedupe_line_category(findings: DataFrame, order: str = "seq") -> DataFrame:
     """the first finding of each file, line and category."""
     w = Window.partitionBy("repo", "file", "line", "category").orderBy(order)
@@ -297,7 +350,15 @@ def audit_findings(files: DataFrame, scans) -> DataFrame:
     scans read their own, smaller set of files.
     """
     spark = files.sparkSession
-    flat = [(s, scan, r) for s, scan in enumerate(scans) if scan.fenced for r in scan.rules]
+    from corpus_guard.operators.rule_index import INDEXED_FROM
+
+    alone = lambda scan: not scan.fenced or len(scan.rules) > INDEXED_FROM
+    flat = [(s, scan, r) for s, scan in enumerate(scans) if not alone(scan) for r in scan.rules]
+    if not flat:
+        out = None
+        for scan in scans:
+            out = run_scan(files, scan) if out is None else out.unionByName(run_scan(files, scan))
+        return out
     maybe = F.array(*[F.expr(scan.where) & gate(r) & may_match(F.col("content"), F.col("_low"), r) for _, scan, r in flat])
     asked = settled(files).select("repo", "path", "content", F.posexplode(maybe).alias("ord", "maybe")).where("maybe").drop("maybe")
     facts = [(i, s, scan.scanner, scan.keep, r.pattern, r.unless, scan.long == "skip", not scan.comments) for i, (s, scan, r) in enumerate(flat)]
@@ -320,7 +381,7 @@ def audit_findings(files: DataFrame, scans) -> DataFrame:
     ]
     out = every.select(*cols).unionByName(first.select(*cols))
     for scan in scans:
-        if not scan.fenced:
+        if alone(scan):
             out = out.unionByName(run_scan(files, scan))
     return out
 
