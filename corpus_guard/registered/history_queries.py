@@ -85,14 +85,18 @@ def latest(spark, d):
 _EVID = "SELECT CASE WHEN event_id % 3 = 0 THEN 'anchor' ELSE 'feed' END AS kind, CAST(user_id AS VARCHAR) AS key, ts, 86400.0 * (1 + event_id % 5) AS ttl, event_type AS state, event_id FROM events"
 
 
-@register(
-    "k05_evidence_status",
-    f"""WITH e AS ({_EVID}), n AS (SELECT max(ts) AS t FROM e), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY ts DESC, state DESC) = 1)
-SELECT kind, key, state, CASE WHEN floor(epoch(t)) - floor(epoch(ts)) <= ttl THEN 'FRESH' WHEN kind = 'anchor' THEN 'RECHECK_REQUIRED' ELSE 'STALE' END AS status FROM l, n""",
-)
-def evidence(spark, d):
+EVIDENCE_SQL = f"""WITH e AS ({_EVID}), n AS (SELECT max(ts) AS t FROM e), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY ts DESC, state DESC) = 1)
+SELECT kind, key, state, CASE WHEN floor(epoch(t)) - floor(epoch(ts)) <= ttl THEN 'FRESH' WHEN kind = 'anchor' THEN 'RECHECK_REQUIRED' ELSE 'STALE' END AS status FROM l, n"""
+
+
+def evidence_events(events):
     k = F.col("event_id")
-    e = table(spark, d, "events").select(F.when(k % 3 == 0, "anchor").otherwise("feed").alias("kind"), F.col("user_id").cast("string").alias("key"), "ts", (86400.0 * (k % 5 + 1)).alias("ttl"), F.col("event_type").alias("state"))
+    return events.select(F.when(k % 3 == 0, "anchor").otherwise("feed").alias("kind"), F.col("user_id").cast("string").alias("key"), "ts", (86400.0 * (k % 5 + 1)).alias("ttl"), F.col("event_type").alias("state"))
+
+
+@register("k05_evidence_status", EVIDENCE_SQL)
+def evidence(spark, d):
+    e = evidence_events(table(spark, d, "events"))
     return H.evidence_status(e, e.agg(F.max("ts")).first()[0])
 
 

@@ -10,63 +10,67 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpus_guard.operators.deps import INSTALL_KINDS, command_packages, detect_installs
 from corpus_guard.operators.rules import audit_findings
+from corpus_guard.plans.staging import stage
+from corpus_guard.streaming.stateful import evidence_stream, watch_changes
+
+
+#: Names of a threat feed up to which it is held as one array.
+FEED_NAMES = 20_000
 
 
 def command_gate(commands: DataFrame, names: DataFrame) -> DataFrame:
     """K1: per command approve or block: a pipe to a shell blocks, and so does a package with a malicious name. Stateless; works on streams and tables.
 
-    ``names`` (name) is a threat-feed table that is aggregated into one array, so
-    the gate stays one narrow projection over the stream.
+    ``names`` (name) is a threat-feed table. Up to ``FEED_NAMES`` of them, counted, are one array, so that the gate stays one
+    narrow projection. Beyond that the words of a table of commands are joined with it by equality, a
+    command known by a number of its own; a stream calls the gate on its micro-batches then.
     """
-    bad = names.agg(F.collect_set(F.lower("name")).alias("bad"))
+    bad = names.select(F.lower("name").alias("_word")).where("_word <> ''").distinct()
     gated = detect_installs(commands)
     words = F.filter(F.split(F.lower("command"), r"[\s;&|]+"), lambda w: w != "")
     plain = F.transform(words, lambda w: F.regexp_extract(w, r"^(@?[a-z0-9._/-]+)", 1))
-    gated = gated.crossJoin(F.broadcast(bad)).withColumn("hits", F.when(F.col("kind").isNotNull(), F.array_intersect(plain, F.col("bad"))).otherwise(F.array().cast("array<string>")))
-    reason = F.when(F.col("kind").isin("pipe-to-shell", "process-substitution"), "pipe-to-shell").when(F.size("hits") > 0, "malicious-package").otherwise("")
+    if bad.limit(FEED_NAMES + 1).count() <= FEED_NAMES:
+        listed = F.broadcast(bad.agg(F.collect_set("_word").alias("_bad")))
+        gated = gated.crossJoin(listed).withColumn("_hit", F.col("kind").isNotNull() & F.arrays_overlap(plain, F.col("_bad")))
+    elif commands.isStreaming:
+        raise ValueError(f"more than {FEED_NAMES} names: call the gate on micro-batches (foreachBatch)")
+    else:
+        gated = stage(gated.withColumn("_row", F.monotonically_increasing_id()), "gated")
+        asked = gated.where("kind is not null").select("_row", F.explode(F.array_distinct(plain)).alias("_word"))
+        hits = asked.join(bad, "_word", "left_semi").select("_row", F.lit(True).alias("_hit")).distinct()
+        gated = gated.join(hits, "_row", "left")
+    piped = F.col("kind").isin("pipe-to-shell", "process-substitution")
+    reason = F.when(piped, "pipe-to-shell").when(F.coalesce("_hit", F.lit(False)), "malicious-package").otherwise("")
     return gated.select(*commands.columns, F.when(reason != "", "block").otherwise("approve").alias("decision"), reason.alias("reason"))
 
 
+#: Named repos up to which their files are read by a pushed-down filter; more are semi-joined.
+NAMED_REPOS = 1000
+
+
+def files_of(files: DataFrame, repos: DataFrame) -> DataFrame:
+    """The files of the repos(repo): few names prune the scan, many are joined."""
+    names = [r.repo for r in repos.where("repo is not null").distinct().limit(NAMED_REPOS + 1).collect()]
+    return files.where(F.col("repo").isin(names)) if len(names) <= NAMED_REPOS else files.join(repos, "repo", "left_semi")
+
+
 def install_audit(commands: DataFrame, files: DataFrame, scans, sink) -> "object":
     """K2: for each micro-batch of commands with an install kind, scan the files of the named repo and hand the findings to ``sink(df, batch_id)``."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         repos = detect_installs(df).where("kind is not null").select("repo").distinct()
-        sink(audit_findings(files.join(repos, "repo", "left_semi"), scans), batch_id)
+        sink(audit_findings(files_of(files, repos), scans), batch_id)
 
     return commands.writeStream.foreachBatch(batch)
 
 
-_STATE = T.StructType([T.StructField("paths", T.MapType(T.StringType(), T.StringType())), T.StructField("stamps", T.MapType(T.StringType(), T.LongType()))])
-_CHANGE = "item string, path string, change string"
+def batch_sink(path: str):
+    """A sink that writes each micro-batch to a folder of its own, named by its id: a batch that is run again replaces what it wrote before."""
 
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
-def _watch(key, batches, state: GroupState):
-    """State of an item: path to hash and time stamp. A row whose time stamp is known and not in the future is not compared."""
-    (item,) = key
-    paths, stamps = (dict(x) for x in state.get) if state.exists else ({}, {})
-    out = []
-    for rows in batches:
-        for path, sha, stamp, now in rows.sort_values(["seq"])[["path", "sha256", "mtime_ns", "now_ns"]].itertuples(index=False):
-            if stamps.get(path) == stamp and stamp <= now:
-                continue
-            if sha is None:
-                if paths.pop(path, None) is not None:
-                    out.append((item, path, "removed"))
-                stamps.pop(path, None)
-                continue
-            if path not in paths:
-                out.append((item, path, "new"))
-            elif paths[path] != sha:
-                out.append((item, path, "changed"))
-            paths[path], stamps[path] = sha, stamp
-    state.update((paths, stamps))
-    yield pd.DataFrame(out, columns=["item", "path", "change"])
-
-
-def watch_changes(stream: DataFrame) -> DataFrame:
-    """K3: changes of watched files(item, path, sha256 or null when gone, mtime_ns, now_ns, seq), by state per item."""
-    return stream.groupBy("item").applyInPandasWithState(_watch, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return write
 
 
 def scan_changed(changed: DataFrame, deps: DataFrame, names: DataFrame) -> DataFrame:
@@ -95,4 +99,4 @@ def version_floor_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("pack").applyInPandasWithState(_floor, "pack string, seq long, version long, accepted boolean", _FLOOR, "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["INSTALL_KINDS", "command_gate", "command_packages", "install_audit", "scan_changed", "version_floor_stream", "watch_changes"]
+__all__ = ["INSTALL_KINDS", "batch_sink", "command_gate", "command_packages", "evidence_stream", "install_audit", "scan_changed", "version_floor_stream", "watch_changes"]
