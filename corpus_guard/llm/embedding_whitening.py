@@ -145,7 +145,7 @@ def _summed(vectors: DataFrame, fits: dict[int, Fit], work, scale: float, offset
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), d, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["d", "at", "value"])
 
     summed = vectors.mapInArrow(block, "d int, at int, value double").groupBy("d", "at").agg(F.sum("value").alias("value"))
-    found = summed.orderBy("d", "at").toPandas()
+    found = summed.toPandas().sort_values(["d", "at"])
     return {int(d): g.value.to_numpy() for d, g in found.groupby("d")}
 
 
