@@ -1,4 +1,4 @@
-"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
+"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
 
 from __future__ import annotations
 
@@ -16,38 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# ---- taint in one file ------------------------------------------------------------------------------------------------------
-
-_ASSIGN = re.compile(r"^\s*(?:const|let|var)?\s*([A-Za-z_]\w*)\s*(?::[^=]+)?=\s*(.+?);?\s*$")
-_SOURCE = re.compile(r"(os\.environ|os\.getenv|process\.env|open\(|input\()")
-_SINK = re.compile(r"(requests\.(get|post)|fetch\s*\(|subprocess\.|eval\s*\(|exec\s*\(|os\.system)")
-
-
-def _flows(rows: pd.DataFrame) -> pd.DataFrame:
-    tainted: dict[str, int] = {}
-    out = []
-    for line, text in rows.sort_values("line")[["line", "text"]].itertuples(index=False):
-        if _SINK.search(text):
-            for var, source in tainted.items():
-                if re.search(rf"\b{re.escape(var)}\b", text):
-                    out.append((rows["repo"].iloc[0], rows["path"].iloc[0], source, line, var))
-        if m := _ASSIGN.match(text):
-            var, value = m[1], m[2]
-            if _SOURCE.search(value):
-                tainted[var] = line
-            elif known := next((v for v in tainted if re.search(rf"\b{re.escape(v)}\b", value)), None):
-                tainted[var] = tainted[known]
-            else:
-                tainted.pop(var, None)
-    return pd.DataFrame(out, columns=["repo", "path", "source_line", "sink_line", "variable"])
-
-
-def taint_flows(lines: DataFrame) -> DataFrame:
-    """Source lines whose value reaches a sink line of the same file through assignments, in line order. Only assigning and sink lines are grouped."""
-    kept = lines.where(F.col("ext").isin("py", "js", "ts") & F.col("text").rlike(r"(^\s*(const |let |var )?[A-Za-z_]\w*\s*(:[^=]+)?=[^=])|requests\.|fetch\s*\(|subprocess\.|eval\s*\(|exec\s*\(|os\.system"))
-    return kept.select("repo", "path", "line", "text").groupBy("repo", "path").applyInPandas(_flows, "repo string, path string, source_line int, sink_line int, variable string")
-
-
 # ---- decoding ---------------------------------------------------------------------------------------------------------------
 
 

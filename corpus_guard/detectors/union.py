@@ -19,6 +19,7 @@ from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL, JS, LINES
 from corpus_guard.detectors.split_payloads import scan_split_payloads
+from corpus_guard.detectors.taint import taint_flows
 from corpus_guard.functions.scalars import default_confidence, looks_like_llm_bait
 from corpus_guard.operators import deps as D
 from corpus_guard.operators.lines import FENCE, snippet, to_lines
@@ -144,7 +145,7 @@ def _locked(x: Inputs) -> DataFrame:
 
 
 def _taint(x: Inputs) -> DataFrame:
-    found = P.taint_flows(to_lines(x.files))
+    found = taint_flows(x.files)
     return found.select("repo", "path", F.col("sink_line").alias("line"), F.lit("taint-flow").alias("category"), F.lit("high").alias("severity"), F.col("variable").alias("detail"))
 
 

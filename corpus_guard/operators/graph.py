@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_guard.plans.staging import stage
+
 REFERENCE = r"([A-Za-z0-9_-]+-\d+\.(?:md|txt|py|js|json|sh|yml|toml))"
 IMPORT = r"(?:^|\s)(?:from\s+([A-Za-z_][\w.]*)\s+import|import\s+([A-Za-z_][\w.]*)|require\(['\"]([^'\"]+)['\"]\))"
 
@@ -17,15 +19,37 @@ def reference_edges(files: DataFrame) -> DataFrame:
 
 
 def reference_chains(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
-    """Simple paths from seed files (repo, src), 2 to ``depth`` hops; a bounded loop of joins."""
-    paths = edges.join(seeds, ["repo", "src"], "left_semi").select("repo", F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
-    out = None
-    step = edges.withColumnRenamed("src", "end").withColumnRenamed("dst", "next")
-    for _ in range(2, depth + 1):
-        paths = paths.join(step, ["repo", "end"]).where(~F.array_contains("path", F.col("next"))).select("repo", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
-        out = paths if out is None else out.union(paths)
-    hops = F.size("path") - 1
-    return out.select("repo", F.array_join("path", ">").alias("chain"), hops.alias("hops"), F.when(hops >= 3, "high").otherwise("medium").alias("severity"))
+    """Chains of 2 to ``depth`` hops from seed files (repo, src): an edge is followed once for each seed.
+
+    A loop over frontiers: edges that leave it and that its seed has not followed yet (an anti-join), of several chains
+    to an edge the least; an edge back into its own chain stays open for others. So rows are bounded by seeds times
+    edges, however many paths there are. Each frontier is staged.
+    """
+    step = stage(edges.select("repo", F.col("src").alias("end"), F.col("dst").alias("next")), "reference-edges")
+    starts = seeds.select("repo", F.col("src").alias("seed")).distinct()
+    front = starts.select("repo", "seed", F.array("seed").alias("path"), F.col("seed").alias("end"))
+    found = None
+    for hop in range(1, depth + 1):
+        near = front.join(step, ["repo", "end"]).where(~F.array_contains("path", F.col("next")))
+        if found is not None:
+            near = near.join(found.select("repo", "seed", "end", "next"), ["repo", "seed", "end", "next"], "left_anti")
+        taken = near.groupBy("repo", "seed", "end", "next").agg(F.min("path").alias("path")).withColumn("path", F.array_append("path", F.col("next")))
+        taken = stage(taken.withColumn("hops", F.lit(hop)), "reference-front")
+        found = taken if found is None else found.unionByName(taken)
+        front = taken.select("repo", "seed", "path", F.col("next").alias("end"))
+    severity = F.when(F.col("hops") >= 3, "high").otherwise("medium").alias("severity")
+    return found.where("hops >= 2").select("repo", F.array_join("path", ">").alias("chain"), "hops", severity)
+
+
+def chains_sql(seed: str, depth: int = 5) -> str:
+    """The same for DuckDB over edges(repo, src, dst): one common table expression a hop; ``seed`` is a condition on src."""
+    out = [f"f0 AS (SELECT DISTINCT repo, src AS seed, [src] AS path, src AS last FROM edges WHERE {seed})"]
+    for h in range(1, depth + 1):
+        known = " UNION ALL ".join(f"SELECT repo, seed, src, dst FROM f{i}" for i in range(1, h))
+        free = f"AND (f.repo, f.seed, e.src, e.dst) NOT IN ({known})" if known else ""
+        out.append(f"f{h} AS (SELECT f.repo, f.seed, e.src, e.dst, list_append(min(f.path), e.dst) AS path, e.dst AS last, {h} AS hops FROM f{h - 1} f JOIN edges e ON e.repo = f.repo AND e.src = f.last WHERE NOT list_contains(f.path, e.dst) {free} GROUP BY f.repo, f.seed, e.src, e.dst)")
+    every = " UNION ALL ".join(f"SELECT repo, array_to_string(path, '>') AS chain, hops, CASE WHEN hops >= 3 THEN 'high' ELSE 'medium' END AS severity FROM f{h}" for h in range(2, depth + 1))
+    return ", " + ", ".join(out) + " " + every
 
 
 def import_edges(files: DataFrame) -> DataFrame:

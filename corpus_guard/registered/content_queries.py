@@ -343,11 +343,13 @@ def reference_edges(spark, d):
     return G.reference_edges(_linked(spark, d))
 
 
-@register("j01_reference_chains", oracle(_RING + """, chains AS (SELECT repo, [src, dst] AS path, dst AS e FROM edges WHERE regexp_matches(src, '^doc-\\d*0\\.md$') UNION ALL SELECT c.repo, list_append(path, dst), dst FROM chains c JOIN edges ON edges.repo = c.repo AND src = e WHERE NOT list_contains(path, dst) AND len(path) < 6)
-SELECT repo, array_to_string(path, '>') AS chain, len(path) - 1 AS hops, CASE WHEN len(path) >= 4 THEN 'high' ELSE 'medium' END AS severity FROM chains WHERE len(path) > 2""", "files_v", recursive=True))
+_SEED = r"^doc-\d*0\.md$"
+
+
+@register("j01_reference_chains", oracle(_RING + G.chains_sql(f"regexp_matches(src, '{_SEED}')"), "files_v"))
 def reference_chains(spark, d):
     e = G.reference_edges(_linked(spark, d))
-    return G.reference_chains(e, e.where(F.col("src").rlike(r"^doc-\d*0\.md$")).select("repo", "src").distinct())
+    return G.reference_chains(e, e.where(F.col("src").rlike(_SEED)).select("repo", "src").distinct())
 
 
 _IMPQ = q(G.IMPORT)
@@ -359,11 +361,18 @@ def import_edges(spark, d):
     return G.import_edges(_files(spark, d))
 
 
-@register("d12_cross_file_taint")
+_CROSS = """, f AS (SELECT * FROM files_v WHERE ext IN ('py', 'js')), g AS (SELECT repo, path, base, ext, content FROM f
+UNION ALL SELECT repo, dir || '/helper.' || ext, 'helper.' || ext, ext, arg_min(content, file_id) FROM f WHERE file_id % 64 IN (10, 33) GROUP BY repo, dir, ext)""" + _IMPORTS.replace("FROM files_v", "FROM g") + f""",
+t AS (SELECT repo, regexp_replace(base, '\\.[^.]*$', '') AS module, path AS source_path FROM g WHERE regexp_matches(content, '{G.SOURCE}')), s AS (SELECT repo, path FROM g WHERE regexp_matches(content, '{G.SINK}'))
+SELECT DISTINCT im.repo, im.path, im.module, t.source_path FROM im JOIN s ON s.repo = im.repo AND s.path = im.path JOIN t ON t.repo = im.repo AND t.module = im.module WHERE im.path <> t.source_path"""
+
+
+@register("d12_cross_file_taint", oracle(_CROSS, "files_v"))
 def cross_taint(spark, d):
     f = _files(spark, d).where("ext in ('py', 'js')")
-    alias = f.where("file_id % 64 = 10 or file_id % 64 = 33").select("repo", F.concat("dir", F.lit("/helper."), "ext").alias("path"), "dir", F.concat(F.lit("helper."), "ext").alias("base"), "ext", "content", "file_id")
-    return G.cross_file_taint(f.unionByName(alias.dropDuplicates(["repo", "path"]).select(*f.columns)))
+    helper = f.where("file_id % 64 in (10, 33)").groupBy("repo", "dir", "ext").agg(F.min_by("content", "file_id").alias("content"), F.min("file_id").alias("file_id"))
+    alias = helper.withColumns({"path": F.concat("dir", F.lit("/helper."), "ext"), "base": F.concat(F.lit("helper."), "ext")})
+    return G.cross_file_taint(f.unionByName(alias.select(*f.columns)))
 
 
 # ---- inventories ------------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL
 from corpus_guard.detectors.split_payloads import FRAGMENT_SQL, REASSEMBLE_SQL, reassemble, scan_split_payloads
-from corpus_guard.operators.lines import to_lines
+from corpus_guard.detectors.taint import TAINT_SQL, taint_flows
 from corpus_guard.plans.views import oracle, table, view
 from corpus_guard.registry import register
 from corpus_guard.streaming.gates import command_gate, scan_changed
@@ -35,9 +35,9 @@ def py_entry(spark, d):
     return S.of_scan(S.parse_python(code_v(spark, d)), "entry")
 
 
-@register("c52_taint_flows")
+@register("c52_taint_flows", oracle(TAINT_SQL, "code_v", recursive=True))
 def taint(spark, d):
-    return P.taint_flows(to_lines(code_v(spark, d)))
+    return taint_flows(code_v(spark, d))
 
 
 @register("c20_decode_rescan")
