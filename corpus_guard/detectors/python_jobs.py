@@ -1,14 +1,11 @@
-"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
+"""Detectors that need a parser, a decoder or the order of lines, as Spark jobs over rows."""
 
 from __future__ import annotations
 
 import ast
 import base64
 import binascii
-import io
 import re
-import tarfile
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,56 +99,7 @@ def fragments(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", "content").mapInPandas(work, "repo string, path string, frag string, ord int")
 
 
-# ---- archives and binaries ------------------------------------------------------------------------------------------------------
-
-CAPS = {"depth": 2, "entries": 1000, "ratio": 100, "bytes": 100 * 1024 * 1024}
-
-
-def _members(data: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
-    if data[:4] == b"PK\x03\x04":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist()[: CAPS["entries"]]:
-                if not info.is_dir() and info.file_size <= CAPS["bytes"] and info.file_size <= CAPS["ratio"] * max(info.compress_size, 1):
-                    yield from _nested(info.filename, z.read(info), depth)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for n, m in enumerate(t):
-                if n >= CAPS["entries"]:
-                    break
-                if m.isfile() and m.size <= CAPS["bytes"] and (f := t.extractfile(m)):
-                    yield from _nested(m.name, f.read(), depth)
-
-
-def _is_archive(data: bytes) -> bool:
-    return data[:4] == b"PK\x03\x04" or data[:2] == b"\x1f\x8b" or data[257:262] == b"ustar"
-
-
-def _nested(name: str, data: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
-    yield name, data
-    if depth < CAPS["depth"] and _is_archive(data):
-        for inner, content in _members(data, depth + 1):
-            yield f"{name}!{inner}", content
-
-
-def expand_archives(files: DataFrame) -> DataFrame:
-    """Members of zip and tar files(path, bytes) as rows with archive!member paths; a damaged archive gives a row with error set."""
-
-    def work(batches: Iterator[pd.DataFrame]):
-        for rows in batches:
-            out = []
-            for path, data in zip(rows["path"], rows["bytes"]):
-                data = bytes(data or b"")
-                if not _is_archive(data):
-                    continue
-                try:
-                    for name, content in _members(data, 1):
-                        out.append((f"{path}!{name}", content.decode("utf-8", "replace"), len(content), None))
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, RuntimeError, NotImplementedError) as e:
-                    out.append((path, None, len(data), type(e).__name__))
-            yield pd.DataFrame(out, columns=["path", "content", "size", "error"])
-
-    return files.select("path", "bytes").mapInPandas(work, "path string, content string, size long, error string")
-
+# ---- binaries ------------------------------------------------------------------------------------------------------
 
 #: Magic bytes and the kind they mean.
 MAGIC = (("7f454c46", "elf"), ("4d5a", "pe"), ("cafebabe", "java"), ("feedface", "macho"), ("504b0304", "zip"), ("1f8b", "gzip"), ("25504446", "pdf"))

@@ -13,6 +13,7 @@ from corpus_guard.detectors.split_payloads import FRAGMENT_SQL, REASSEMBLE_SQL,
 from corpus_guard.detectors.taint import TAINT_SQL, taint_flows
 from corpus_guard.plans.views import oracle, table, view
 from corpus_guard.registry import register
+from corpus_guard.sources.archives import expand_archives, pack_archives
 from corpus_guard.streaming.gates import command_gate, scan_changed
 
 
@@ -133,6 +134,16 @@ def archives(spark, d):
     return P.archive_kind(f.withColumn("bytes", head))
 
 
+@register(
+    "a21_archive_members",
+    oracle("""SELECT path || '.zip!' || m AS path, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS size FROM files_v, (VALUES ('content'), ('inner!content')) t(m)""", "files_v"),
+)
+def archive_members(spark, d):
+    """Every file packed into an archive with a nested one, and the members read back."""
+    members = expand_archives(pack_archives(view(spark, d, "files_v"))).where("path not like '%!inner'")
+    return members.select("path", F.sha2("content", 256).alias("sha256"), "size")
+
+
 def _config(fn):
     return lambda spark, d: fn(code_v(spark, d))
 

@@ -7,7 +7,7 @@ import zipfile
 
 import pytest
 
-from corpus_guard.detectors.python_jobs import expand_archives
+from corpus_guard.sources.archives import expand_archives, pack_archives
 from corpus_guard.operators.inventory import read_corpus
 from corpus_guard.operators.rules import load_rules
 from corpus_guard.sources import manifests as M
@@ -82,3 +82,47 @@ def test_nested_lock_and_overrides(spark):
     df = spark.createDataFrame([("r", "package.json", json.dumps(over))], "repo string, path string, content string")
     assert sorted((r.name, r.version) for r in M.flatten_overrides(df).collect()) == [("q", "4"), ("x", "9"), ("y", "2"), ("z", "3")]
     assert sorted((r.name, r.version, r.kind) for r in M.npm_manifest(df).collect()) == [("x", "1", "dependencies"), ("y", "2", "override")]
+
+
+def test_archives_over_limits(spark):
+    import io
+    import tarfile
+    import zipfile
+
+    def zipped(members, how=zipfile.ZIP_STORED):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", how) as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+        return data.getvalue()
+
+    def tarred(members, mode):
+        data = io.BytesIO()
+        with tarfile.open(fileobj=data, mode=mode) as t:
+            for k, v in members.items():
+                info = tarfile.TarInfo(k)
+                info.size = len(v)
+                t.addfile(info, io.BytesIO(v))
+        return data.getvalue()
+
+    many = {f"m{i:05d}": b"x%d" % i for i in range(10_000)}
+    deep = zipped({"a": zipped({"b": zipped({"c": b"no"})})})
+    rows = [
+        ("many.zip", zipped(many)), ("many.tgz", tarred(many, "w:gz")), ("bomb.zip", zipped({"z": b"0" * 3_000_000, "ok": b"fine"}, zipfile.ZIP_DEFLATED)), ("big.tar", tarred({"big": b"1" * (11 << 17), "after": b"yes"}, "w")),
+        ("deep.zip", deep), ("total.tar", tarred({f"p{i}": b"2" * (9 << 17) for i in range(13)}, "w")), ("cut.zip", zipped(many)[:5000]), ("none", None), ("text", b"hello"),
+    ]
+    got = expand_archives(spark.createDataFrame([(p, None if d is None else bytearray(d)) for p, d in rows], "path string, bytes binary"), {"member": 10 << 17, "bytes": 100 << 17}).collect()
+    of = lambda name: [r for r in got if r.path.split("!")[0] == name]
+    assert len([r for r in of("many.zip") if r.error is None]) == 1000 and [r.error for r in of("many.zip") if r.error] == ["archive-limit: 9000 members over 1000 left out"]
+    assert len([r for r in of("many.tgz") if r.error is None]) == 1000 and [r.error for r in of("many.tgz") if r.error] == ["archive-limit: all further members over 1000 left out"]
+    assert {r.path: (r.error or r.content) for r in of("bomb.zip")} == {"bomb.zip!z": "archive-limit: unpacks over 100 times", "bomb.zip!ok": "fine"}
+    assert {r.path: (r.error or r.content) for r in of("big.tar")} == {"big.tar!big": "archive-limit: member over 1310720 bytes", "big.tar!after": "yes"}
+    assert {(r.path, (r.error or "")[:21]) for r in of("deep.zip")} == {("deep.zip!a", ""), ("deep.zip!a!b", ""), ("deep.zip!a!b", "archive-limit: nested")}
+    assert [r.error for r in of("total.tar") if r.error] == ["archive-limit: archive over 13107200 bytes"] and len(of("total.tar")) == 12
+    assert [r.error for r in of("cut.zip")] == ["BadZipFile"] and not of("none") and not of("text")
+
+
+def test_packed_archives_come_back_whole(spark):
+    files = spark.createDataFrame([("a", "x\u00e9"), ("b", None), ("c", "")], "path string, content string")
+    got = sorted((r.path, r.content) for r in expand_archives(pack_archives(files)).where("path not like '%!inner'").collect())
+    assert got == sorted((f"{p}.zip!{m}", t) for p, t in (("a", "x\u00e9"), ("b", ""), ("c", "")) for m in ("content", "inner!content"))
