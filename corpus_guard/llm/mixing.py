@@ -5,26 +5,22 @@ blocks of ``block_chars`` characters; a document belongs to the block in which i
 starts. With integer weights q that sum to D, block j (from 0) of a source may take
 a slot from its release floor(j*D/q) on and must by its deadline ceil((j+1)*D/q).
 Earliest deadline first among released blocks meets all deadlines, so after any
-number of slots each source is less than one block from its target. The schedule
-repeats after D slots; only these D slots are computed, as one aggregate over a
-sequence, a table bounded by the sum of the weights, not by the data.
+number of slots each source is less than one block from its target.
 
-The mixture runs until a source first lacks a block for its slot; documents in
-slots before that are selected, each once. This is what the SQL of op4 defines.
-
-With ``leave`` (the pipeline) a source whose blocks are used up leaves instead and
-the others go on at their weights, so no document of a weighted source is left
-out. Block j of a source stands at the time (2j + 1) / 2q and its slot is its rank
-by time and source, counted in integers per block without a schedule. While all
-sources have blocks, each is within (1 + S*q/D) / 2 blocks of its target, for S sources.
+A source whose blocks are used up leaves, and a new phase begins: the others are released anew and go on
+at their weights, so no document of a weighted source is left out, and within each phase the deviation
+stays under one block. The schedule of a phase repeats after the sum of its weights, so only that many
+slots of each phase are computed, as one aggregate: a table of at most S phases of D slots for S sources, bounded by
+the weights and sources, not by the data. Without ``leave`` only the first phase is selected.
 
 Positions inside a source are two-level prefix sums over 4096 ranges of the MD5,
-so a source with a third of all rows is split over as many window partitions.
+so a source with a third of all rows is split over as many window partitions. The phases
+join by source with a broadcast when their rows, counted, are few.
 
 Defined results: null text is empty; a null source counts as the source '';
 without ``weights`` each source weighs as the square root of its characters, in
-thousandths, at least one; sources without a weight are never selected (slot
-null); rows that share id and length are interchangeable; an empty table gives an
+thousandths, at least one; a weighted source has at least one block, to which its empty texts belong; sources without a weight
+are never selected (slot null); rows that share id and length are interchangeable; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -38,27 +34,35 @@ from .staging import fresh, small, stage
 BLOCK_CHARS = 16_384
 RESOLUTION = 1000
 
-_NEXT = """array_min(transform(q, (x, i) -> if(acc.c[i] * d div x <= t,
-    ((acc.c[i] + 1) * d + x - 1) div x * size(q) + i, cast(null as bigint)))) % size(q)"""
+#: One phase, as a function of acc (left: blocks still to come, done: blocks placed, t0: slots placed) over the arrays q and left.
+_PICK = """array_min(transform(w, (x, i) -> if(x > 0, if(s.c[i] * d div x <= t, ((s.c[i] + 1) * d + x - 1) div x * size(w) + i, cast(null as bigint)), cast(null as bigint)))) % size(w)"""
+_PHASE = f"""transform(array(transform(q, (x, i) -> if(acc.left[i] > 0, x, 0L))), w ->
+  transform(array(aggregate(w, 0L, (a, x) -> a + x)), d ->
+  transform(array(aggregate(sequence(0L, d - 1), named_struct('c', transform(w, x -> 0L), 'p', cast(array() as array<bigint>)),
+    (s, t) -> transform(array({_PICK}), pick -> named_struct('c', transform(s.c, (x, i) -> if(i = pick, x + 1, x)), 'p', array_append(s.p, pick)))[0]).p), p ->
+  transform(array(transform(w, (x, i) -> filter(sequence(0L, d - 1), t -> p[cast(t as int)] = i))), at ->
+  transform(array(1 + array_min(transform(w, (x, i) -> if(x > 0, (acc.left[i] - 1) div x * d + at[i][cast((acc.left[i] - 1) % x as int)], cast(null as bigint))))), span ->
+  transform(array(transform(w, (x, i) -> if(x > 0, span div d * x + size(filter(at[i], k -> k < span % d)), 0L))), used ->
+  named_struct('left', transform(acc.left, (x, i) -> x - used[i]), 'done', transform(acc.done, (x, i) -> x + used[i]), 't0', acc.t0 + span,
+    'out', array_append(acc.out, named_struct('t0', acc.t0, 'd', d, 'first', acc.done, 'used', used, 'w', w, 'at', at))))[0])[0])[0])[0])[0])[0]"""
+_OUT = "array<struct<t0: bigint, d: bigint, first: array<bigint>, used: array<bigint>, w: array<bigint>, at: array<array<bigint>>>>"
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """(source, q) to one period of the schedule: source, q, d, turn (the source's k-th block of the period), at (its slot)."""
-    one = shares.where("q > 0").agg(F.sort_array(F.collect_list(F.struct("source", "q"))).alias("s")).where("size(s) > 0")
-    one = one.selectExpr("transform(s, x -> x.source) as names", "transform(s, x -> cast(x.q as bigint)) as q", "aggregate(s, 0L, (a, x) -> a + x.q) as d")
-    steps = f"""aggregate(sequence(0L, d - 1),
-        named_struct('c', transform(q, x -> 0L), 'p', cast(array() as array<bigint>)),
-        (acc, t) -> transform(array({_NEXT}), pick -> named_struct('c', transform(acc.c, (x, i) -> if(i = pick, x + 1, x)), 'p', array_append(acc.p, pick)))[0])"""
-    picks = one.selectExpr("names", "q", "d", f"{steps}.p as p").selectExpr("names", "q", "d", "posexplode(p) as (at, i)")
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1
-    return picks.selectExpr("names[i] as source", "q[i] as q", "d", "cast(at as bigint) as at").withColumn("turn", turn.cast("long"))
+    """(source, q, b blocks) to the phases of the schedule: source, phase, t0 (its first slot), d (its period), q, first (block), used (blocks), at (slots of the source in a period)."""
+    one = shares.where("q > 0 and b > 0").agg(F.sort_array(F.collect_list(F.struct("source", "q", "b"))).alias("s")).where("size(s) > 0")
+    one = one.selectExpr("transform(s, x -> x.source) as names", "transform(s, x -> cast(x.q as bigint)) as q", "transform(s, x -> cast(x.b as bigint)) as b")
+    start = f"named_struct('left', b, 'done', transform(b, x -> 0L), 't0', 0L, 'out', cast(array() as {_OUT}))"
+    phases = one.selectExpr("names", f"aggregate(sequence(1, size(q)), {start}, (acc, k) -> if(array_max(acc.left) > 0, {_PHASE}, acc)).out as out")
+    each = phases.selectExpr("names", "posexplode(out) as (phase, o)").selectExpr("phase", "o", "posexplode(names) as (i, source)")
+    return each.selectExpr("source", "phase", "o.t0 as t0", "o.d as d", "o.w[i] as q", "o.first[i] as first", "o.used[i] as used", "o.at[i] as at").where("used > 0")
 
 
 def mixture(
     docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, leave: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, n_chars, block_no (from 0), slot (of the endless schedule; with ``leave`` of the one that ends with the last block), selected."""
+    """One row per input row: doc_id, source, n_chars, block_no (from 0), slot (null without a weight), selected."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -81,34 +85,14 @@ def mixture(
     within = Window.partitionBy("source", "part").orderBy("rank", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("n_chars").over(within), F.lit(0))).join(offsets, ["source", "part"])
     placed = placed.withColumn("block_no", F.floor((F.col("offset") + F.col("ahead")) / block_chars).cast("long"))
-    if leave:
-        return _ranked(placed, shares, block_chars).select("doc_id", "source", "n_chars", "block_no", "slot", F.col("slot").isNotNull().alias("selected"))
-    turns = stage(schedule(shares), "schedule")
-    blocks = shares.select("source", F.ceil(F.col("chars") / block_chars).cast("long").alias("block_no"))
-    horizon = _slots(blocks, turns).agg(F.min("slot").alias("horizon"))
-    timed = _slots(placed, turns).crossJoin(F.broadcast(horizon))
-    return timed.select("doc_id", "source", "n_chars", "block_no", "slot", F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False)).alias("selected"))
-
-
-def _slots(blocks: DataFrame, turns: DataFrame) -> DataFrame:
-    """Adds slot to rows with (source, block_no): whole periods before it, and its place in the period."""
-    per_source = small(turns.where("turn = 0").select("source", "q", "d"))
-    table = small(turns.select("source", "turn", "at"))
-    found = blocks.join(per_source, "source", "left").withColumn("turn", F.expr("block_no % q")).withColumn("period", F.expr("block_no div q"))
-    return found.join(table, ["source", "turn"], "left").withColumn("slot", F.col("period") * F.col("d") + F.col("at"))
-
-
-def _ranked(placed: DataFrame, shares: DataFrame, block_chars: int) -> DataFrame:
-    """Adds slot, the rank of the row's block among the blocks of all sources; empty rows behind the last block belong to it."""
-    sized = shares.select("source", F.col("q").cast("long").alias("q"), F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars)).cast("long").alias("b"))
-    every = sized.agg(F.sort_array(F.collect_list(F.struct("source", "q", "b"))).alias("all"))
-    blocks = sized.select("source", "q", F.explode(F.expr("sequence(0L, b - 1)")).alias("in_block")).crossJoin(F.broadcast(every))
-    # blocks m of a source x that come first: (2m + 1) * q < (2j + 1) * x.q, or equal and x.source before
-    first = "((2 * in_block + 1) * x.q - q + if(x.source < source, 2 * q, 2 * q - 1)) div (2 * q)"
-    rank = f"aggregate(all, 0L, (a, x) -> a + least(x.b, if(x.source = source, in_block, greatest(0L, {first}))))"
-    slots = stage(blocks.select("source", "in_block", F.expr(rank).alias("slot")), "block-slots")
-    found = placed.join(F.broadcast(sized.select("source", F.col("b"))), "source", "left").withColumn("in_block", F.least("block_no", F.col("b") - 1))
-    return found.join(small(slots), ["source", "in_block"], "left")
+    sized = shares.select("source", "q", F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars)).cast("long").alias("b"))
+    turns = schedule(sized).select(F.col("source").alias("of"), "phase", "t0", "d", "q", "first", "used", "at")
+    turns = small(stage(turns.join(sized.select(F.col("source").alias("of"), "b"), "of"), "schedule"))
+    block = F.least("block_no", F.col("b") - 1)
+    timed = placed.join(turns, (F.col("source") == F.col("of")) & (block >= F.col("first")) & (block < F.col("first") + F.col("used")), "left")
+    slot = F.expr("t0 + (least(block_no, b - 1) - first) div q * d + at[cast((least(block_no, b - 1) - first) % q as int)]")
+    selected = slot.isNotNull() if leave else F.coalesce(F.col("phase") == 0, F.lit(False))
+    return timed.select("doc_id", "source", "n_chars", "block_no", slot.alias("slot"), selected.alias("selected"))
 
 
 def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
@@ -143,7 +127,7 @@ def select_mixture(docs: DataFrame, weights: dict[str, int] | None = None, id_co
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"), leave=True)
 
 
 ORACLE = f"""
@@ -153,24 +137,19 @@ src AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM r GROUP BY sou
 share AS (
   SELECT source, chars, CAST(greatest(1, floor({RESOLUTION} * sqrt(chars) / (SELECT sum(sqrt(chars)) FROM src))) AS BIGINT) AS q,
          row_number() OVER (ORDER BY source) - 1 AS i FROM src),
-cfg AS (SELECT list(q ORDER BY i) AS qs, CAST(sum(q) AS BIGINT) AS d, count(*) AS s FROM share),
+cfg AS (SELECT list(q ORDER BY i) AS qs, list(CAST(greatest(1, ceil(chars / {BLOCK_CHARS})) AS BIGINT) ORDER BY i) AS bs, count(*) AS s FROM share),
+-- one row a slot: when the block before was its source's last, the others are released anew
 run AS (
-  SELECT CAST(-1 AS BIGINT) AS t, list_transform(qs, lambda x: CAST(0 AS BIGINT)) AS c, CAST(-1 AS BIGINT) AS pick FROM cfg
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(-1 AS BIGINT) AS t, list_transform(qs, lambda x: CAST(0 AS BIGINT)) AS c, bs AS blocks_left, CAST(-1 AS BIGINT) AS pick FROM cfg
   UNION ALL
-  SELECT t + 1, list_transform(c, lambda x, j: CASE WHEN j - 1 = nxt THEN x + 1 ELSE x END), nxt
-  FROM (SELECT t, c, list_min(list_filter([CASE WHEN c[k] * d // qs[k] <= t + 1 THEN ((c[k] + 1) * d + qs[k] - 1) // qs[k] * s + k - 1 END FOR k IN range(1, s + 1)], lambda x: x IS NOT NULL)) % s AS nxt, d
-        FROM run, cfg WHERE t + 1 < d)),
-turns AS (
-  SELECT share.source, share.q, cfg.d, run.t AS place, row_number() OVER (PARTITION BY share.source ORDER BY run.t) - 1 AS turn
-  FROM run JOIN share ON share.i = run.pick, cfg),
+  SELECT slot + 1, t, list_transform(c, lambda x, j: CASE WHEN j - 1 = nxt THEN x + 1 ELSE x END), list_transform(blocks_left, lambda x, j: CASE WHEN j - 1 = nxt THEN x - 1 ELSE x END), nxt
+  FROM (SELECT slot, t, c, blocks_left, list_min(list_filter([CASE WHEN blocks_left[k] > 0 AND c[k] * d // qs[k] <= t THEN ((c[k] + 1) * d + qs[k] - 1) // qs[k] * s + k - 1 END FOR k IN range(1, s + 1)], lambda x: x IS NOT NULL)) % s AS nxt
+    FROM (SELECT slot, CASE WHEN anew THEN 0 ELSE t + 1 END AS t, CASE WHEN anew THEN list_transform(c, lambda x: CAST(0 AS BIGINT)) ELSE c END AS c, blocks_left, qs, s,
+            list_sum([CASE WHEN blocks_left[k] > 0 THEN qs[k] ELSE 0 END FOR k IN range(1, s + 1)]) AS d
+          FROM (SELECT *, pick >= 0 AND blocks_left[pick + 1] = 0 AS anew FROM run, cfg WHERE list_max(blocks_left) > 0)))),
+turns AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS turn, count(*) OVER (PARTITION BY source) AS b FROM run JOIN share ON share.i = run.pick),
 placed AS (
   SELECT doc_id, source, n_chars, CAST(floor(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY rank, doc_id, n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK_CHARS}) AS BIGINT) AS block_no
-  FROM r),
-per AS (SELECT DISTINCT source, q, d FROM turns),
-horizon AS (
-  SELECT min((b // q) * d + place) AS h FROM (SELECT source, CAST(ceil(chars / {BLOCK_CHARS}) AS BIGINT) AS b, q FROM share) x
-  JOIN turns USING (source, q) WHERE turns.turn = b % q)
-SELECT doc_id, p.source, n_chars, block_no, (block_no // per.q) * per.d + turns.place AS slot,
-       (block_no // per.q) * per.d + turns.place < (SELECT h FROM horizon) AS selected
-FROM placed p JOIN per ON per.source = p.source JOIN turns ON turns.source = p.source AND turns.turn = p.block_no % per.q
+  FROM r)
+SELECT doc_id, p.source, n_chars, block_no, slot, slot IS NOT NULL AS selected FROM placed p JOIN turns ON turns.source = p.source AND turns.turn = least(p.block_no, turns.b - 1)
 """

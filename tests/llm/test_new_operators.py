@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpus_guard.llm.conversation_repair import audit_conversations, damage, repair_conversations
 from corpus_guard.llm.decontaminate import SLICE, Automaton, Scanner, clean, contamination, words_of
 from corpus_guard.llm.embedding_whitening import squares, whiten
+from corpus_guard.llm.mixing import mixture
 
 # ---- whitening
 
@@ -271,3 +272,40 @@ def test_longest_matching_lengths():
         state, size = a.step(state, size, a.word[w])
         want = max(k for k in range(i + 2) if k == 0 or any((" " + " ".join(x.decode() for x in text[i + 1 - k : i + 1]) + " ") in " " + t for t in whole))
         assert size == want
+
+
+# ---- mixing: earliest deadline first, sources leave
+
+
+def plain_schedule(weights, blocks):
+    """Slot by slot: the source of each."""
+    left, out, count, t = dict(blocks), [], dict.fromkeys(weights, 0), 0
+    while any(left.values()):
+        on = sorted(s for s in weights if left[s])
+        d = sum(weights[s] for s in on)
+        free = [(-(-(count[s] + 1) * d // weights[s]), s) for s in on if count[s] * d // weights[s] <= t]
+        s = min(free)[1]
+        out.append(s)
+        count[s] += 1
+        left[s] -= 1
+        t += 1
+        if not left[s]:
+            count, t = dict.fromkeys(weights, 0), 0
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sources_leave_under_earliest_deadlines(spark, seed):
+    r = random.Random(seed)
+    weights = {f"s{i}": r.choice([1, 2, 3, 7, 20]) for i in range(7)}
+    blocks = {s: r.choice([1, 2, 5, 40, 90]) for s in weights}
+    rows = [(n * 1000 + i, "x" * 10, s) for n, s in enumerate(weights) for i in range(blocks[s] * 2)] + [(99_000, "", "s0"), (99_001, None, "none"), (None, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixture(docs, weights, block_chars=20, leave=True).collect()
+    slots = {x.slot: x.source for x in got if x.selected}
+    want = plain_schedule(weights, blocks)
+    assert [slots[k] for k in range(len(want))] == want and len(slots) == len(want)
+    assert sum(x.selected for x in got) == len(rows) - 2 and all(x.slot is None for x in got if not x.selected)
+    first = [x for x in mixture(docs, weights, block_chars=20).collect() if x.selected]
+    done = min(k + 1 for k in range(len(want)) if want[: k + 1].count(want[k]) == blocks[want[k]])
+    assert {x.slot for x in first} == set(range(done))
