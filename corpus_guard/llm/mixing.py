@@ -90,7 +90,7 @@ def mixture(
     turns = small(stage(turns.join(sized.select(F.col("source").alias("of"), "b"), "of"), "schedule"))
     block = F.least("block_no", F.col("b") - 1)
     timed = placed.join(turns, (F.col("source") == F.col("of")) & (block >= F.col("first")) & (block < F.col("first") + F.col("used")), "left")
-    slot = F.expr("t0 + (least(block_no, b - 1) - first) div q * d + at[cast((least(block_no, b - 1) - first) % q as int)]")
+    slot = F.expr("t0 + (least(block_no, b - 1) - first) div q * d + get(at, cast((least(block_no, b - 1) - first) % q as int))")
     selected = slot.isNotNull() if leave else F.coalesce(F.col("phase") == 0, F.lit(False))
     return timed.select("doc_id", "source", "n_chars", "block_no", slot.alias("slot"), selected.alias("selected"))
 
