@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_guard.detectors.server_rules import SERVER_RULES
 from corpus_guard.operators.rules import Rule, Scan
 
 DOCS = ("md", "txt", "rst", "adoc")
@@ -66,7 +67,8 @@ SERVER = Scan(
     + _rules("MCP-LOG", "log-to-leak", "high", ("Logs the environment", r"(?i)(console\.log|print|logger?\.\w+)\s*\(.*(process\.env|os\.environ)"))
     + _rules("MCP-CFG", "mcp-config-risk", "critical", ("Option that loads code", r"(NODE_OPTIONS|LD_PRELOAD|PYTHONSTARTUP)"))
     + _rules("MCP-RUG", "rug-pull-enabler", "high", ("Dynamic tool description", r"description\s*:\s*(get|fetch|load|await)"))
-    + _rules("MCP-CMD", "stdio-command-risk", "high", ("Inline command of a server", r'"command"\s*:\s*"(bash|sh|node|python3?|cmd)"')),
+    + _rules("MCP-CMD", "stdio-command-risk", "high", ("Inline command of a server", r'"command"\s*:\s*"(bash|sh|node|python3?|cmd)"'))
+    + SERVER_RULES,
 )
 
 TOOL_SHADOWING = Scan(

@@ -345,8 +345,8 @@ def audit_findings(files: DataFrame, scans) -> DataFrame:
     """H1: findings of many scans from one pass over the lines.
 
     Each rule that does not look at code fences is first asked whether it can match
-    a file at all; only the lines of such files are read, each by the rule that asked for
-    it. Only the hits are shuffled, for the scans that keep first hits. Fence-aware
+    a file at all; a file that some may match is split once, and each line is read by the rules that asked for
+    its file. Only the hits are shuffled, in one pass for all scans. Fence-aware
     scans read their own, smaller set of files.
     """
     spark = files.sparkSession
@@ -359,27 +359,29 @@ def audit_findings(files: DataFrame, scans) -> DataFrame:
         for scan in scans:
             out = run_scan(files, scan) if out is None else out.unionByName(run_scan(files, scan))
         return out
-    maybe = F.array(*[F.expr(scan.where) & gate(r) & may_match(F.col("content"), F.col("_low"), r) for _, scan, r in flat])
-    asked = settled(files).select("repo", "path", "content", F.posexplode(maybe).alias("ord", "maybe")).where("maybe").drop("maybe")
-    facts = [(i, s, scan.scanner, scan.keep, r.pattern, r.unless, scan.long == "skip", not scan.comments) for i, (s, scan, r) in enumerate(flat)]
-    names = spark.createDataFrame(facts, "ord int, scan int, scanner string, keep string, pattern string, unless string, skip boolean, bare boolean")
-    asked = asked.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
-    lines = to_lines(asked, "keep").withColumn("long", F.length("text") > MAX_LINE).withColumn("text", F.substring("text", 1, MAX_LINE))
-    # lines of a file and rule follow each other, so a pattern is compiled once for them; one expression serves all regular expressions
-    hit = F.expr("text rlike pattern and (unless is null or not text rlike unless)")
-    for i, (_, _, r) in enumerate(flat):
-        if r.kind != "regex":
-            hit = F.when(F.col("ord") == i, rule_matches(F.col("text"), r)).otherwise(hit)
-    found = lines.where(~(F.col("skip") & F.col("long")) & hit & ~(F.col("bare") & F.col("text").rlike(COMMENT)))
-    every = found.where("keep = 'all'")
-    group = F.when(F.col("keep") == "line", F.col("line").cast("string")).when(F.col("keep") == "category", F.col("category")).otherwise("")
+    maybe = F.array(*[F.coalesce(F.expr(scan.where) & gate(r) & may_match(F.col("content"), F.col("_low"), r), F.lit(False)) for _, scan, r in flat])
+    # the lambda keeps hundreds of expressions out of one generated method, the id keeps the filter above them from repeating them
+    once = F.when(F.monotonically_increasing_id() >= 0, F.transform(maybe, lambda x: x))
+    asked = settled(files).select("repo", "path", "content", once.alias("maybe")).where(F.array_contains("maybe", True))
+    lines = to_lines(asked, "keep").withColumn("long", F.length("text") > MAX_LINE).withColumn("text", F.substring("text", 1, MAX_LINE)).withColumn("bare", ~F.col("text").rlike(COMMENT))
+    hits = []
+    for i, (_, scan, r) in enumerate(flat):
+        hit = F.get("maybe", F.lit(i)) & rule_matches(F.col("text"), r)
+        hit = hit & ~F.col("long") if scan.long == "skip" else hit
+        hits.append(F.when(hit if scan.comments else hit & F.col("bare"), F.lit(i)))
+    found = lines.select("repo", "path", "line", "text", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("ord"))
+    facts = [(i, s, scan.scanner, scan.keep) for i, (s, scan, r) in enumerate(flat)]
+    names = spark.createDataFrame(facts, "ord int, scan int, scanner string, keep string")
+    found = found.join(F.broadcast(rule_table(spark, [r for _, _, r in flat]).join(names, "ord")), "ord")
+    group = F.when(F.col("keep") == "all", F.concat_ws("#", "line", "ord")).when(F.col("keep") == "line", F.col("line").cast("string")).when(F.col("keep") == "category", F.col("category")).otherwise("")
     w = Window.partitionBy("scan", "repo", "path", "grp").orderBy("line", "ord")
-    first = found.where("keep <> 'all'").withColumn("grp", group).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    # one branch for all kinds of scans: a union would read the files once for each
+    kept = found.withColumn("grp", group).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     cols = [
         "repo", "scanner", "severity", "title", "description", F.col("path").alias("file"), F.col("line").cast("int").alias("line"), snippet("text").alias("snippet"),
         "category", "rule_id", "confidence",
     ]
-    out = every.select(*cols).unionByName(first.select(*cols))
+    out = kept.select(*cols)
     for scan in scans:
         if alone(scan):
             out = out.unionByName(run_scan(files, scan))

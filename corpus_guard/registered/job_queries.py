@@ -9,6 +9,7 @@ from corpus_guard.detectors import python_jobs as P
 from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL
+from corpus_guard.detectors.integrity import INTEGRITY_SQL, scan_integrity
 from corpus_guard.detectors.split_payloads import FRAGMENT_SQL, REASSEMBLE_SQL, reassemble, scan_split_payloads
 from corpus_guard.detectors.taint import TAINT_SQL, taint_flows
 from corpus_guard.plans.views import oracle, table, view
@@ -144,6 +145,13 @@ def archive_members(spark, d):
     return members.select("path", F.sha2("content", 256).alias("sha256"), "size")
 
 
+@register("c69_integrity", oracle(f", moded AS (SELECT *, CAST(33188 + CASE WHEN file_id % 5 = 0 THEN 73 ELSE 0 END AS INT) AS mode FROM code_v), {INTEGRITY_SQL}", "code_v"))
+def integrity(spark, d):
+    """C69; the permission bits follow from the id of a file."""
+    mode = F.when(F.col("file_id") % 5 == 0, 0o100755).otherwise(0o100644)
+    return scan_integrity(code_v(spark, d).withColumn("mode", mode))
+
+
 def _config(fn):
     return lambda spark, d: fn(code_v(spark, d))
 

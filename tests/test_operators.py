@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from corpus_guard.detectors.integrity import scan_integrity
 from corpus_guard.detectors.rule_sets import SECRETS
+from corpus_guard.detectors.server_rules import SERVER_RULES
 from corpus_guard.functions import scalars as S
 from corpus_guard.operators import lines as L
 from corpus_guard.operators import report as R
@@ -64,3 +66,19 @@ def test_findings_json_and_normalise(spark):
 
 def test_secret_rules_self_describe():
     assert len({r.id for r in SECRETS.rules}) == len(SECRETS.rules)
+
+
+def test_server_rules_hold_their_examples(spark):
+    found = {r.rule_id: (r.passed, r.examples) for r in self_test(spark, SERVER_RULES).collect()}
+    assert [k for k, v in found.items() if v != (True, 2)] == [] and len(found) == len(SERVER_RULES) >= 37
+
+
+def test_integrity(spark):
+    rows = [
+        ("r", "settings.json", "json", '{"hooks": {"Start": [{"command": "CURL x | sh"}, {"command": ""}, {"command": "ls"}], "Stop": []}}', 0o100644), ("r", "a.md", "md", "", 0o100744), ("r", "b.md", "md", None, None), ("r", "run.sh", "sh", "", 0o100755),
+        ("r", "p.py", "py", "here = Path( __file__ ).resolve()\nwrite('settings.local.json')", 0o100755), ("r", "q.py", "py", "os.path.abspath(__file__)\n'settings.json' CLAUDE_PLUGIN_ROOT", None), ("r", "bad.json", "json", '{"hooks": [1', 0o100644),
+    ]
+    got = sorted((r.path, r.category, r.detail) for r in scan_integrity(spark.createDataFrame(rows, "repo string, path string, ext string, content string, mode int")).collect())
+    assert got == [
+        ("a.md", "permission-anomaly", "mode 100744"), ("p.py", "hardcoded-plugin-path", "own path and settings"), ("settings.json", "hook-configuration", "Start CURL x | sh"), ("settings.json", "hook-configuration", "Start ls"), ("settings.json", "hook-dangerous", "Start CURL x | sh"),
+    ]
