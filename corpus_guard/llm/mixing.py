@@ -95,19 +95,25 @@ def mixture(
     return timed.select("doc_id", "source", "n_chars", "block_no", slot.alias("slot"), selected.alias("selected"))
 
 
-def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The rows of ``docs`` with a weighted source, all of them, in the order of the mixture that sources leave when used up."""
+def with_slots(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The rows of ``docs`` with a weighted source, all of them, and their slot of the mixture that sources leave when used up as the column ``name``."""
     out = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, leave=True, **kw).where("selected")
     # rows that share id, source and length are interchangeable: they go to the first of their slots
-    key, source, n, slot = (fresh(x, docs.columns) for x in ("_id", "_source", "_n", "_slot"))
-    out = out.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("n_chars").alias(n)).agg(F.min("slot").alias(slot))
+    key, source, n = (fresh(x, [*docs.columns, name]) for x in ("_id", "_source", "_n"))
+    out = out.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("n_chars").alias(n)).agg(F.min("slot").alias(name))
     out = stage(out, "mixed")
     on = (
         docs[id_col].eqNullSafe(out[key])
         & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == out[source])
         & (F.length(F.coalesce(docs[text_col], F.lit(""))) == out[n])
     )
-    return docs.join(small(out), on).orderBy(slot).select(*docs.columns)
+    return docs.join(small(out), on).select(*docs.columns, name)
+
+
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The rows of ``docs`` with a weighted source, all of them, in the order of the mixture that sources leave when used up."""
+    slot = fresh("_slot", docs.columns)
+    return with_slots(docs, slot, id_col, text_col, source_col, **kw).orderBy(slot).select(*docs.columns)
 
 
 def select_mixture(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import slices
-from .staging import stage
+from .staging import small, stage
 
 CAPACITIES = (512, 1024, 2048, 4096)
 PER_BIN = 64
@@ -107,9 +107,16 @@ def _pack(capacities: tuple[int, ...], per_bin: int, names: list[str]):
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, per_bin: int = PER_BIN,
-    shard: int = SHARD,
+    shard: int = SHARD, slot_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece_no, start_token, n_tokens, bin_id, bin_capacity, bin_tokens."""
+    """One row per piece: doc_id, piece_no, start_token, n_tokens, bin_id, bin_capacity, bin_tokens.
+
+    With ``slot_col`` (places in a mixture, from 0) a shard is a run of consecutive slots, so bins follow the
+    mixture and hold what stands together in it; the result has ``mix_slot`` too. A run with more than ``shard`` pieces
+    is dealt into several by the same hash.
+    """
+    if slot_col is not None:
+        return _pack_runs(docs, id_col, text_col, tuple(sorted(capacities)), per_bin, shard, slot_col)
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
     counts = stage(word_counts(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id()), "word-counts")
@@ -124,5 +131,23 @@ def pack(
     return ordered.mapInPandas(_pack(capacities, per_bin, names), schema)
 
 
+def _pack_runs(docs: DataFrame, id_col: str, text_col: str, capacities: tuple[int, ...], per_bin: int, shard: int, slot_col: str) -> DataFrame:
+    top = capacities[-1]
+    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.coalesce(F.col(slot_col), F.lit(0)).cast("long").alias("slot")).alias("id"), F.col(text_col).alias("text"))
+    counts = stage(word_counts(keyed, "id", "text").select("doc_id.doc_id", "doc_id.slot", "n_words", F.monotonically_increasing_id().alias("row_no")), "word-counts")
+    n = F.col("n_words") + 1
+    pieces = counts.select("doc_id", "slot", n.alias("n"), "row_no", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / top).cast("int"))).alias("piece_no"))
+    pieces = pieces.select("doc_id", "row_no", "piece_no", (F.col("piece_no").cast("long") * top).alias("start_token"), F.least(F.lit(top), F.col("n") - F.col("piece_no").cast("long") * top).alias("n_tokens"), F.col("slot").alias("mix_slot"))
+    total, slots = pieces.agg(F.count("*"), F.coalesce(F.max("mix_slot"), F.lit(0)) + 1).first()
+    runs = max(1, -(-total // shard))
+    pieces = pieces.withColumn("run", F.floor(F.col("mix_slot") * runs / slots).cast("long"))
+    parts = stage(pieces.groupBy("run").agg(F.ceil(F.count("*") / shard).cast("long").alias("parts")), "runs")
+    dealt = pieces.join(small(parts), "run").withColumn("shard", F.concat_ws("-", "run", F.pmod(F.xxhash64("row_no", "piece_no"), "parts")))
+    names = ["doc_id", "piece_no", "start_token", "n_tokens", "mix_slot"]
+    schema = T.StructType([dealt.schema[c] for c in names]).add("bin_id", "string").add("bin_capacity", "long").add("bin_tokens", "long")
+    ordered = dealt.repartition(runs, "shard").sortWithinPartitions("shard", F.col("n_tokens").desc(), "doc_id", "piece_no", "row_no")
+    return ordered.mapInPandas(_pack(capacities, per_bin, names), schema)
+
+
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from corpus_guard.llm.conversation_repair import audit_conversations, damage, repair_conversations
 from corpus_guard.llm.decontaminate import SLICE, Automaton, Scanner, clean, contamination, words_of
 from corpus_guard.llm.embedding_whitening import squares, whiten
-from corpus_guard.llm.mixing import mixture
+from corpus_guard.llm.mixing import mixture, with_slots
+from corpus_guard.llm.packing import pack
 
 # ---- whitening
 
@@ -309,3 +310,25 @@ def test_sources_leave_under_earliest_deadlines(spark, seed):
     first = [x for x in mixture(docs, weights, block_chars=20).collect() if x.selected]
     done = min(k + 1 for k in range(len(want)) if want[: k + 1].count(want[k]) == blocks[want[k]])
     assert {x.slot for x in first} == set(range(done))
+
+
+def test_packing_follows_the_mixture(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(r.choice([0, 3, 40, 300, 5000]))), r.choice("aab")) for i in range(400)] + [(1000 + i, "", "c") for i in range(300)] + [(5000, None, None), (5001, "x", None), (5001, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots = {x.doc_id: x.slot for x in with_slots(docs, "slot", block_chars=2000).collect()}
+    assert set(slots) == {i for i, _, _ in rows} and min(slots.values()) == 0
+    got = pack(with_slots(docs, "slot", block_chars=2000), shard=60, slot_col="slot").collect()
+    tokens, bins, runs = {}, {}, {}
+    for x in got:
+        tokens[x.doc_id] = tokens.get(x.doc_id, 0) + x.n_tokens
+        bins.setdefault(x.bin_id, [x.bin_capacity, x.bin_tokens, 0])[2] += x.n_tokens
+        runs.setdefault(int(x.bin_id.split("-")[0]), []).append(x.mix_slot)
+        assert x.mix_slot == slots[x.doc_id]
+    want = {}
+    for i, t, _ in rows:
+        want[i] = want.get(i, 0) + len((t or "").split()) + 1
+    assert tokens == want and all(held == total <= size for size, total, held in bins.values())
+    ordered = [runs[k] for k in sorted(runs)]
+    assert len(ordered) > 3 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+    assert pack(with_slots(docs.limit(0), "slot"), slot_col="slot").count() == 0
