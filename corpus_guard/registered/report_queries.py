@@ -68,6 +68,12 @@ def union_findings(spark, d):
     return every_finding(spark, d)
 
 
+def all_findings(spark, d):
+    """H1: every_finding and the detectors that parse, decode, reassemble or measure."""
+    x = inputs(spark, d)
+    return audit_findings(x.files, ALL).unionByName(detect(x))
+
+
 @register("h01_parser_findings")
 def parser_findings(spark, d):
     """H1: the detectors that parse, decode or measure."""
@@ -95,9 +101,8 @@ _SUM = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critica
 _TIER = "CASE WHEN confidence >= 0.92 THEN 'block' WHEN confidence >= 0.6 THEN 'warn' WHEN confidence >= 0.3 THEN 'info' ELSE 'noise' END"
 
 
-def audit_summary(spark, d):
-    """E2-E5 over the findings and compound findings of each repo, in one aggregate: the flagship query."""
-    base = stage(every_finding(spark, d), "findings")
+def summarize(base):
+    """E2-E5 over the findings and compound findings of each repo, in one aggregate."""
     both = base.unionByName(C.correlate(base))
     tier = verdict_tier("confidence")
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY] + [F.count("*").alias("total")] + [F.count_if(tier == t).alias(t) for t in ("block", "warn", "info")]
@@ -105,6 +110,17 @@ def audit_summary(spark, d):
     return both.groupBy("repo").agg(*counts).withColumn("exit_code", code).withColumn("verdict", R.core_verdict(code))
 
 
+def audit_summary(spark, d):
+    """The audit over all that SQL can express too."""
+    return summarize(stage(every_finding(spark, d), "findings"))
+
+
+@register("audit_everything")
+def audit_everything(spark, d):
+    """The flagship: the audit over all detectors, those that parse, decode, reassemble, follow taint or measure included, and the compound rules over their union."""
+    return summarize(stage(all_findings(spark, d), "findings"))
+
+
 register(
     "audit_summary",
     every(

@@ -69,3 +69,16 @@ def test_rule_packs_drive_a_scan(spark, tmp_path):
     files = spark.createDataFrame([("r", "a.md", "md", "xABBC\nthe key\nZed zed\n\u200b"), ("r", "b.md", "md", "zed")], "repo string, path string, ext string, content string")
     got = sorted((r.rule_id, r.line) for r in audit_findings(files, [Scan("pack", found)]).collect())
     assert got == [("P-1", 1), ("P-2", 2), ("P-3", 3), ("P-4", 4)]
+
+
+def test_the_whole_audit_unites_all_detectors(spark):
+    from corpus_guard.operators.correlate import correlate as compound
+    from corpus_guard.plans.staging import stage
+    from corpus_guard.registered.report_queries import all_findings, summarize
+
+    base = stage(all_findings(spark, SF), "test-findings")
+    assert base.columns == FINDING.names
+    scanners = {r.scanner for r in base.select("scanner").distinct().collect()}
+    assert {"py_ast", "taint", "decoder", "entropy", "runtime_dynamism", "entrypoint", "sast", "mcp_security", "dependencies"} <= scanners
+    total = summarize(base).agg({"total": "sum"}).first()[0]
+    assert total == base.count() + compound(base).count()
