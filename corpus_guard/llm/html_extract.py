@@ -115,28 +115,28 @@ def _places(slots: list[Slot], mapped: dict[int, int]) -> dict[int, str]:
     return out
 
 
-def page_blocks(html: str, model: Slot) -> tuple[list[str], list[str], bool]:
+def page_blocks(html: str, model: Slot) -> tuple[list[str], list[str], list[bool], bool]:
     """Blocks of a page in page order without marked asides, their places, and whether the page marks a main part."""
     root = parse(html)
     slots = fold(root)
     places = _places(slots, match(model, slots[0]))
     todo: list = [(root, "0", False, False)]
-    blocks: list[tuple[str, str, bool]] = []
+    blocks: list[tuple[str, str, bool, bool]] = []
     now: list[str] = []
-    owner, owner_within = "0", False
+    owner, owner_within, heading = "0", False, False
     has_main = False
 
     def flush():
         text = squeeze("".join(now))
         now.clear()
         if text:
-            blocks.append((text, owner, owner_within))
+            blocks.append((text, owner, owner_within, heading))
 
     while todo:
         item, place, within, end = todo.pop()
         if end:
             flush()
-            owner, owner_within = place, within
+            owner, owner_within, heading = place, within, False
         elif isinstance(item, str):
             now.append(item)
         else:
@@ -156,31 +156,35 @@ def page_blocks(html: str, model: Slot) -> tuple[list[str], list[str], bool]:
             if _is_main(node.tag, node.label):
                 inner_within = has_main = True
             if node.tag in BLOCKS or node is root:
-                owner, owner_within = inner, inner_within
+                owner, owner_within, heading = inner, inner_within, node.tag in HEADINGS
             todo.extend((k, inner, inner_within, False) for k in reversed(node.kids))
     flush()
     kept = [b for b in blocks if b[2]] if has_main else blocks
-    return [b[0] for b in kept], [b[1] for b in kept], has_main
+    return [b[0] for b in kept], [b[1] for b in kept], [b[3] for b in kept], has_main
+
+
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def _read(names: list[str]):
     def work(batches):
         models: dict[str, Slot] = {}
         for batch in batches:
-            texts, places, codes, mains, pages = [], [], [], [], []
+            texts, places, codes, heads, mains, pages = [], [], [], [], [], []
             for host, html, model in zip(*(batch.column(c) for c in ("host", "html", "model"))):
                 host = host.as_py()
                 if host not in models:
                     models[host] = _from_skeleton(model.as_py())
-                text, place, main = page_blocks(html.as_py() or "", models[host])
+                text, place, head, main = page_blocks(html.as_py() or "", models[host])
                 texts.append(text)
                 places.append([_hash(p) for p in place])
                 codes.append([_hash(f"{p}\n{t}") for p, t in zip(place, text)])
+                heads.append(head)
                 mains.append(main)
                 pages.append(_hash(repr(codes[-1])))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(mains, pa.bool_()), pa.array(pages, pa.int64())],
-                [*names, "blocks", "places", "codes", "has_main", "page"],
+                [*(batch.column(c) for c in names), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.bool_())), pa.array(mains, pa.bool_()), pa.array(pages, pa.int64())],
+                [*names, "blocks", "places", "codes", "heads", "has_main", "page"],
             )
 
     return work
@@ -206,13 +210,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     model_pages = named.join(small(first), key & (F.xxhash64(F.coalesce(named["html"], F.lit(""))) == first["h"])).select(named["host"], named["html"])
     models = stage(model_pages.dropDuplicates(["host"]).mapInArrow(_models, "host string, model string"), "models")
     names = ["page_id", "url", "host"]
-    schema = T.StructType([named.schema[c] for c in names]).add("blocks", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.LongType())).add("codes", T.ArrayType(T.LongType())).add("has_main", "boolean").add("page", "long")
+    schema = T.StructType([named.schema[c] for c in names]).add("blocks", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.LongType())).add("codes", T.ArrayType(T.LongType())).add("heads", T.ArrayType(T.BooleanType())).add("has_main", "boolean").add("page", "long")
     joined = named.join(small(models, BROADCAST_BYTES, F.length("model") + 64), "host").select(*names, "html", "model")
     read = stage(joined.mapInArrow(_read(names), schema), "blocks")
     template = stage(_template(read), "template")
     out = read.join(small(template, BROADCAST_BYTES, 8 * F.size("constants") + 64), "host", "left")
-    block = F.arrays_zip("blocks", "codes")
-    own = F.filter(block, lambda b: ~F.coalesce(F.array_contains("constants", b["codes"]), F.lit(False)))
+    block = F.arrays_zip("blocks", "codes", "heads")
+    varies = lambda code: ~F.coalesce(F.array_contains("constants", code), F.lit(False))
+    # a heading of an article that stands over text of the page's own is content, on however many pages it is
+    titles = lambda b, i: F.col("has_main") & b["heads"] & F.get("codes", i + 1).isNotNull() & varies(F.get("codes", i + 1))
+    own = F.filter(block, lambda b, i: varies(b["codes"]) | titles(b, i))
     out = out.withColumn("own", own).withColumn("whole", F.col("has_main") & (2 * F.size("own") < F.size("blocks")))
     text = F.when(F.col("whole"), F.array_join("blocks", "\n\n")).otherwise(F.array_join(F.col("own.blocks"), "\n\n"))
     return out.select(*names, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -69,3 +69,10 @@ def test_matching_is_the_largest(spark):
         parent = {k.id: s.id for s in b for k in s.kids}
         theirs = {k.id: s.id for s in a for k in s.kids}
         assert all(y == 0 or got[parent[y]] == theirs[x] for y, x in got.items()) and len(set(got.values())) == len(got)
+
+
+def test_headings_of_the_article_stay(spark):
+    page = lambda i: f"<body><nav>menu</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs and {i} cups</p><h2>Method</h2><p>Stir for {i} minutes</p><h3>Follow our channel</h3></article></body>"
+    rows = [(i, "http://cook.example/x", page(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Dish {i}\n\nIngredients\n\n{i} eggs and {i} cups\n\nMethod\n\nStir for {i} minutes" for i in range(8)}
