@@ -233,9 +233,17 @@ class Decoder:
 
 
 def pieces(text: str, size: int = PIECE):
-    """Pieces of about ``size`` characters of a text, cut where no span goes on."""
+    """Pieces of ``size`` to twice ``size`` characters of a text, cut where no span goes on.
+
+    Where there is no such place in ``size`` characters (numbers, spaced letters, a text without blanks) the cut is at the last
+    blank before twice ``size``, or there: a span over it is restored in two parts, and memory stays bounded.
+    """
     at = 0
-    while len(text) - at > size and (m := _CUT.search(text, at + size)):
-        yield text[at : m.end()]
-        at = m.end()
+    while len(text) - at > 2 * size:
+        if m := _CUT.search(text, at + size, at + 2 * size):
+            end = m.end()
+        else:
+            end = max(text.rfind(" ", at + size, at + 2 * size), text.rfind("\n", at + size, at + 2 * size)) + 1 or at + 2 * size
+        yield text[at:end]
+        at = end
     yield text[at:] if at else text

@@ -332,3 +332,11 @@ def test_packing_follows_the_mixture(spark):
     ordered = [runs[k] for k in sorted(runs)]
     assert len(ordered) > 3 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
     assert pack(with_slots(docs.limit(0), "slot"), slot_col="slot").count() == 0
+
+
+def test_pieces_of_texts_without_words():
+    from corpus_guard.llm.deobfuscate import pieces
+
+    for text in ("12 34 5 " * 5000, "a b c d " * 5000, "7" * 30_000, "x\n" * 9000, "one two three " * 3000, "", "short"):
+        parts = list(pieces(text, 1000))
+        assert "".join(parts) == text and max(map(len, parts)) <= 2000
