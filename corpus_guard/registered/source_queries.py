@@ -29,12 +29,14 @@ def _documents(spark, d: str, name: str, entry, document) -> str:
     return path
 
 
-def _text(c) -> F.Column:
+def _text(c):
     return c.cast("string")
 
 
-K = F.col("k")
-_PKG = F.concat(F.lit("pkg-"), _text(K))
+def _key() -> tuple:
+    """The number of a part, and the name of its package."""
+    k = F.col("k")
+    return k, F.concat(F.lit("pkg-"), _text(k))
 
 
 @register(
@@ -42,15 +44,17 @@ _PKG = F.concat(F.lit("pkg-"), _text(K))
     "SELECT 'g' || (p_partkey // 1000) AS campaign, 'npm' AS ecosystem, 'pkg-' || p_partkey AS package, v AS version, v = '*' AS wildcard FROM part, unnest(CASE WHEN p_partkey % 10 = 0 THEN [(p_partkey % 7) || '.0', '*'] ELSE [(p_partkey % 7) || '.0'] END) t(v)",
 )
 def compromised(spark, d):
-    version = F.concat(_text(K % 7), F.lit(".0"))
-    entry = F.struct(_PKG.alias("key"), F.when(K % 10 == 0, F.array(version, F.lit("*"))).otherwise(F.array(version)).alias("value"))
+    k, package = _key()
+    version = F.concat(_text(k % 7), F.lit(".0"))
+    entry = F.struct(package.alias("key"), F.when(k % 10 == 0, F.array(version, F.lit("*"))).otherwise(F.array(version)).alias("value"))
     doc = lambda es, grp: F.struct(F.create_map(grp, F.struct(F.concat(F.lit("Campaign "), grp).alias("title"), F.lit("npm").alias("ecosystem"), F.map_from_entries(es).alias("packages"))).alias("campaigns"))
     return M.load_compromised(spark, _documents(spark, d, "campaigns", entry, doc))
 
 
 @register("a09_exploited_feed", "SELECT DISTINCT 'CVE-2024-' || (1000 + p_partkey) AS cve FROM part WHERE p_partkey % 11 <> 0")
 def exploited(spark, d):
-    entry = F.struct(F.when(K % 11 == 0, "bad").otherwise(F.concat(F.lit("cve-2024-"), _text(1000 + K))).alias("cveID"))
+    k, package = _key()
+    entry = F.struct(F.when(k % 11 == 0, "bad").otherwise(F.concat(F.lit("cve-2024-"), _text(1000 + k))).alias("cveID"))
     return M.load_kev(spark, _documents(spark, d, "exploited", entry, lambda es, grp: F.struct(es.alias("vulnerabilities"))))
 
 
@@ -59,12 +63,13 @@ def exploited(spark, d):
     "SELECT 'npm' AS ecosystem, 'pkg-' || p_partkey AS package, 'ADV-' || p_partkey AS id, 'CVE-2023-' || (1000 + p_partkey) AS aliases, coalesce(p_name, '') AS summary, CAST((p_partkey % 100) / 10.0 AS DOUBLE) AS cvss, '1.' || (p_partkey % 9) || ',2.0' AS fixed_in FROM part",
 )
 def advisories(spark, d):
+    k, package = _key()
     fixed = lambda x: F.struct(F.lit(None).cast("string").alias("introduced"), x.alias("fixed"))
-    events = F.array(F.struct(F.lit("0").alias("introduced"), F.lit(None).cast("string").alias("fixed")), fixed(F.concat(F.lit("1."), _text(K % 9))), fixed(F.lit("2.0")), fixed(F.lit("2.0")))
+    events = F.array(F.struct(F.lit("0").alias("introduced"), F.lit(None).cast("string").alias("fixed")), fixed(F.concat(F.lit("1."), _text(k % 9))), fixed(F.lit("2.0")), fixed(F.lit("2.0")))
     entry = F.struct(
-        F.concat(F.lit("ADV-"), _text(K)).alias("id"), F.array(F.concat(F.lit("CVE-2023-"), _text(1000 + K))).alias("aliases"), F.col("name").alias("summary"),
-        F.array(F.struct(F.lit("V3").alias("type"), _text((K % 100) / 10).alias("score"))).alias("severity"),
-        F.array(F.struct(F.struct(F.lit("npm").alias("ecosystem"), _PKG.alias("name")).alias("package"), F.array(F.struct(events.alias("events"))).alias("ranges"))).alias("affected"),
+        F.concat(F.lit("ADV-"), _text(k)).alias("id"), F.array(F.concat(F.lit("CVE-2023-"), _text(1000 + k))).alias("aliases"), F.col("name").alias("summary"),
+        F.array(F.struct(F.lit("V3").alias("type"), _text((k % 100) / 10).alias("score"))).alias("severity"),
+        F.array(F.struct(F.struct(F.lit("npm").alias("ecosystem"), package.alias("name")).alias("package"), F.array(F.struct(events.alias("events"))).alias("ranges"))).alias("affected"),
     )
     found = M.load_advisories(spark, _documents(spark, d, "advisories", entry, lambda es, grp: F.struct(es.alias("vulns"))))
     return found.withColumns({"aliases": F.array_join("aliases", ","), "fixed_in": F.array_join("fixed_in", ",")})
@@ -75,9 +80,10 @@ def advisories(spark, d):
     "SELECT 'pkg-' || p_partkey AS package, v AS version, TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 300 AS INTEGER)) AS published, CASE WHEN v = '1.0' THEN 'm' || (p_partkey % 5) END AS maintainer FROM part, (VALUES ('1.0'), ('1.1')) t(v)",
 )
 def release_documents(spark, d):
-    day = F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (K % 300).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    k, package = _key()
+    day = F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z"))
     times = F.create_map(F.lit("created"), F.lit("x"), F.lit("1.0"), day, F.lit("1.1"), day)
-    entry = F.struct(_PKG.alias("name"), times.alias("time"), F.create_map(F.lit("1.0"), F.struct(F.concat(F.lit("m"), _text(K % 5)).alias("maintainer"))).alias("versions"))
+    entry = F.struct(package.alias("name"), times.alias("time"), F.create_map(F.lit("1.0"), F.struct(F.concat(F.lit("m"), _text(k % 5)).alias("maintainer"))).alias("versions"))
     return M.load_releases(spark, _documents(spark, d, "releases", entry, lambda es, grp: es)).withColumn("published", F.col("published").cast("timestamp_ntz"))
 
 
@@ -92,9 +98,10 @@ SELECT 'g' || (k // 1000) AS pack, 'R-' || k AS id, severity, CAST(CASE WHEN k %
 )
 def rule_packs(spark, d):
     """A3: every thirteenth rule retired, every seventeenth without its pattern, every third with a confidence beyond 1."""
+    k, _ = _key()
     entry = F.struct(
-        F.concat(F.lit("R-"), _text(K)).alias("id"), F.lit("regex").alias("type"), F.when(K % 17 != 0, F.concat(F.lit("x"), _text(K))).alias("pattern"), F.lit("a rule").alias("title"),
-        F.element_at(F.array(*map(F.lit, _SEVERITIES)), (K % 5 + 1).cast("int")).alias("severity"), F.when(K % 3 == 0, 7.0).alias("confidence"), (K % 13 == 0).alias("retired"),
+        F.concat(F.lit("R-"), _text(k)).alias("id"), F.lit("regex").alias("type"), F.when(k % 17 != 0, F.concat(F.lit("x"), _text(k))).alias("pattern"), F.lit("a rule").alias("title"),
+        F.element_at(F.array(*map(F.lit, _SEVERITIES)), (k % 5 + 1).cast("int")).alias("severity"), F.when(k % 3 == 0, 7.0).alias("confidence"), (k % 13 == 0).alias("retired"),
     )
     doc = lambda es, grp: F.struct(F.lit("1.0").alias("schema_version"), F.lit("2026-01-01").alias("generated"), grp.alias("pack"), F.lit(1).alias("pack_version"), es.alias("rules"))
     return load_rules(spark, _documents(spark, d, "packs", entry, doc)).select("pack", "id", "severity", "confidence")
