@@ -111,13 +111,13 @@ def summarize(base):
 
 
 def audit_summary(spark, d):
-    """The audit over all that SQL can express too."""
+    """The flagship: the audit over all that SQL can express too."""
     return summarize(stage(every_finding(spark, d), "findings"))
 
 
 @register("audit_everything")
 def audit_everything(spark, d):
-    """The flagship: the audit over all detectors, those that parse, decode, reassemble, follow taint or measure included, and the compound rules over their union."""
+    """The audit over all detectors, those that parse, decode, reassemble, follow taint or measure included, and the compound rules over their union."""
     return summarize(stage(all_findings(spark, d), "findings"))
 
 
