@@ -41,6 +41,21 @@ def reference_chains(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> Data
     return found.where("hops >= 2").select("repo", F.array_join("path", ">").alias("chain"), "hops", severity)
 
 
+def simple_chains(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """All simple paths of 2 to ``depth`` hops from seed files (repo, src); a bounded loop of joins over staged frontiers, without a cut."""
+    step = stage(edges.select("repo", F.col("src").alias("end"), F.col("dst").alias("next")), "reference-edges")
+    paths = seeds.select("repo", F.array("src").alias("path"), F.col("src").alias("end")).distinct()
+    found = None
+    for hop in range(1, depth + 1):
+        paths = paths.join(step, ["repo", "end"]).where(~F.array_contains("path", F.col("next"))).select("repo", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
+        # the last hop is most of the rows and is read once
+        paths = stage(paths, "reference-paths") if hop < depth else paths
+        if hop >= 2:
+            found = paths if found is None else found.unionByName(paths)
+    hops = F.size("path") - 1
+    return found.select("repo", F.array_join("path", ">").alias("chain"), hops.alias("hops"), F.when(hops >= 3, "high").otherwise("medium").alias("severity"))
+
+
 def chains_sql(seed: str, depth: int = 5) -> str:
     """The same for DuckDB over edges(repo, src, dst): one common table expression a hop; ``seed`` is a condition on src."""
     out = [f"f0 AS (SELECT DISTINCT repo, src AS seed, [src] AS path, src AS last FROM edges WHERE {seed})"]

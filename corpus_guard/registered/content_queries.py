@@ -346,10 +346,11 @@ def reference_edges(spark, d):
 _SEED = r"^doc-\d*0\.md$"
 
 
-@register("j01_reference_chains", oracle(_RING + G.chains_sql(f"regexp_matches(src, '{_SEED}')"), "files_v"))
+@register("j01_reference_chains", oracle(_RING + """, chains AS (SELECT repo, [src, dst] AS path, dst AS e FROM edges WHERE regexp_matches(src, '^doc-\\d*0\\.md$') UNION ALL SELECT c.repo, list_append(path, dst), dst FROM chains c JOIN edges ON edges.repo = c.repo AND src = e WHERE NOT list_contains(path, dst) AND len(path) < 6)
+SELECT repo, array_to_string(path, '>') AS chain, len(path) - 1 AS hops, CASE WHEN len(path) >= 4 THEN 'high' ELSE 'medium' END AS severity FROM chains WHERE len(path) > 2""", "files_v", recursive=True))
 def reference_chains(spark, d):
     e = G.reference_edges(_linked(spark, d))
-    return G.reference_chains(e, e.where(F.col("src").rlike(_SEED)).select("repo", "src").distinct())
+    return G.simple_chains(e, e.where(F.col("src").rlike(_SEED)).select("repo", "src").distinct())
 
 
 _IMPQ = q(G.IMPORT)

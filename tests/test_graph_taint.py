@@ -4,7 +4,7 @@ import random
 import re
 
 from corpus_guard.detectors.taint import ASSIGN, SINK, SOURCE, flows, taint_flows
-from corpus_guard.operators.graph import reference_chains
+from corpus_guard.operators.graph import reference_chains, simple_chains
 
 EDGES, SEEDS = "repo string, src string, dst string", "repo string, src string"
 
@@ -49,6 +49,21 @@ def test_chains_of_a_complete_graph(spark):
     assert reference_chains(edges, seeds.limit(0)).count() == 0
 
 
+def test_all_simple_chains(spark):
+    edges = [("r", a, b) for a, b in ("ab", "ac", "bd", "cd", "de", "ea", "ef", "fg")]
+    got = simple_chains(spark.createDataFrame(edges, EDGES), spark.createDataFrame([("r", "a"), ("r", "a"), ("s", "a")], SEEDS)).collect()
+
+    def walk(path):
+        for _, a, b in edges:
+            if a == path[-1] and b not in path and len(path) <= 5:
+                yield (*path, b)
+                yield from walk((*path, b))
+
+    want = sorted((">".join(p), len(p) - 1, "high" if len(p) > 3 else "medium") for p in walk(("a",)) if len(p) > 2)
+    # both ways to d go on over d>e, which an edge followed once would cut
+    assert sorted((x.chain, x.hops, x.severity) for x in got) == want and "a>b>d>e>f" in {w[0] for w in want} and "a>c>d>e>f" in {w[0] for w in want}
+
+
 def plain_flows(content):
     """By reaching definitions: every use looks up the latest assignment above it."""
     lines = [x[:10_000] for x in content.split("\n")]
