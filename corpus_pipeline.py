@@ -2,15 +2,16 @@
 
 toxicity drops documents predicted toxic; exact dedup keeps one document of each
 text; the n-gram Jaccard join keeps one of each group of near copies; mixing puts
-all of them in the order of a mixture of the sources at their target weights, which
-sources leave when they are used up; best-fit packing fills bins from runs of consecutive
-slots of that mixture and gives each piece its slot. All stages but the last return the columns of documents.
+all of them into a mixture of the sources at their target weights, which sources leave
+when they are used up, and adds each one's slot as the column mix_slot; best-fit packing
+fills bins from runs of consecutive slots of that column and gives each piece its slot.
+The stages before mixing return the columns of documents.
 """
 
 from __future__ import annotations
 
 from corpus_guard.llm.exact_dedup import drop_duplicates
-from corpus_guard.llm.mixing import in_mixed_order, with_slots
+from corpus_guard.llm.mixing import with_slots
 from corpus_guard.llm.ngram_join import drop_near_duplicates
 from corpus_guard.llm.packing import pack
 from corpus_guard.llm.staging import stage
@@ -30,12 +31,12 @@ def ngram_jaccard(spark, docs, sf_dir):
 
 
 def mixing(spark, docs, sf_dir):
-    return in_mixed_order(docs)
+    return with_slots(docs, "mix_slot")
 
 
 def packing(spark, docs, sf_dir):
-    """Runs of consecutive slots of the mixture, which follow from the documents that the stage before has kept."""
-    return pack(with_slots(docs, "slot"), slot_col="slot")
+    """Runs of consecutive slots, as the stage before has written them."""
+    return pack(docs, slot_col="mix_slot")
 
 
 STAGES = [

@@ -30,3 +30,12 @@ def test_pipeline_against_plain_stages(spark, tmp_path, labelled):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
         bins.setdefault(r.bin_id, [r.bin_capacity, 0])[1] += r.n_tokens
     assert got == want and all(held <= size for size, held in bins.values())
+
+
+def test_packing_follows_the_slots_that_mixing_wrote(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 50, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs, None)
+    assert mixed.columns == [*docs.columns, "mix_slot"] and mixed.count() == 40
+    other = mixed.withColumn("mix_slot", mixed.doc_id * 3)
+    assert {r.doc_id: r.mix_slot for r in stages["packing"](spark, other, None).collect()} == {i: i * 3 for i in range(40)}
