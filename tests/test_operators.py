@@ -82,3 +82,23 @@ def test_integrity(spark):
     assert got == [
         ("a.md", "permission-anomaly", "mode 100744"), ("p.py", "hardcoded-plugin-path", "own path and settings"), ("settings.json", "hook-configuration", "Start CURL x | sh"), ("settings.json", "hook-configuration", "Start ls"), ("settings.json", "hook-dangerous", "Start CURL x | sh"),
     ]
+
+
+def test_few_hot_keys_do_not_deal_the_dependencies(spark):
+    """Joins with small threat tables keep the dependencies where they are, whatever Catalyst estimates."""
+    from corpus_guard.operators import deps as D
+
+    rows = [("r", f"f{i}", "npm", "left-pad", "1.0.0", "", f"https://{h}/x", None) for i, h in enumerate(["npmjs.org", "cdn.npmjs.org", "bad.example"])]
+    deps = spark.createDataFrame(rows, "repo string, file string, ecosystem string, name string, version string, prefix string, resolved_url string, integrity string")
+    bad = spark.createDataFrame([("c", "left-pad", "*"), ("c", "left-pad", "1.0.0")], "campaign string, package string, version string")
+    adv = spark.createDataFrame([("npm", "left-pad", "OSV-1", ["CVE-1"], 9.5)], "ecosystem string, package string, id string, aliases array<string>, cvss double")
+    kev, trusted = spark.createDataFrame([("CVE-2",)], "cve string"), spark.createDataFrame([("npmjs.org",)], "host string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [D.match_compromised(deps, bad), D.lock_injection(deps, trusted), D.enrich_vulns(deps, adv, kev), D.match_ioc_names(deps, bad.selectExpr("package as name"))]
+        assert [x.count() for x in found] == [6, 4, 3, 3]
+        for x in found:
+            assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
