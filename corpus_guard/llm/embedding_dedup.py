@@ -5,8 +5,9 @@
    remembers how many it stands for. Vectors of one length are compared with each other.
 2. For each of TABLES tables a vector is rotated twice by three rounds of random
    signs and a fast Hadamard transform; the signed axis nearest to it in each rotation
-   makes the bucket. It enters its own bucket and the PROBES next best ones. A bucket of
-   more than FULL entries is split by the axes of a third rotation, with probes too.
+   makes the bucket. It enters its own bucket and the PROBES next best ones. Every bucket
+   is split by the axes of a third rotation, with probes too, however many entries it
+   has, so that two vectors meet or not by themselves and not by the size of the input.
    An entry is the node, its bucket and a sketch of 128 signs; vectors do not move.
 3. Buckets of more than DENSE entries compare all nodes with their smallest one first. Nodes
    verified within half the angle of the threshold around it form a ball, in
@@ -41,8 +42,10 @@ from .staging import drop_stage, small, stage
 
 COSINE = 0.9
 TABLES, PROBES, BLOCK = 8, 2, 1024
-#: Entries of a bucket from which on it is split, or looked through for balls.
-FULL, DENSE = 1024, 64
+#: Entries of a bucket up to which it is not split: one meets nothing, so none that counts stays whole.
+FULL = 1
+#: Entries of a bucket from which on it is looked through for balls.
+DENSE = 64
 #: Most signs of 128 in which the sketches of a linked pair differ.
 APART = 40
 SEED = 7

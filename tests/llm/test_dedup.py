@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from corpus_guard.llm.components import components
-from corpus_guard.llm.embedding_dedup import near_duplicates
+from corpus_guard.llm.embedding_dedup import FULL, _entries, near_duplicates
 from corpus_guard.llm.exact_dedup import drop_duplicates, exact_dedup
 from corpus_guard.llm.ngram_join import drop_near_duplicates, ngram_components
 from corpus_guard.llm.substring_dedup import compact, remove_repeats, repeated_spans
@@ -205,6 +205,15 @@ def test_embedding_recall_at_the_threshold(spark):
         assert got >= 0.9 * 1500
 
 
+def test_entries_do_not_depend_on_the_crowd(spark):
+    """What a vector meets follows from its own codes, not from how many others share a bucket."""
+    rows = [(i, 4, i, i, [5, 6 + i % 2, 9], [1, 2, 3 + i]) for i in range(1300)]
+    make = lambda rows: {tuple(r) for r in _entries(spark.createDataFrame(rows, "node long, dim int, s1 long, s2 long, codes array<bigint>, thirds array<bigint>"), 2, FULL).where("node in (0, 2)").collect()}
+    few, many = make([rows[0], rows[2]]), make(rows)
+    # entries of buckets that the two share are the same, and the crowd only adds buckets that hold one of them with others
+    assert len(few) > 4 and few <= many
+
+
 def test_compaction_of_links(spark):
     """Chains, a cycle and lone links against walking them."""
     r = random.Random(8)
