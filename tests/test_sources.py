@@ -126,3 +126,19 @@ def test_packed_archives_come_back_whole(spark):
     files = spark.createDataFrame([("a", "x\u00e9"), ("b", None), ("c", "")], "path string, content string")
     got = sorted((r.path, r.content) for r in expand_archives(pack_archives(files)).where("path not like '%!inner'").collect())
     assert got == sorted((f"{p}.zip!{m}", t) for p, t in (("a", "x\u00e9"), ("b", ""), ("c", "")) for m in ("content", "inner!content"))
+
+
+def test_lockfiles_are_read_without_a_sort(spark):
+    text = '[[package]]\nname = "a"\nversion = "1"\n[[package]] x\nname = "b"\n[package.dependencies]\nname = "c"\n[[package]]\nversion = "2"\n"@s/y@^1", "@s/y@2":\n  version "3"\n  version "4"\npackages:\n  /p@5(q@6):\nsnapshots:\n  /z@7:'
+    df = spark.createDataFrame([("r", "f", text), ("r", "n", None), ("r", "e", "")], "repo string, path string, content string")
+    want = {M.poetry_lock: [("b", "1")], M.yarn_lock: [("@s/y", "3"), ("@s/y", "4")], M.pnpm_lock: [("p", "5")]}
+    for read, rows in want.items():
+        found = read(df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Sort", "Exchange")) and sorted((r.name, r.version) for r in found.collect()) == rows
+
+
+def test_levels_of_overrides_are_computed_once(spark):
+    df = spark.createDataFrame([("r", "f", '{"overrides": {"a": {".": "1", "b": "2"}}}')], "repo string, path string, content string")
+    found = M.flatten_overrides(df)
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString() and sorted((r.name, r.version) for r in found.collect()) == [("a", "1"), ("b", "2")]
