@@ -6,13 +6,10 @@ import ast
 import base64
 import binascii
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 # ---- decoding ---------------------------------------------------------------------------------------------------------------
 
 
@@ -58,45 +55,33 @@ def dangerous(text: str) -> str | None:
 def decode_rescan(blobs: DataFrame, layers: int = 3) -> DataFrame:
     """C20: blobs(repo, path, blob) decoded strictly through at most ``layers`` layers; dangerous calls in what comes out."""
 
-    def work(batches: Iterator[pd.DataFrame]):
-        for rows in batches:
-            out = []
-            for repo, path, blob in zip(rows["repo"], rows["path"], rows["blob"]):
-                level = [("", blob)]
-                for depth in range(1, layers + 1):
-                    nxt = []
-                    for trail, b in level:
-                        for name, text in _decode(b):
-                            here = f"{trail}>{name}" if trail else name
-                            if call := dangerous(text):
-                                out.append((repo, path, depth, here, call))
-                            nxt += [(here, x) for x in _BLOB.findall(text)]
-                    level = nxt
-            yield pd.DataFrame(out, columns=["repo", "path", "depth", "trail", "call"])
-
-    return blobs.select("repo", "path", "blob").mapInPandas(work, "repo string, path string, depth int, trail string, call string").distinct()
+    # by rows, not in Arrow batches of thousands of rows: a blob may have a million characters
+    @F.udf("array<struct<depth:int,trail:string,call:string>>", useArrow=False)
+    def decoded(blob):
+        out, level = [], [("", blob)]
+        for depth in range(1, layers + 1):
+            nxt = []
+            for trail, b in level:
+                for name, text in _decode(b):
+                    here = f"{trail}>{name}" if trail else name
+                    if call := dangerous(text):
+                        out.append((depth, here, call))
+                    nxt += [(here, x) for x in _BLOB.findall(text)]
+            level = nxt
+        return out
+
+    return blobs.select("repo", "path", F.explode(decoded("blob")).alias("d")).select("repo", "path", "d.*").distinct()
 
 
 # ---- split fragments ----------------------------------------------------------------------------------------------------------
 
-_FRAGMENT = re.compile(r"['\"]([A-Za-z0-9+/=]{6,200})['\"]")
+_FRAGMENT = r"['\"]([A-Za-z0-9+/=]{6,200})['\"]"
 
 
 def fragments(files: DataFrame) -> DataFrame:
     """Quoted fragments per file in order, longest spans first without overlap, distinct."""
-
-    def work(batches: Iterator[pd.DataFrame]):
-        for rows in batches:
-            out = []
-            for repo, path, text in zip(rows["repo"], rows["path"], rows["content"]):
-                seen = set()
-                for i, m in enumerate(_FRAGMENT.finditer(text or "")):
-                    if m[1] not in seen:
-                        seen.add(m[1])
-                        out.append((repo, path, m[1], i))
-            yield pd.DataFrame(out, columns=["repo", "path", "frag", "ord"])
-
-    return files.select("repo", "path", "content").mapInPandas(work, "repo string, path string, frag string, ord int")
+    found = files.select("repo", "path", F.posexplode(F.regexp_extract_all("content", F.lit(_FRAGMENT), 1)).alias("ord", "frag"))
+    return found.groupBy("repo", "path", "frag").agg(F.min("ord").alias("ord"))
 
 
 # ---- binaries ------------------------------------------------------------------------------------------------------

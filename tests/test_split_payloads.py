@@ -116,3 +116,14 @@ def test_signs_that_count_in_programs_only(spark):
     blobs = [("r", f"{i}", base64.b64encode(t.encode()).decode()) for i, t in enumerate(texts)]
     found = {r.path: r.call for r in decode_rescan(spark.createDataFrame(blobs, "repo string, path string, blob string")).collect()}
     assert set(found) == {"0", "2", "4"}
+
+
+def test_fragments_and_blobs_do_not_wait_in_arrow_batches(spark):
+    from corpus_guard.detectors.python_jobs import decode_rescan, fragments
+
+    files = spark.createDataFrame([("r", "a", "x 'abcdef' \"abcdef\" 'ZZZZZZ1' 'short' 'abcdef'"), ("r", "n", None)], "repo string, path string, content string")
+    found = fragments(files)
+    assert sorted((x.path, x.frag, x.ord) for x in found.collect()) == [("a", "ZZZZZZ1", 2), ("a", "abcdef", 0)]
+    calls = decode_rescan(spark.createDataFrame([("r", "b", "b3Muc3lzdGVtKCdpZCcpIyMjIyMjIyMjIyMjIyMj"), ("r", "c", "")], "repo string, path string, blob string"))
+    assert {(x.path, x.depth) for x in calls.collect()} == {("b", 1)}
+    assert not any(x in df._jdf.queryExecution().executedPlan().toString() for df in (found, calls) for x in ("InPandas", "InArrow", "ArrowEval"))
