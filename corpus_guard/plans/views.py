@@ -8,6 +8,7 @@ documents by ``doc_id % SEED_MOD``, since the supplied text holds few signals.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EXTENSIONS = ("md", "py", "js", "json", "yml", "txt", "sh", "toml")
 SEED_MOD = 64
@@ -165,6 +166,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+#: Share of the rows, in shares of a core, beyond which a partition holds up the others.
+UNEVEN = 1.25
+
+
+def even(files: DataFrame) -> DataFrame:
+    """A view of files, dealt by file where some of its partitions hold more rows than a core's share.
+
+    Parquet is read by whole row groups: a file of one is read by one task, however many splits Spark plans for it. The
+    rows of a partition come from the footers alone. For plans that read the files once, since each reading is a shuffle of them.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    held = [r.n for r in files.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+    if max(held, default=0) * cores <= UNEVEN * sum(held):
+        return files
+    # by key, as rows dealt in turn are sorted first, with their texts
+    return files.repartition(max(3 * cores, files._jdf.queryExecution().toRdd().getNumPartitions()), "file_id", "path")
+
+
 def _brace_safe(sql: str, used: dict) -> str:
     """Doubles braces other than the table placeholders, for spark.sql's formatter."""
     for t in used:

@@ -11,7 +11,7 @@ from corpus_guard.operators import correlate as C
 from corpus_guard.operators import report as R
 from corpus_guard.operators.rules import audit_findings, audit_oracle, dedupe_line_category
 from corpus_guard.plans.staging import stage
-from corpus_guard.plans.views import oracle, table, view
+from corpus_guard.plans.views import even, oracle, table, view
 from corpus_guard.registered.content_queries import ACTIONS, IOCS
 from corpus_guard.registered.dep_queries import TRUSTED
 from corpus_guard.registry import register
@@ -22,7 +22,7 @@ ALL = tuple(s for _, s in SCANS.values())
 
 def findings(spark, d):
     """Findings of the rule scans."""
-    return audit_findings(view(spark, d, "files_v"), ALL)
+    return audit_findings(even(view(spark, d, "files_v")), ALL)
 
 
 def staged(spark, d):

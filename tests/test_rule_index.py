@@ -128,3 +128,32 @@ def test_only_rules_whose_literals_a_line_holds_are_asked(spark):
     lines = ["sk-ax", "beta", "beta gamma", "gamma sk-", "the key", "é", ""]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", rules_to_ask("x", rules).alias("a")).orderBy("i").collect()
     assert [sorted(r.a) for r in got] == [[0, 2], [2], [1, 2], [2], [2, 3], [2, 3], [2]]
+
+
+def test_files_of_one_row_group_are_scanned_by_all_cores(spark):
+    from pyspark.sql import functions as F
+
+    from corpus_guard.plans.views import even, view
+    from corpus_guard.queries import QUERIES
+    from corpus_guard.registered.report_queries import findings
+
+    sf, splits = "/root/testdata/sf0.001", {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "0"}
+    held = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    want = sorted(QUERIES["g01_severity_order"](spark, sf).collect())
+    try:
+        for k, v in splits.items():
+            spark.conf.set(k, v)
+        files = view(spark, sf, "files_v")
+        # many splits are planned, but three tables of one row group each are read by three tasks
+        assert files.rdd.getNumPartitions() > 8 and len(held(files)) == 3
+        rows = held(even(files))
+        assert sum(rows) == sum(held(files)) and max(rows) * 4 <= sum(rows)
+        assert "REPARTITION_BY_NUM" in plan_of(findings(spark, sf))
+        assert sorted(QUERIES["g01_severity_order"](spark, sf).collect()) == want
+        dealt = files.repartition(8)
+        assert even(dealt) is dealt
+        none = files.where("file_id < 0")
+        assert even(none) is none
+    finally:
+        for k in splits:
+            spark.conf.unset(k)
