@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .hashing import mix, signed, slices, whole, windows
-from .staging import drop_stage, fresh, small, stage
+from .staging import bound_batches, drop_stage, fresh, small, stage
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Most entries of the frequent-shingle table, which is all that reaches the driver and is broadcast.
@@ -91,9 +91,12 @@ def _repeated(k: int):
 
         def flush():
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                keep = n > 1
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+                h = np.concatenate(held)
+                held.clear()
+                h.sort()
+                same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+                first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(last - first + 1)], ["token", "n"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
@@ -104,7 +107,7 @@ def _repeated(k: int):
                 size += len(s)
                 if size >= BUFFER:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
                     seen.clear()
         yield from flush()
 
@@ -309,6 +312,7 @@ def ngram_components(
 
     Documents link when den * |intersection| >= num * |union| of their sets of k-word shingles.
     """
+    bound_batches(docs.sparkSession)
     signed_docs = signatures(docs, id_col, text_col, k, num, den, most)
     classes = stage(signed_docs.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("class"), F.count("*").alias("rows")), "classes")
     copies = signed_docs.join(classes.where("rows > 1"), ["d1", "d2"]).select("uid", "class").where("uid <> class")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .deobfuscate import CLASSES, PIECE, Decoder, pieces, trigram_ids
 from .hashing import LETTERS_ONLY, Words
-from .staging import drop_stage, stage
+from .staging import bound_batches, drop_stage, stage
 
 MAX_TRAIN = 10_000
 BITS = 20
@@ -169,6 +169,7 @@ def _score(model, names: list[str], text_col: str = "text"):
 
 def model_for(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int):
     """(decoder, weights, intercept) from the letters of all documents and a bounded sample of training labels."""
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     decoder = sc.broadcast(Decoder(letter_counts(docs, text_col)))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))

@@ -5,12 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_guard.llm.components import components
 from corpus_guard.llm.embedding_dedup import FULL, _entries, near_duplicates
 from corpus_guard.llm.exact_dedup import drop_duplicates, exact_dedup
-from corpus_guard.llm.ngram_join import drop_near_duplicates, ngram_components
+from corpus_guard.llm.ngram_join import _repeated, drop_near_duplicates, ngram_components, shingle_sets
+from corpus_guard.llm.staging import BATCH_BYTES
 from corpus_guard.llm.substring_dedup import compact, remove_repeats, repeated_spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +120,33 @@ def brute_repeats(rows, k):
     return out
 
 
+def test_texts_reach_python_in_bounded_batches(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lpad("id", 10, " "), 500).alias("text"))
+    few = docs([(1, "a b c"), (2, "a b c")])
+    spark.conf.unset(key)
+    ngram_components(few).collect()
+    seen = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(seen) > 3000 * 5000 and max(seen) < 1.1 * BATCH_BYTES
+    try:
+        spark.conf.set(key, "1m")
+        ngram_components(few).collect()
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_repeats_of_shingles_are_counted():
+    texts = [t or "" for _, t in corpus(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7])], ["text"]) for i in range(0, len(texts), 7)]
+    sets = {s.tobytes(): s for _, s in shingle_sets(pa.array(texts))}
+    value, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    got = {r["token"]: r["n"] for out in _repeated(5)(batches) for r in out.to_pylist()}
+    assert got == dict(zip(value[times > 1].view(np.int64).tolist(), times[times > 1].tolist())) and len(got) > 100
+    assert [out.num_rows for out in _repeated(5)([pa.RecordBatch.from_arrays([pa.array([None, " ", "a"])], ["text"])])] == [0]
+
+
 @pytest.mark.parametrize(("k", "seed"), [(35, 8), (10, 3), (8, 8)])
 def test_substring(docs, k, seed):
     rows = corpus()
