@@ -13,18 +13,49 @@ from pyspark.sql import functions as F
 # ---- decoding ---------------------------------------------------------------------------------------------------------------
 
 
+_DECODERS = (("hex", binascii.unhexlify), ("base64", lambda x: base64.b64decode(x, validate=True)), ("base32", base64.b32decode), ("base85", base64.b85decode))
+
+
+def _printable(text: str) -> int:
+    return sum(c.isprintable() or c in "\t\r\n" for c in text)
+
+
 def _decode(blob: str) -> list[tuple[str, str]]:
     out = []
-    for name, fn in (("hex", binascii.unhexlify), ("base64", lambda x: base64.b64decode(x, validate=True)), ("base32", base64.b32decode), ("base85", base64.b85decode)):
+    for name, fn in _DECODERS:
         try:
             text = fn(blob).decode("utf-8")
         except (ValueError, binascii.Error):
             continue
-        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) / len(text) >= 0.85:
+        if text and _printable(text) / len(text) >= 0.85:
             out.append((name, text))
     return out[:2]
 
 
+def _inside(data: bytes) -> int:
+    """The number of leading bytes that belong to a character begun before."""
+    return next((i for i, b in enumerate(data) if b & 0xC0 != 0x80), len(data))
+
+
+def decodes_in_part(own: str, ahead: str, first: bool) -> list[tuple[str, int, int]]:
+    """The decoders that take a part of a blob, with the characters that begin in it and the printable ones among them.
+
+    Parts begin at multiples of 40 characters, where no decoder is inside a group; ``ahead`` is what follows, 40 characters or
+    the rest. A blob decodes as a whole where all its parts do: what a part leaves to the last character of the one before is what that takes.
+    """
+    out = []
+    for name, fn in _DECODERS:
+        if ahead and own.endswith("=") and name in ("base64", "base32"):
+            continue
+        try:
+            data, rest = fn(own), fn(ahead) if ahead else b""
+            text = (data[0 if first else _inside(data) :] + rest[: _inside(rest)]).decode("utf-8")
+        except (ValueError, binascii.Error):
+            continue
+        out.append((name, len(text), _printable(text)))
+    return out
+
+
 _DANGER = re.compile(r"(eval\s*\(|exec\s*\(|child_process|os\.system|subprocess|curl\s|wget\s|/dev/tcp|process\.env|\.ssh/|console\.log\()")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}|[0-9a-fA-F]{48,}")
 

@@ -18,7 +18,7 @@ from corpus_guard.detectors import python_jobs as P
 from corpus_guard.detectors import python_source as S
 from corpus_guard.detectors.config_files import DETECTORS
 from corpus_guard.detectors.config_sql import DETECTOR_SQL, JS, LINES
-from corpus_guard.detectors.split_payloads import scan_split_payloads
+from corpus_guard.detectors.split_payloads import find_split_payloads
 from corpus_guard.detectors.taint import taint_flows
 from corpus_guard.functions.scalars import default_confidence, looks_like_llm_bait
 from corpus_guard.operators import deps as D
@@ -158,7 +158,7 @@ def _decoded(x: Inputs) -> DataFrame:
 
 
 def _split(x: Inputs) -> DataFrame:
-    return scan_split_payloads(P.fragments(x.files))
+    return find_split_payloads(P.fragments(x.files))
 
 
 def _dense(x: Inputs) -> DataFrame:
