@@ -108,13 +108,18 @@ def scan_command_jacking(files: DataFrame) -> DataFrame:
 def scan_setup_py(files: DataFrame) -> DataFrame:
     """Set-up programs with command classes, network or shell calls."""
     f = files.where((F.col("ext") == "py") & F.col("content").rlike(r"\bsetup\s*\("))
-    c = F.col("content")
-    return _out(f, F.when(c.rlike("cmdclass"), _hit("setup-cmdclass", "high", F.regexp_extract(c, r"(cmdclass[^\n]*)", 1))), F.when(c.rlike(r"(os\.system|subprocess|urlopen|requests\.)"), _hit("setup-exec", "critical", F.regexp_extract(c, r"([^\n]*(?:os\.system|subprocess|urlopen|requests\.)[^\n]*)", 1))))
+    c, calls = F.col("content"), r"(os\.system|subprocess|urlopen|requests\.)"
+    # the first line that calls; a pattern for the whole line is tried from every character of the lines before it
+    line = F.get(F.filter(F.split(c, "\n", -1), lambda x: x.rlike(calls)), F.lit(0))
+    return _out(f, F.when(c.rlike("cmdclass"), _hit("setup-cmdclass", "high", F.regexp_extract(c, r"(cmdclass[^\n]*)", 1))), F.when(c.rlike(calls), _hit("setup-exec", "critical", line)))
 
 
-def scan_pth(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+PTH = r"^import\s+\S+\s*;"
+
+
+def scan_pth(files: DataFrame, known: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Start-up lines (import with a statement on the same line): base64, execution, plain import; known file names by a join."""
-    lines = to_lines(files).where(F.col("text").rlike(r"^import\s+\S+\s*;"))
+    lines = (to_lines(files) if lines is None else lines).where(F.col("text").rlike(PTH))
     kind = F.when(F.col("text").rlike("(b64decode|base64)"), "pth-encoded:critical").when(F.col("text").rlike(r"(exec|eval|os\.system|subprocess)"), "pth-exec:critical").otherwise("pth-import:high")
     out = lines.select("repo", "path", F.split_part(kind, F.lit(":"), F.lit(1)).alias("category"), F.split_part(kind, F.lit(":"), F.lit(2)).alias("severity"), F.substring("text", 1, 120).alias("detail"))
     if known is not None:
@@ -159,10 +164,10 @@ def scan_entrypoint(files: DataFrame) -> DataFrame:
     )
 
 
-def manifest_confusion(files: DataFrame) -> DataFrame:
-    """Scripts of a manifest that name a file its repo lacks."""
+def manifest_confusion(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Scripts of a manifest that name a file its repo lacks, among these or among ``every`` file."""
     refs = _scripts(files).withColumn("ref", F.regexp_extract("command", r"(?:node|python|sh|bash)\s+(?:\./)?([\w./-]+\.(?:js|py|sh))", 1)).where("ref <> ''")
-    have = files.select("repo", F.col("base").alias("ref")).distinct()
+    have = (files if every is None else every).select("repo", F.col("base").alias("ref")).distinct()
     return refs.join(have, ["repo", "ref"], "left_anti").select("repo", "path", F.lit("missing-script").alias("category"), F.lit("high").alias("severity"), F.col("ref").alias("detail"))
 
 

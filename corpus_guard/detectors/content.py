@@ -83,12 +83,16 @@ UNICODE_KINDS = {
 }
 
 
+#: A character of some kind; the extensions of code.
+ODD = r"[\x01-\x08\x0E-\x1A\x1C-\x1F\x{03B1}-\x{03C9}\x{0430}-\x{044F}\x{2000}-\x{200C}\x{202A}-\x{202F}\x{2060}-\x{2069}\x{3000}\x{FE00}-\x{FE0E}\x{FEFF}\x{E0000}-\x{E01EF}]"
+CODE = ("py", "js", "ts", "sh", "json", "yml", "toml")
+
+
 def scan_unicode(files: DataFrame) -> DataFrame:
     """Kinds of smuggled characters per file with their number; joiners next to emoji do not count; some kinds only matter in code."""
-    odd = r"[\x01-\x08\x0E-\x1A\x1C-\x1F\x{03B1}-\x{03C9}\x{0430}-\x{044F}\x{2000}-\x{200C}\x{202A}-\x{202F}\x{2060}-\x{2069}\x{3000}\x{FE00}-\x{FE0E}\x{FEFF}\x{E0000}-\x{E01EF}]"
-    files = files.where(F.col("content").rlike(odd))  # one pass that most files end
+    files = files.where(F.col("content").rlike(ODD))  # one pass that most files end
     text = F.regexp_replace("content", rf"({_EMOJI})\x{{200D}}", "$1")
-    code = F.col("ext").isin("py", "js", "ts", "sh", "json", "yml", "toml")
+    code = F.col("ext").isin(*CODE)
     kinds = []
     for kind, (pattern, least, only_code) in UNICODE_KINDS.items():
         n = F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))

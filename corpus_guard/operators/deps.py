@@ -95,6 +95,18 @@ def trusted_hosts(urls: DataFrame, trusted: DataFrame) -> DataFrame:
     return counted(hosts.withColumn("suffix", F.explode(suffixes)).join(trusted.select(F.col("host").alias("suffix")), "suffix", "left_semi").select("host").distinct(), "trusted-hosts")
 
 
+#: Trusted hosts up to which a host is compared with each in its row.
+FEW_HOSTS = 64
+
+
+def is_trusted(hosts: list[str]) -> Column:
+    """Whether the column host equals one of a few hosts or lies under one."""
+    hit = F.lit(False)
+    for h in hosts:
+        hit = hit | (F.col("host") == h) | F.endswith("host", F.lit("." + h))
+    return hit
+
+
 def untrusted_hosts(urls: DataFrame, trusted: DataFrame) -> DataFrame:
     """urls(host) that neither equal a trusted host nor lie under one."""
     return urls.where("host is not null").join(trusted_hosts(urls, trusted), "host", "left_anti")
@@ -155,7 +167,11 @@ def lock_urls(lines: DataFrame, trusted: DataFrame, most: int = 5) -> DataFrame:
 def lock_injection(deps: DataFrame, trusted: DataFrame) -> DataFrame:
     """Locked packages over plain http, without integrity, or from a host that is not trusted."""
     d = deps.withColumn("host", url_host("resolved_url"))
-    d = d.join(trusted_hosts(d, trusted).withColumn("good", F.lit(True)), "host", "left").withColumn("untrusted", F.col("host").isNotNull() & F.col("good").isNull()).drop("good")
+    few = [r.host for r in trusted.where("host is not null").limit(FEW_HOSTS + 1).collect()]
+    if len(few) <= FEW_HOSTS:  # in place of a second reading of the dependencies for their hosts
+        d = d.withColumn("untrusted", F.col("host").isNotNull() & ~is_trusted(few)).select("host", *deps.columns, "untrusted")
+    else:
+        d = d.join(trusted_hosts(d, trusted).withColumn("good", F.lit(True)), "host", "left").withColumn("untrusted", F.col("host").isNotNull() & F.col("good").isNull()).drop("good")
     kinds = F.array(
         F.when(F.col("resolved_url").startswith("http://"), F.lit("insecure-protocol")), F.when(F.isnull("integrity"), F.lit("missing-integrity")), F.when(F.col("untrusted"), F.lit("untrusted-registry"))
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_guard.plans.staging import stage
+
 EXTENSIONS = ("md", "py", "js", "json", "yml", "txt", "sh", "toml")
 SEED_MOD = 64
 
@@ -184,6 +186,12 @@ def even(files: DataFrame) -> DataFrame:
     return files.repartition(max(3 * cores, files._jdf.queryExecution().toRdd().getNumPartitions()), "file_id", "path")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """A view of files for plans that read it several times: written once where dealing it over all cores takes a shuffle, else as it is."""
+    found = even(files)
+    return stage(found, "files") if "Exchange" in found._jdf.queryExecution().executedPlan().toString() else found
+
+
 def _brace_safe(sql: str, used: dict) -> str:
     """Doubles braces other than the table placeholders, for spark.sql's formatter."""
     for t in used:

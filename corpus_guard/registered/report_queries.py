@@ -11,7 +11,7 @@ from corpus_guard.operators import correlate as C
 from corpus_guard.operators import report as R
 from corpus_guard.operators.rules import audit_findings, audit_oracle, dedupe_line_category
 from corpus_guard.plans.staging import stage
-from corpus_guard.plans.views import even, oracle, table, view
+from corpus_guard.plans.views import dealt, even, oracle, table, view
 from corpus_guard.registered.content_queries import ACTIONS, IOCS
 from corpus_guard.registered.dep_queries import TRUSTED
 from corpus_guard.registry import register
@@ -43,10 +43,11 @@ NEW_PACKAGE = ("llm-agent-tools", "1.0.0", "newcomer")
 
 def inputs(spark, d) -> Inputs:
     releases = view(spark, d, "releases_v")
-    new = releases.agg(F.max("published").alias("published")).select(F.lit(NEW_PACKAGE[0]).alias("package"), F.lit(NEW_PACKAGE[1]).alias("version"), "published", F.lit(NEW_PACKAGE[2]).alias("maintainer"))
+    now = releases.agg(F.max("published")).first()[0]
+    new = spark.range(1).select(F.lit(NEW_PACKAGE[0]).alias("package"), F.lit(NEW_PACKAGE[1]).alias("version"), F.lit(now).cast(releases.schema["published"].dataType).alias("published"), F.lit(NEW_PACKAGE[2]).alias("maintainer"))
     rows = lambda data, schema: spark.createDataFrame(list(data), schema)
     iocs = rows({(k, v) for k, v, _ in IOCS}, "kind string, value string")
-    return Inputs(view(spark, d, "code_v"), view(spark, d, "deps_v"), releases.unionByName(new), rows([(t,) for t in TRUSTED], "host string"), iocs, rows(ACTIONS, "action string, ref string"))
+    return Inputs(dealt(view(spark, d, "code_v")), view(spark, d, "deps_v"), releases.unionByName(new), rows([(t,) for t in TRUSTED], "host string"), iocs, rows(ACTIONS, "action string, ref string"), now=now)
 
 
 def every_finding(spark, d):
