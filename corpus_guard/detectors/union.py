@@ -28,7 +28,7 @@ from corpus_guard.detectors.split_payloads import find_split_payloads
 from corpus_guard.detectors.taint import EXTENSIONS, SINK, SOURCE as TAINTED, taint_flows
 from corpus_guard.functions.scalars import default_confidence, looks_like_llm_bait
 from corpus_guard.operators import deps as D
-from corpus_guard.operators.lines import FENCE, snippet, to_lines
+from corpus_guard.operators.lines import FENCE, once, snippet, to_lines
 from corpus_guard.operators.report import union_findings
 from corpus_guard.plans.staging import stage
 
@@ -218,13 +218,13 @@ def _sieves() -> dict[str, Column]:
 
 
 def _named(x: Inputs) -> Column | None:
-    """Whether a line holds an indicator; none where there are more than one projection looks for."""
+    """Whether a line, with ``low``, its lower-cased text, holds an indicator; none where there are more than one projection looks for."""
     few = [r for r in x.iocs.where("value <> '' and kind in ('domain', 'c2_ip', 'hash', 'path', 'pth_file')").limit(C.FEW_SUBSTRINGS + 1).collect()]
     if len(few) > C.FEW_SUBSTRINGS:
         return None
     hit = F.lit(False)
     for r in few:
-        hit = hit | F.contains("text" if r.kind in ("path", "pth_file") else F.lower("text"), F.lit(r.value))
+        hit = hit | F.contains("text" if r.kind in ("path", "pth_file") else "low", F.lit(r.value))
     return hit
 
 
@@ -244,12 +244,12 @@ def narrowed(x: Inputs, detectors: tuple[Detector, ...]) -> Callable[[Detector],
     files = lines = None
     if kinds:
         # the few files in JSON apart, since most detectors read no others
-        found = x.files.select("repo", "path", "base", "ext", "content", F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("kinds")).where(F.size("kinds") > 0)
+        found = x.files.select("repo", "path", "base", "ext", "content", once(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("kinds")).where(F.size("kinds") > 0)
         files = stage(found.withColumn("json", F.array_contains("kinds", "json")), "concerned-files", "json")
     named = _named(x) if "ioc" in asked else F.lit(False)
     if asked & {"line", "ioc"}:
-        every = to_lines(x.files.select("repo", "path", "base", "ext", "content"))
-        lines = stage(every.where(_line_sieve() | (F.lit(False) if named is None else named)), "concerned-lines")
+        every = to_lines(x.files.select("repo", "path", "base", "ext", "content")).withColumn("low", once(F.lower("text")))
+        lines = stage(every.where(_line_sieve() | (F.lit(False) if named is None else named)).drop("low"), "concerned-lines")
 
     def of(d: Detector) -> Inputs:
         if "line" in d.reads or "ioc" in d.reads and named is not None:
